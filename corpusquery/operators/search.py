@@ -104,9 +104,9 @@ def score_column(predicate: Predicate):
     return total
 
 
-def score_files(matching: DataFrame, predicate: Predicate) -> DataFrame:
-    """Keys and scores only; the content is not carried any further."""
-    return matching.select(*FILE, score_column(predicate).alias("score"))
+def score_files(matching: DataFrame, predicate: Predicate, *keep: str) -> DataFrame:
+    """Keys and scores, with other columns on request; the content goes no further."""
+    return matching.select(*FILE, score_column(predicate).alias("score"), *keep)
 
 
 def best_first() -> list:

@@ -40,16 +40,6 @@ NESTED_KINDS = {
     "cgit": "url string, name string, exclude string",
 }
 
-# Columns of the common rule table that both formats are turned into.
-RULE_SCHEMA = T.StructType.fromDDL(
-    "rule_pos bigint, kind string, url string, org string, user string, project string, "
-    "project_type string, disable_tls boolean, name string, exclude string, "
-    "topics array<string>, exclude_topics array<string>, visibility array<string>, "
-    "no_archived boolean, forks boolean, only_public boolean, exclude_user_repos boolean, "
-    "active boolean, fetch_meta_config boolean, repo_name_format string, keep_deleted boolean"
-)
-
-
 def flat_schema() -> T.StructType:
     return T.StructType(
         [T.StructField(n, T.StringType()) for n in FLAT_TEXT_FIELDS]
@@ -58,11 +48,14 @@ def flat_schema() -> T.StructType:
     )
 
 
-def nested_schema() -> T.StructType:
-    return T.StructType(
-        [T.StructField("rule_pos", T.LongType())]
-        + [T.StructField(k, T.StructType.fromDDL(v)) for k, v in NESTED_KINDS.items()]
-    )
+def struct_ddl(fields: str) -> str:
+    """``a string, b boolean`` as a struct type."""
+    return "struct<" + ",".join(f.strip().replace(" ", ":", 1) for f in fields.split(", ")) + ">"
+
+
+def nested_schema() -> str:
+    kinds = ", ".join(f"{kind} {struct_ddl(fields)}" for kind, fields in NESTED_KINDS.items())
+    return f"rule_pos bigint, {kinds}"
 
 
 def read_flat_rules(spark: SparkSession, path: str) -> DataFrame:

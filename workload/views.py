@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusquery.operators.symbols import SymbolRule
 from corpusquery.functions.text import url_host
+from corpusquery.operators.symbols import SymbolRule
+from corpusquery.sources.rules import NESTED_KINDS, struct_ddl
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,9 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_files(table(spark, sf_dir, "documents"))
+
+
+def as_files(documents: DataFrame) -> DataFrame:
     """Documents as files of the repository named by their source."""
-    d = table(spark, sf_dir, "documents")
-    return d.select(
+    return documents.select(
         F.col("source").alias("repo"),
         F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
         F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("HEAD"), F.lit("master")))
@@ -224,19 +228,12 @@ def nested_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n % 3 == 1).alias("keep_deleted"),
     )
     cgit = F.struct(url.alias("url"), name.alias("name"), exclude.alias("exclude"))
-    from corpusquery.sources.rules import NESTED_KINDS
-
     kinds = {"github": (0, github), "gitlab": (1, gitlab), "gitea": (2, gitea), "gerrit": (3, gerrit), "cgit": (4, cgit)}
     columns = []
     for kind, ddl in NESTED_KINDS.items():
         if kind in kinds:
             k, value = kinds[kind]
-            columns.append(F.when(on(k), value.cast(f"struct<{_struct_ddl(ddl)}>")).alias(kind))
+            columns.append(F.when(on(k), value.cast(struct_ddl(ddl))).alias(kind))
         else:
-            columns.append(F.lit(None).cast(f"struct<{_struct_ddl(ddl)}>").alias(kind))
+            columns.append(F.lit(None).cast(struct_ddl(ddl)).alias(kind))
     return p.select("rule_pos", *columns)
-
-
-def _struct_ddl(ddl: str) -> str:
-    """``a string, b boolean`` as ``a:string,b:boolean``."""
-    return ",".join(":".join(part.strip().split(" ", 1)) for part in ddl.split(", "))
