@@ -177,21 +177,13 @@ def snippets(line: Column, frags: Column, width: int = 100) -> Column:
 
 
 def ngrams(text: Column, n: int = 3) -> Column:
-    """Distinct character n-grams of a text, empty when it is shorter than ``n``."""
-
-    def build(chars: Column) -> Column:
-        count = F.size(chars) - (n - 1)
-        return F.when(
-            count > 0,
-            F.array_distinct(
-                F.transform(
-                    F.slice(chars, 1, F.greatest(count, F.lit(0))),
-                    lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)]),
-                )
-            ),
-        ).otherwise(F.array().cast("array<string>"))
+    """Distinct character n-grams of a text, empty when it is shorter than ``n``.
 
-    return let(F.split(text, ""), build)
+    The look-ahead yields overlapping grams in one linear pass.  A gram never
+    starts inside a surrogate pair, so it is always made of whole characters.
+    """
+    gram = rf"(?s)(?=(\P{{Cs}}.{{{n - 1}}}))"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(gram), F.lit(1)))
 
 
 def repo_parts(repo: Column) -> Column:

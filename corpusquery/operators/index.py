@@ -82,11 +82,12 @@ def search_batch(files: DataFrame, queries: DataFrame, n: int = GRAM) -> DataFra
 
 def _direct(files: DataFrame, texts: DataFrame) -> DataFrame:
     asked = texts.agg(F.collect_list(F.struct("query_id", "text")).alias("asked")).scalar()
+    tested = files.select(*FILE, "content", asked.alias("asked"))
     found = F.transform(
-        F.filter(asked, lambda q: F.contains(F.col("content"), q["text"])), lambda q: q["query_id"]
+        F.filter("asked", lambda q: F.contains(F.col("content"), q["text"])), lambda q: q["query_id"]
     )
     return (
-        files.select(*FILE, F.explode_outer(found).alias("query_id"))
+        tested.select(*FILE, F.explode_outer(found).alias("query_id"))
         .where(F.col("query_id").isNotNull())
         .select("query_id", *FILE)
     )

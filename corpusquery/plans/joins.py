@@ -14,12 +14,10 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
 
-def is_small(
-    df: DataFrame,
-    max_rows: int = MAX_BROADCAST_ROWS,
-    max_bytes: int = MAX_BROADCAST_BYTES,
-) -> bool:
+def is_small(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
     """Measure a table: one aggregation, combined on the map side."""
+    max_rows = MAX_BROADCAST_ROWS if max_rows is None else max_rows
+    max_bytes = MAX_BROADCAST_BYTES if max_bytes is None else max_bytes
     width = F.lit(0).cast("bigint")
     for field in df.schema.fields:
         size = F.octet_length(F.col(field.name).cast("string"))
@@ -37,15 +35,14 @@ def join_by_size(
     on: list[str],
     how: str,
     spread_by: list[str],
-    max_rows: int = MAX_BROADCAST_ROWS,
-    salts: int = SALTS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Join a large table to a side with few rows per key, whatever its size.
 
     Below ``max_rows`` the small side is broadcast and the large table is not
     moved.  Above it, both sides are shuffled on the key plus a salt: every
     row of the small side is repeated per salt, and the rows of one hot key of
-    the large table go to ``salts`` tasks.  ``how`` must not keep unmatched
+    the large table go to ``SALTS`` tasks.  ``how`` must not keep unmatched
     rows of the small side.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -55,6 +52,6 @@ def join_by_size(
         return big.join(small, on, how)
     if is_small(small, max_rows):
         return big.join(F.broadcast(small), on, how)
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return big.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")

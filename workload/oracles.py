@@ -456,7 +456,7 @@ ORDER BY score DESC, repo, path LIMIT 25""",
   SELECT repo, path, score, CAST(sum(score) OVER (ORDER BY score DESC, repo, path
          ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_matches
   FROM (SELECT repo, path, CAST({hits('the')} AS BIGINT) AS score FROM files WHERE {has('the')}) s) r
-WHERE running_matches <= 500""",
+WHERE running_matches <= 20000""",
     ),
     "per_repo_cap": with_(
         [FILES],

@@ -327,7 +327,7 @@ def top_files_by_score(spark, sf):
 
 @query
 def total_cap(spark, sf):
-    return results.total_cap(scored(spark, sf, term("the")), 500)
+    return results.total_cap(scored(spark, sf, term("the")), 20000)
 
 
 @query
