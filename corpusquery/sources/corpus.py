@@ -33,7 +33,8 @@ def read_corpus(
 
     ``fmt="tree"`` reads checked-out files below ``path``: the first
     ``repo_depth`` directories name the repository (host, owner, name) and the
-    rest is the path.  Bytes that are not UTF-8 are replaced.
+    rest is the path.  Bytes that are not UTF-8 are replaced.  Spark leaves
+    empty files out of a tree; store the corpus as a table to keep them.
     """
     if fmt != "tree":
         return with_file_columns(spark.read.format(fmt).load(path))

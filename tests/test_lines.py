@@ -85,9 +85,8 @@ def test_running_fold(spark, n):
     )
     if n == 0:
         col = F.array().cast("array<int>")
-    sums = (
-        spark.range(1).select(col.alias("v")).select(binding.running(F.col("v"), lambda a, b: a + b, F.lit(0)).alias("s")).first().s
-    )
+    fold = binding.running(F.col("v"), lambda a, b: a + b, F.lit(0))
+    sums = spark.range(1).select(col.alias("v")).select(fold.alias("s")).first().s
     total, expected = 0, []
     for x in values:
         total += x
