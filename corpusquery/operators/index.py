@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusquery.functions.text import ngrams
 from corpusquery.operators.lines import FILE
 from corpusquery.operators.search import effective_limit
-from corpusquery.plans.joins import is_small, join_by_size
+from corpusquery.plans.joins import is_small, join_by_size, materialize
 from corpusquery.plans.predicates import Predicate, required_terms
 
 GRAM = 3
@@ -173,7 +173,7 @@ def narrow_files(files: DataFrame, postings: DataFrame, predicate: Predicate, n:
     keys = predicate_candidates(postings, predicate, n)
     if keys is None:
         return files
-    return join_by_size(files, keys, FILE, "left_semi", spread_by=FILE)
+    return join_by_size(files, materialize(keys, "candidates"), FILE, "left_semi")
 
 
 def search_cost(

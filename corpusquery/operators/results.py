@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusquery.functions.text import file_key
 from corpusquery.operators.lines import FILE
 from corpusquery.operators.search import best_first
-from corpusquery.plans.joins import join_by_size
+from corpusquery.plans.joins import is_small, materialize
 
 
 def per_repo_cap(scored: DataFrame, cap: int) -> DataFrame:
@@ -42,26 +42,42 @@ def content_hash(df: DataFrame) -> DataFrame:
     return df.withColumn("content_sha", F.sha2(F.col("content"), 256))
 
 
+# Copies of one content from which its rows are joined apart from the others.
+# There can be no more such contents than files divided by this number.
+HOT_COPIES = 1_000_000
+
+
 def mark_duplicates(scored: DataFrame) -> DataFrame:
     """Point each result at the best-ranked result with the same content.
 
     ``scored`` holds ``(repo, path, score, content_sha)``.  The first file of a
-    content has a null ``duplicate_of``.  The first one is found by a minimum
-    with map-side combine rather than by sorting all copies in one task, and
-    the join back spreads a content with very many copies.
+    content has a null ``duplicate_of``.  The contents are read once, for keys,
+    scores and hashes.  The first file is found by a minimum with map-side
+    combine rather than by sorting all copies in one task, and contents with
+    very many copies never meet in one shuffle partition.
     """
+    results = materialize(scored, "scored")
     key = F.struct((-F.col("score")).alias("rank"), F.col("repo"), F.col("path"))
-    firsts = (
-        scored.groupBy("content_sha")
+    firsts = materialize(
+        results.groupBy("content_sha")
         .agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("copies"))
         .where(F.col("copies") > 1)
         .select(
             "content_sha",
             F.col("first.repo").alias("first_repo"),
             F.col("first.path").alias("first_path"),
-        )
+            "copies",
+        ),
+        "firsts",
     )
-    linked = join_by_size(scored, firsts, ["content_sha"], "left", spread_by=FILE)
+    if is_small(firsts):
+        linked = results.join(F.broadcast(firsts), "content_sha", "left")
+    else:
+        hot = firsts.where(F.col("copies") >= HOT_COPIES)
+        rest = results.join(F.broadcast(hot.select("content_sha")), "content_sha", "left_anti")
+        linked = results.join(F.broadcast(hot), "content_sha").unionByName(
+            rest.join(firsts.where(F.col("copies") < HOT_COPIES), "content_sha", "left")
+        )
     is_copy = (F.col("first_repo") != F.col("repo")) | (F.col("first_path") != F.col("path"))
     return linked.select(
         *scored.columns,

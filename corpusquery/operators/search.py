@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusquery.functions.text import file_key, split_lines
 from corpusquery.operators.lines import FILE, range_rows, ranges_map, with_matches
-from corpusquery.plans.joins import MAX_BROADCAST_ROWS, join_by_size
+from corpusquery.plans.joins import MAX_BROADCAST_ROWS, join_by_size, materialize
 from corpusquery.plans.predicates import (
     REPO_FLAGS,
     And,
@@ -34,12 +34,16 @@ def attach_repos(files: DataFrame, repos: DataFrame, columns: list[str], how: st
     return join_by_size(files, repos.select("repo", *columns), ["repo"], how, spread_by=FILE)
 
 
+def symbol_keys(symbols: DataFrame, atom: Symbol) -> DataFrame:
+    """Files with such a symbol, written out once as keys."""
+    keys = symbols.where(atom.name_column()).select(*FILE).distinct()
+    return materialize(keys, "symbol-keys")
+
+
 def flag_symbols(files: DataFrame, symbols: DataFrame, atom: Symbol) -> DataFrame:
     """Add the boolean column a symbol atom refers to."""
-    keys = symbols.where(atom.name_column()).select(*FILE).distinct()
-    return join_by_size(
-        files, keys.withColumn(atom.flag(), F.lit(True)), FILE, "left", spread_by=FILE
-    )
+    keys = symbol_keys(symbols, atom).withColumn(atom.flag(), F.lit(True))
+    return join_by_size(files, keys, FILE, "left")
 
 
 def _conjuncts(predicate: Predicate) -> list[Predicate]:
@@ -79,8 +83,7 @@ def matching_files(
     if (required or any(isinstance(a, Symbol) for c in joined for a in c.atoms())) and symbols is None:
         raise ValueError("symbol atoms need the symbols table")
     for atom in required:
-        keys = symbols.where(atom.name_column()).select(*FILE).distinct()
-        found = join_by_size(found, keys, FILE, "left_semi", spread_by=FILE)
+        found = join_by_size(found, symbol_keys(symbols, atom), FILE, "left_semi")
 
     atoms = {a for c in joined for a in c.atoms()}
     flags = sorted({a.name for a in atoms if isinstance(a, RepoFlag)} - set(found.columns))

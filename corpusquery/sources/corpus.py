@@ -71,9 +71,5 @@ def get_files(files: DataFrame, keys: DataFrame) -> DataFrame:
     """Batch form of ``get_file``: all files named in ``keys(repo, path)``."""
     wanted = keys.select("repo", "path").distinct()
     return join_by_size(
-        files.select("repo", "path", "content"),
-        wanted,
-        ["repo", "path"],
-        "left_semi",
-        spread_by=["repo", "path"],
+        files.select("repo", "path", "content"), wanted, ["repo", "path"], "left_semi"
     )

@@ -14,6 +14,9 @@ from corpusquery.operators.lines import FILE, ranges_map
 # Folders of the posting table.  A search reads only those of its grams.
 GRAM_BUCKETS = 64
 
+# Folders of the entry table.  A batch looks up only those of its repositories.
+ENTRY_BUCKETS = 256
+
 # Writers per folder, so that a frequent gram is not left to one task.
 WRITERS_PER_BUCKET = 8
 
@@ -32,6 +35,10 @@ def gram_bucket(gram: Column) -> Column:
     return F.pmod(F.crc32(F.encode(gram, "UTF-8")), F.lit(GRAM_BUCKETS)).cast("int")
 
 
+def repo_bucket(repo: Column) -> Column:
+    return F.pmod(F.xxhash64(repo), F.lit(ENTRY_BUCKETS)).cast("int")
+
+
 def gram_buckets_of(grams: list[str]) -> list[int]:
     """Folders that hold the given literal grams."""
     return sorted({zlib.crc32(g.encode()) % GRAM_BUCKETS for g in grams})
@@ -53,7 +60,12 @@ def write_index(files: DataFrame, path: str, batch_id: int = 0, n: int = GRAM) -
         F.octet_length("content").cast("bigint").alias("n_bytes"),
         F.current_timestamp().alias("indexed_at"),
     )
-    entries.write.mode("overwrite").parquet(f"{path}/entries/batch_id={batch_id}")
+    (
+        entries.withColumn("repo_bucket", repo_bucket(F.col("repo")))
+        .write.mode("overwrite")
+        .partitionBy("repo_bucket")
+        .parquet(f"{path}/entries/batch_id={batch_id}")
+    )
     writer = F.pmod(F.xxhash64(*FILE), F.lit(WRITERS_PER_BUCKET))
     (
         ngram_postings(files, n)
@@ -79,9 +91,21 @@ def read_postings(spark: SparkSession, path: str, grams: list[str] | None = None
     return postings.select("gram", *FILE).distinct()
 
 
-def read_entries(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame:
-    """Current entry of each file: the one of the latest batch."""
+def read_entries(
+    spark: SparkSession,
+    path: str,
+    before_batch: int | None = None,
+    repos: DataFrame | None = None,
+) -> DataFrame:
+    """Current entry of each file: the one of the latest batch.
+
+    With ``repos`` only the folders that may hold those repositories are read;
+    the list of folders is short whatever the number of repositories.
+    """
     entries = spark.read.parquet(f"{path}/entries")
+    if repos is not None:
+        folders = repos.select(repo_bucket(F.col("repo")).alias("repo_bucket")).distinct()
+        entries = entries.join(F.broadcast(folders), "repo_bucket", "left_semi")
     if before_batch is not None:
         entries = entries.where(F.col("batch_id") < before_batch)
     values = F.struct("source", "shard", "content_sha", "n_bytes", "indexed_at")

@@ -18,6 +18,7 @@ from corpusquery.operators.lifecycle import DEFAULT_MAX_AGE, MAX_TASKS, evict_fi
 from corpusquery.operators.lines import FILE, match_rows, with_matches
 from corpusquery.operators.results import content_hash
 from corpusquery.operators.search import matching_files
+from corpusquery.plans.joins import join_by_size, materialize
 from corpusquery.plans.predicates import Predicate
 from corpusquery.sources.sinks import read_entries, write_index
 
@@ -88,17 +89,17 @@ def index_batch(batch: DataFrame, batch_id: int, index_path: str) -> None:
     hashed = content_hash(batch)
     todo = hashed
     if _has_entries(spark, index_path):
-        known = read_entries(spark, index_path, before_batch=batch_id).select(
+        # Keys and hashes decide; the content joins only for files to index.
+        arrived = materialize(hashed.select(*FILE, "content_sha"), "arrived")
+        known = read_entries(spark, index_path, before_batch=batch_id, repos=arrived).select(
             *FILE, F.col("content_sha").alias("known_sha")
         )
-        # Keys and hashes decide; the content joins only for files to index.
         stale = (
-            hashed.select(*FILE, "content_sha")
-            .join(known, FILE, "left")
+            arrived.join(known, FILE, "left")
             .where(F.col("known_sha").isNull() | (F.col("known_sha") != F.col("content_sha")))
             .select(*FILE)
         )
-        todo = hashed.join(stale, FILE, "left_semi")
+        todo = join_by_size(hashed, materialize(stale, "stale"), FILE, "left_semi")
     write_index(todo, index_path, batch_id)
 
 

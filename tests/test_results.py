@@ -103,6 +103,7 @@ def test_per_repo_cap_with_a_hot_repo(spark):
 def test_duplicates_with_a_hot_content(spark, monkeypatch, limit):
     if limit is not None:
         monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", limit)
+        monkeypatch.setattr(results, "HOT_COPIES", 100)
     rng = random.Random(5)
     data = [
         (f"r{i % 4}", f"f{i}", rng.randint(0, 3), "same" if i % 3 == 0 else f"t{i % 50}") for i in range(400)
