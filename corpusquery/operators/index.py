@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusquery.functions.text import ngrams
@@ -31,52 +31,100 @@ def posting_lists(postings: DataFrame) -> DataFrame:
     return postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def query_grams(queries: DataFrame, n: int = GRAM) -> DataFrame:
-    """Distinct grams of each query ``(query_id, text)`` and how many there are."""
-    grams = queries.select("query_id", ngrams(F.lower("text"), n).alias("grams"))
-    return grams.select(
-        "query_id", F.size("grams").alias("n_grams"), F.explode_outer("grams").alias("gram")
-    ).where(F.col("gram").isNotNull())
-
-
 def candidates(postings: DataFrame, queries: DataFrame, n: int = GRAM) -> DataFrame:
     """Files holding every gram of a query: ``(query_id, repo, path)``.
 
-    A superset of the true matches.  The grams of the queries are the small
-    side: below the size limit the postings stay where they are, and beyond it
-    a frequent gram is spread by salt.  Counting per query and file combines on
-    the map side.  Queries shorter than ``n`` have no grams and no rows here.
+    A superset of the true matches.  A file meets a query through the query's
+    rarest gram only, and the other grams are then tested inside the row, so
+    the work follows the shortest posting list of each query instead of all of
+    them.  Queries shorter than ``n`` have no grams and no rows here.
     """
-    wanted = query_grams(queries, n)
+    asked = materialize(
+        queries.select("query_id", ngrams(F.lower("text"), n).alias("wanted")), "asked"
+    ).where(F.size("wanted") > 0)
+    wanted = asked.select("query_id", F.explode("wanted").alias("gram"))
+    relevant = join_by_size(
+        postings, wanted.select("gram").distinct(), ["gram"], "left_semi", spread_by=FILE
+    )
+    rarity = F.struct(F.coalesce("n_files", F.lit(0)).alias("n_files"), F.col("gram"))
+    anchors = materialize(
+        wanted.join(posting_lists(relevant), "gram", "left")
+        .groupBy("query_id")
+        .agg(F.min(rarity).alias("best"))
+        .select("query_id", F.col("best.gram").alias("anchor"))
+        .join(asked, "query_id"),
+        "anchors",
+    )
+    # One row per file with those of its grams that some query asks for.
+    present = relevant.groupBy(*FILE).agg(F.collect_list("gram").alias("grams"))
+    met = present.select(*FILE, "grams", _pieces_asked(F.col("grams"), anchors).alias("anchor"))
     return (
-        join_by_size(postings, wanted, ["gram"], "inner", spread_by=FILE)
-        .groupBy("query_id", *FILE, "n_grams")
-        .agg(F.count(F.lit(1)).alias("hits"))
-        .where(F.col("hits") == F.col("n_grams"))
+        join_by_size(met, anchors, ["anchor"], "inner", spread_by=FILE)
+        .where(F.size(F.array_except("wanted", "grams")) == 0)
         .select("query_id", *FILE)
     )
 
 
 # Up to this many query texts are simply looked for in every file.
-DIRECT_QUERIES = 64
+DIRECT_QUERIES = 32
 
-# Up to this many anchors are matched against each file in place.
+# Up to this many anchors are intersected with the pieces of a file in place.
 INLINE_ANCHORS = 20_000
 
+# Lengths of the grams that anchor query texts without a whole word in them.
+ANCHOR_GRAMS = (8, 3, 1)
+
 
-def search_batch(files: DataFrame, queries: DataFrame, n: int = GRAM) -> DataFrame:
+def _pieces_asked(pieces: Column, anchors: DataFrame) -> Column:
+    """Explode the pieces of a file, narrowed to known anchors when those are few."""
+    if not is_small(anchors.select("anchor"), INLINE_ANCHORS):
+        return F.explode(pieces)
+    known = anchors.agg(F.collect_set("anchor").alias("known")).scalar()
+    return F.explode(F.array_intersect(pieces, known))
+
+
+def search_batch(files: DataFrame, queries: DataFrame) -> DataFrame:
     """All files that contain each query text: ``(query_id, repo, path)``.
 
     Texts are matched case-sensitively and empty texts match nothing.  A short
-    list of queries is tested inside each row.  Longer lists go through one
-    anchor gram per query, so that a file meets only the queries it may match.
+    list of queries is tested inside each row.  Longer lists meet the files
+    through one anchor per query: its longest whole word, or for texts without
+    one a gram.  Any file with the text has the anchor, so nothing is missed,
+    and the text is verified in the content.
     """
-    texts = queries.select("query_id", "text").where(F.col("text") != "")
-    if is_small(texts, DIRECT_QUERIES):
+    texts = materialize(with_anchors(queries), "texts")
+    sizes = {r["tier"]: r["count"] for r in texts.groupBy("tier").count().collect()}
+    if sum(sizes.values()) <= DIRECT_QUERIES and is_small(texts):
         return _direct(files, texts)
-    long_enough = F.char_length("text") >= n
-    return _anchored(files, texts.where(long_enough), n).unionByName(
-        _anchored(files, texts.where(~long_enough), 1)
+    found = [_anchored(files, texts.where(F.col("tier") == t), t) for t in sorted(sizes)]
+    result = found[0]
+    for part in found[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def with_anchors(queries: DataFrame) -> DataFrame:
+    """Query texts with an anchor each: ``(query_id, text, tier, anchor)``.
+
+    ``tier`` 0 anchors by a word.  The first and the last word of a text may go
+    on in the content, so only words between two blanks are whole.  Any other
+    tier is the length of the anchor gram.
+    """
+    words = F.split("text", " ")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(
+        F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("word")))
+    )["word"]
+    tier = F.when(F.size(inner) > 0, 0)
+    anchor = F.when(F.size(inner) > 0, longest)
+    for n in ANCHOR_GRAMS:
+        fits = F.char_length("text") >= n
+        tier = tier.when(fits, n)
+        # Late letters are rarer than early ones; any gram would do.
+        anchor = anchor.when(fits, F.array_max(ngrams(F.col("text"), n)))
+    return (
+        queries.where(F.col("text") != "")
+        .select("query_id", "text", tier.alias("tier"), anchor.alias("anchor"))
     )
 
 
@@ -93,39 +141,21 @@ def _direct(files: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def anchor_grams(texts: DataFrame, n: int = GRAM) -> DataFrame:
-    """One gram per query, the one that fewest queries share: ``(query_id, text, gram)``.
-
-    A file that holds the text holds this gram, so it is enough to find every
-    candidate.  Which gram is taken only decides how many files are verified.
-    """
-    wanted = query_grams(texts, n).select("query_id", "gram")
-    frequency = wanted.groupBy("gram").agg(F.count(F.lit(1)).alias("n_queries"))
-    rated = wanted.join(frequency, "gram")
-    return (
-        rated.groupBy("query_id")
-        .agg(F.min(F.struct("n_queries", "gram")).alias("best"))
-        .select("query_id", F.col("best.gram").alias("gram"))
-        .join(texts, "query_id")
-    )
-
-
-def _anchored(files: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    anchors = anchor_grams(texts, n)
-    grams = ngrams(F.lower("content"), n)
-    if is_small(anchors, INLINE_ANCHORS):
-        # The content stays in its task: only grams that anchor some query
-        # leave the file's gram set, and the queries are joined to them.
-        asked = anchors.agg(F.collect_set("gram").alias("grams")).scalar()
-        keyed = files.select(
-            *FILE, "content", F.explode_outer(F.array_intersect(grams, asked)).alias("gram")
-        ).where(F.col("gram").isNotNull())
-        found = keyed.join(F.broadcast(anchors), "gram")
+def _anchored(files: DataFrame, texts: DataFrame, tier: int) -> DataFrame:
+    content = F.col("content")
+    pieces = F.array_distinct(F.split(content, " ")) if tier == 0 else ngrams(content, tier)
+    asked = texts.select("query_id", "text", "anchor")
+    if is_small(asked, INLINE_ANCHORS):
+        # The content stays in its task, next to the anchors found in it.
+        known = asked.agg(F.collect_set("anchor").alias("known")).scalar()
+        met = files.select(
+            *FILE, "content", F.explode_outer(F.array_intersect(pieces, known)).alias("anchor")
+        )
+        found = met.where(F.col("anchor").isNotNull()).join(F.broadcast(asked), "anchor")
     else:
         # Too many queries to broadcast: candidate keys first, contents last.
-        keys = join_by_size(
-            ngram_postings(files, n), anchors, ["gram"], "inner", spread_by=FILE
-        ).select("query_id", "text", *FILE)
+        met = files.select(*FILE, F.explode_outer(pieces).alias("anchor"))
+        keys = join_by_size(met, asked, ["anchor"], "inner", spread_by=FILE)
         found = files.select(*FILE, "content").join(keys, FILE)
     return found.where(F.contains("content", "text")).select("query_id", *FILE)
 

@@ -30,7 +30,9 @@ def corpus(spark, texts):
 def asked(texts):
     rng = random.Random(3)
     out = [t[i : i + rng.randint(1, 6)] for t in texts if len(t) > 8 for i in (2,)]
-    return out + ["", "absent", "a", "\n", "😀"]
+    # Texts with whole words, of every length, and the odd ones.
+    words = [t[:20] for t in texts[:40]] + [t[1:] for t in texts[40:60]]
+    return out + words + ["", "absent", "a", "\n", "😀", " ", "  ", " a ", "a  b"]
 
 
 def brute(texts, asked):

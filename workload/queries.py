@@ -38,6 +38,7 @@ from corpusquery.operators.search import (
     score_files,
     top_files,
 )
+from corpusquery.plans.joins import materialize
 from corpusquery.plans.predicates import Predicate
 from corpusquery.sources.sinks import read_entries, read_postings, write_index
 from corpusquery.streaming import jobs
@@ -171,7 +172,7 @@ def search_turns(spark, sf):
 
 @query
 def mode_lines(spark, sf):
-    return search(v.files(spark, sf), term("license") | regex("thh?e[rn]"), limit=None)
+    return search(v.spread_files(spark, sf), term("license") | regex("thh?e[rn]"), limit=None)
 
 
 @query
@@ -350,10 +351,8 @@ def search_stats(spark, sf):
 
 @query
 def search_cost(spark, sf):
-    files = v.files(spark, sf)
-    return index.search_cost(
-        files, index.ngram_postings(files), (term("License") | term("version")) & term("under"), limit=10
-    )
+    predicate = (term("License") | term("version")) & term("under")
+    return index.search_cost(v.files(spark, sf), postings(spark, sf), predicate, limit=10)
 
 
 # Repositories -----------------------------------------------------------------
@@ -473,20 +472,25 @@ def url_hosts(spark, sf):
 # Index --------------------------------------------------------------------------
 
 
+def postings(spark, sf):
+    """The n-gram index, written once and then read, as a search does."""
+    return materialize(index.ngram_postings(v.spread_files(spark, sf)), "postings")
+
+
 @query
 def ngram_postings(spark, sf):
     """Posting list lengths: every posting is counted."""
-    return index.posting_lists(index.ngram_postings(v.files(spark, sf)))
+    return index.posting_lists(index.ngram_postings(v.spread_files(spark, sf)))
 
 
 @query
 def candidates(spark, sf):
-    return index.candidates(index.ngram_postings(v.files(spark, sf)), v.batch_queries(spark, sf))
+    return index.candidates(postings(spark, sf), v.batch_queries(spark, sf))
 
 
 @query
 def search_batch(spark, sf):
-    return index.search_batch(v.files(spark, sf), v.batch_queries(spark, sf))
+    return index.search_batch(v.spread_files(spark, sf), v.batch_queries(spark, sf))
 
 
 @query
@@ -496,7 +500,7 @@ def search_batch_anchored(spark, sf):
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
         F.element_at(F.split("text", r"[.?!]\s*"), 1).alias("text"),
     )
-    return index.search_batch(v.files(spark, sf), turns)
+    return index.search_batch(v.spread_files(spark, sf), turns)
 
 
 @query
@@ -504,7 +508,7 @@ def search_narrowed(spark, sf):
     """Search that reads only the candidates of the n-gram index."""
     files = v.files(spark, sf)
     predicate = term("apache") & (term("License") | term("version"))
-    narrowed = index.narrow_files(files, index.ngram_postings(files), predicate)
+    narrowed = index.narrow_files(files, postings(spark, sf), predicate)
     return score_files(matching_files(narrowed, predicate), predicate)
 
 

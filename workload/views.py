@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusquery.functions.text import url_host
 from corpusquery.operators.symbols import SymbolRule
+from corpusquery.plans.partitioning import spread
 from corpusquery.sources.rules import NESTED_KINDS, struct_ddl
 
 
@@ -18,6 +19,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_files(table(spark, sf_dir, "documents"))
 
 
+def spread_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``files`` for work that is heavy per byte, on all cores."""
+    return as_files(spread(table(spark, sf_dir, "documents")))
+
+
 def as_files(documents: DataFrame) -> DataFrame:
     """Documents as files of the repository named by their source."""
     return documents.select(
