@@ -39,17 +39,39 @@ def lines(files: DataFrame) -> DataFrame:
     )
 
 
-def matches_column(predicate: Predicate, context: int = 0) -> Column:
+def matches_column(predicate: Predicate, context: int = 0, symbol_hits: list[str] = ()) -> Column:
     """Matching lines of a file as an array of structs.
 
-    A line matches when any positive content atom does.  Each entry carries
-    the line, the byte fragments of all positive atoms and up to ``context``
-    lines before and after it, clipped to the file.
+    A line matches when any positive content atom does or when it defines a
+    symbol of a positive symbol atom; ``symbol_hits`` names the columns that
+    hold those.  Each entry carries the line, the byte fragments of all
+    positive atoms and up to ``context`` lines before and after it, clipped to
+    the file.
     """
-    atoms = list(dict.fromkeys(predicate.positive_content()))
-    if not atoms:
+    atoms = predicate.line_atoms()
+    if not atoms and not symbol_hits:
         return F.array().cast(MATCHES_TYPE)
     patterns = [a.line_pattern() for a in atoms]
+    no_fragments = F.array().cast(FRAGMENTS_TYPE)
+    spots = [F.coalesce(F.col(c), F.array().cast(SPOTS_TYPE)) for c in symbol_hits]
+
+    def line_fragments(n: Column, line: Column) -> Column:
+        found = []
+        if patterns:
+            plain = all_fragments(line, patterns)
+            found.append(
+                F.transform(
+                    plain,
+                    lambda f: F.struct(
+                        f["off"].alias("off"), f["len"].alias("len"),
+                        F.lit(None).cast(SYMBOL_TYPE).alias("symbol"),
+                    ),
+                )
+            )
+        for spot in spots:
+            at = F.array_position(spot["line_no"], n).cast("int")
+            found.append(F.coalesce(F.get(spot, at - 1)["fragments"], no_fragments))
+        return found[0] if len(found) == 1 else F.array_sort(F.concat(*found))
 
     def hit(line: Column) -> Column:
         found = atoms[0].line_column(line)
@@ -69,25 +91,31 @@ def matches_column(predicate: Predicate, context: int = 0) -> Column:
                 line.alias("line"),
                 (before if context else nothing).alias("before"),
                 (F.slice(all_lines, n + 1, context) if context else nothing).alias("after"),
-                all_fragments(line, patterns).alias("fragments"),
+                line_fragments(n, line).alias("fragments"),
             )
 
-        numbers = F.filter(indices(all_lines), lambda n: hit(all_lines[n - 1]))
+        lists = [F.filter(indices(all_lines), lambda n: hit(all_lines[n - 1]))] if atoms else []
+        lists += [spot["line_no"] for spot in spots]
+        numbers = lists[0] if len(lists) == 1 else F.array_sort(F.array_distinct(F.concat(*lists)))
         return F.transform(numbers, entry)
 
     return let(split_lines(F.col("content")), collect)
 
 
+SYMBOL_TYPE = "struct<sym:string,kind:string,parent:string,parent_kind:string>"
+FRAGMENTS_TYPE = f"array<struct<off:int,len:int,symbol:{SYMBOL_TYPE}>>"
+SPOTS_TYPE = f"array<struct<line_no:int,fragments:{FRAGMENTS_TYPE}>>"
 MATCHES_TYPE = (
     "array<struct<line_no:int,line:string,before:array<string>,after:array<string>,"
-    "fragments:array<struct<off:int,len:int>>>>"
+    f"fragments:{FRAGMENTS_TYPE}>>"
 )
 
 
 def with_matches(files: DataFrame, predicate: Predicate, context: int = 0) -> DataFrame:
     """Replace the content of already filtered files by their matching lines."""
-    kept = [c for c in files.columns if c != "content"]
-    return files.select(*kept, matches_column(predicate, context).alias("matches"))
+    hits = [a.hits() for a in predicate.symbol_atoms() if a.hits() in files.columns]
+    kept = [c for c in files.columns if c != "content" and not c.startswith("symbol_hits_")]
+    return files.select(*kept, matches_column(predicate, context, hits).alias("matches"))
 
 
 def _explode(df: DataFrame, array: Column, *keep: str) -> DataFrame:
@@ -115,12 +143,13 @@ def fragment_rows(matched: DataFrame) -> DataFrame:
             lambda m: F.transform(
                 m["fragments"],
                 lambda f: F.struct(
-                    m["line_no"].alias("line_no"), f["off"].alias("off"), f["len"].alias("len")
+                    m["line_no"].alias("line_no"), f["off"].alias("off"), f["len"].alias("len"),
+                    f["symbol"].alias("symbol"),
                 ),
             ),
         )
     )
-    return _explode(matched, flat, *FILE).select(*FILE, "x.line_no", "x.off", "x.len")
+    return _explode(matched, flat, *FILE).select(*FILE, "x.line_no", "x.off", "x.len", "x.symbol")
 
 
 def context_rows(matched: DataFrame) -> DataFrame:
@@ -215,7 +244,7 @@ def ranges_by_window(line_rows: DataFrame) -> DataFrame:
 
 def chunk_rows(files: DataFrame, predicate: Predicate, context: int = 0) -> DataFrame:
     """Chunk mode: windows of a match and its context, merged where they touch."""
-    atoms = list(dict.fromkeys(predicate.positive_content()))
+    atoms = predicate.line_atoms()
     kept = files.select(*FILE, chunks_column(atoms, context).alias("chunks"))
     return _explode(kept, F.col("chunks"), *FILE).select(
         *FILE, "x.first_line", "x.last_line", "x.n_matches", "x.text"

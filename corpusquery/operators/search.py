@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusquery.functions.text import file_key, split_lines
@@ -34,16 +34,18 @@ def attach_repos(files: DataFrame, repos: DataFrame, columns: list[str], how: st
     return join_by_size(files, repos.select("repo", *columns), ["repo"], how, spread_by=FILE)
 
 
-def symbol_keys(symbols: DataFrame, atom: Symbol) -> DataFrame:
-    """Files with such a symbol, written out once as keys."""
-    keys = symbols.where(atom.name_column()).select(*FILE).distinct()
-    return materialize(keys, "symbol-keys")
-
-
-def flag_symbols(files: DataFrame, symbols: DataFrame, atom: Symbol) -> DataFrame:
-    """Add the boolean column a symbol atom refers to."""
-    keys = symbol_keys(symbols, atom).withColumn(atom.flag(), F.lit(True))
-    return join_by_size(files, keys, FILE, "left")
+def symbol_hits(symbols: DataFrame, atom: Symbol) -> DataFrame:
+    """Per file, the lines that define such a symbol and where its name stands."""
+    info = F.struct("sym", "kind", "parent", "parent_kind").alias("symbol")
+    per_line = (
+        symbols.where(atom.name_column())
+        .groupBy(*FILE, "line_no")
+        .agg(F.array_sort(F.collect_list(F.struct("off", "len", info))).alias("fragments"))
+    )
+    per_file = per_line.groupBy(*FILE).agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "fragments"))).alias(atom.hits())
+    )
+    return materialize(per_file, "symbol-hits")
 
 
 def _conjuncts(predicate: Predicate) -> list[Predicate]:
@@ -58,11 +60,22 @@ def matching_files(
     repos: DataFrame | None = None,
     symbols: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows of ``files`` that satisfy the predicate, with their columns unchanged.
+    """Rows of ``files`` that satisfy the predicate, with their columns unchanged."""
+    return find_files(files, predicate, repos, symbols).select(*files.columns)
+
+
+def find_files(
+    files: DataFrame,
+    predicate: Predicate,
+    repos: DataFrame | None = None,
+    symbols: DataFrame | None = None,
+) -> DataFrame:
+    """Matching files together with the symbol hits of the predicate.
 
     Conjuncts that need no other table run first, next to the scan.  A symbol
-    conjunct becomes a semi-join; symbol atoms elsewhere, under an ``or`` or a
-    negation, become flag columns.
+    conjunct becomes an inner join that drops other files; symbol atoms
+    elsewhere, under an ``or`` or a negation, are outer joins whose column is
+    tested for null (J9).
     """
     local, joined, required = [], [], []
     for conjunct in _conjuncts(predicate):
@@ -82,8 +95,8 @@ def matching_files(
         found = found.where(conjunct.column())
     if (required or any(isinstance(a, Symbol) for c in joined for a in c.atoms())) and symbols is None:
         raise ValueError("symbol atoms need the symbols table")
-    for atom in required:
-        found = join_by_size(found, symbol_keys(symbols, atom), FILE, "left_semi")
+    for atom in dict.fromkeys(required):
+        found = join_by_size(found, symbol_hits(symbols, atom), FILE, "inner")
 
     atoms = {a for c in joined for a in c.atoms()}
     flags = sorted({a.name for a in atoms if isinstance(a, RepoFlag)} - set(found.columns))
@@ -92,24 +105,30 @@ def matching_files(
             raise ValueError(f"repository attributes need the repos table: {flags}")
         found = attach_repos(found, repos, flags)
     for atom in sorted((a for a in atoms if isinstance(a, Symbol)), key=lambda a: a.text):
-        found = flag_symbols(found, symbols, atom)
+        if atom.hits() not in found.columns:
+            found = join_by_size(found, symbol_hits(symbols, atom), FILE, "left")
     for conjunct in joined:
         found = found.where(conjunct.column())
-    return found.select(*files.columns) if joined else found
+    return found.drop(*flags)
 
 
-def score_column(predicate: Predicate):
-    """Relevance of a file: all matches of all positive content atoms (L3)."""
+def score_column(predicate: Predicate, columns: list[str]) -> Column:
+    """Relevance of a file: matches of all positive content and symbol atoms (L3)."""
     content = F.col("content")
     total = F.lit(0).cast("bigint")
-    for atom in dict.fromkeys(predicate.positive_content()):
+    for atom in predicate.line_atoms():
         total = total + atom.count_column(content, split_lines(content))
+    for atom in predicate.symbol_atoms():
+        if atom.hits() in columns:
+            per_line = F.transform(F.col(atom.hits()), lambda s: F.size(s["fragments"]))
+            count = F.aggregate(per_line, F.lit(0), lambda a, b: a + b)
+            total = total + F.coalesce(count, F.lit(0))
     return total
 
 
-def score_files(matching: DataFrame, predicate: Predicate, *keep: str) -> DataFrame:
+def score_files(found: DataFrame, predicate: Predicate, *keep: str) -> DataFrame:
     """Keys and scores, with other columns on request; the content goes no further."""
-    return matching.select(*FILE, score_column(predicate).alias("score"), *keep)
+    return found.select(*FILE, score_column(predicate, found.columns).alias("score"), *keep)
 
 
 def best_first() -> list:
@@ -138,12 +157,13 @@ def search_lines(
     context are computed for the kept files only.  Without one, everything is
     done in a single pass over the files.
     """
-    found = matching_files(files, predicate, repos, symbols)
+    found = find_files(files, predicate, repos, symbols)
     cap = effective_limit(limit)
     if cap is None:
-        scored = found.withColumn("score", score_column(predicate))
+        scored = found.withColumn("score", score_column(predicate, found.columns))
     else:
-        kept = top_files(score_files(found, predicate), cap)
+        hits = [a.hits() for a in predicate.symbol_atoms()]
+        kept = top_files(score_files(found, predicate, *hits), cap)
         # The cap itself bounds this side.
         scored = files.join(F.broadcast(kept) if cap <= MAX_BROADCAST_ROWS else kept, FILE)
     return with_matches(scored, predicate, context)
@@ -197,7 +217,7 @@ def search(
     if mode == "repos" or (mode == "lines" and is_repo_only(predicate)):
         return list_repos(files, predicate, repos, symbols)
     if mode == "files":
-        found = matching_files(files, predicate, repos, symbols)
+        found = find_files(files, predicate, repos, symbols)
         return list_files(top_files(score_files(found, predicate), limit))
     return range_rows(
         search_lines(

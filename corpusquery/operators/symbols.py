@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusquery.functions.binding import let, let2
 from corpusquery.functions.patterns import flagged
-from corpusquery.functions.text import split_lines
+from corpusquery.functions.text import fragments, split_lines
 from corpusquery.operators.lines import FILE
 
 
@@ -37,23 +38,30 @@ def detect_language(files: DataFrame, extensions: dict[str, str], unknown: str =
 
 @dataclass(frozen=True)
 class SymbolRule:
-    """How a kind of symbol is written in a language: group 1 is the name.
+    """How a kind of symbol is written in a language.
 
-    ``parent_kind`` names the kind that encloses it: the nearest such symbol
-    above in the same file.
+    The three patterns, without groups of their own, match the text before the
+    name, the name and the text after it.  ``parent_kind`` names the kind that
+    encloses it: the nearest such symbol above in the same file.
     """
 
     language: str
     kind: str
-    pattern: str
+    before: str
+    name: str
+    after: str = ""
     parent_kind: str | None = None
 
+    def pattern(self) -> str:
+        return flagged(f"({self.before})({self.name}){self.after}", True)
+
 
 def extract_symbols(files: DataFrame, rules: list[SymbolRule]) -> DataFrame:
-    """Symbol definitions ``(repo, path, line_no, pos, sym, kind, parent, parent_kind)``.
+    """Symbol definitions ``(repo, path, line_no, pos, sym, kind, parent, parent_kind, off, len)``.
 
     Rules are configuration and become literals, so each pattern is compiled
-    once.  ``pos`` numbers the symbols of a line.
+    once.  ``pos`` numbers the symbols of a line; ``off`` and ``len`` are the
+    bytes of the name in its line.
     """
     by_language: dict[str, list[SymbolRule]] = {}
     for rule in rules:
@@ -74,7 +82,7 @@ def extract_symbols(files: DataFrame, rules: list[SymbolRule]) -> DataFrame:
     symbols = (
         numbered.select(*FILE, (F.col("i") + 1).alias("line_no"), F.posexplode_outer(branches).alias("p", "s"))
         .where(F.col("s").isNotNull())
-        .select(*FILE, "line_no", (F.col("p") + 1).alias("pos"), "s.sym", "s.kind", "s.wants")
+        .select(*FILE, "line_no", (F.col("p") + 1).alias("pos"), "s.sym", "s.kind", "s.wants", "s.off", "s.len")
     )
     parents = sorted({r.parent_kind for r in rules if r.parent_kind})
     if not parents:
@@ -82,6 +90,7 @@ def extract_symbols(files: DataFrame, rules: list[SymbolRule]) -> DataFrame:
             *FILE, "line_no", "pos", "sym", "kind",
             F.lit(None).cast("string").alias("parent"),
             F.lit(None).cast("string").alias("parent_kind"),
+            "off", "len",
         )
     # The symbols of one file are the group here, never those of a repository.
     above = W.partitionBy(*FILE).orderBy("line_no", "pos").rowsBetween(W.unboundedPreceding, -1)
@@ -92,15 +101,26 @@ def extract_symbols(files: DataFrame, rules: list[SymbolRule]) -> DataFrame:
     return symbols.withColumn("parent", parent).select(
         *FILE, "line_no", "pos", "sym", "kind", "parent",
         F.when(F.col("parent").isNotNull(), F.col("wants")).alias("parent_kind"),
+        "off", "len",
     )
 
 
 def _names_of(rule: SymbolRule) -> Column:
-    return F.transform(
-        F.regexp_extract_all(F.col("line"), F.lit(flagged(rule.pattern, True)), F.lit(1)),
-        lambda name: F.struct(
-            name.alias("sym"),
-            F.lit(rule.kind).alias("kind"),
-            F.lit(rule.parent_kind).cast("string").alias("wants"),
-        ),
-    )
+    line, regex = F.col("line"), F.lit(rule.pattern())
+    part = lambda group: F.regexp_extract_all(line, regex, F.lit(group))
+
+    def names(leads: Column, found: Column, spans: Column) -> Column:
+        return F.transform(
+            found,
+            lambda name, k: F.struct(
+                name.alias("sym"),
+                F.lit(rule.kind).alias("kind"),
+                F.lit(rule.parent_kind).cast("string").alias("wants"),
+                (spans[k]["off"] + F.octet_length(leads[k])).alias("off"),
+                F.octet_length(name).alias("len"),
+            ),
+        )
+
+    return let2(part(1), part(2), lambda leads, found: let(
+        fragments(line, rule.pattern()), lambda spans: names(leads, found, spans)
+    ))

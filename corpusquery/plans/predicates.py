@@ -53,10 +53,21 @@ class Predicate:
         for child in below:
             yield from child.atoms()
 
-    def positive_content(self, negated: bool = False) -> Iterator[ContentAtom]:
-        """Content atoms that select lines: those under an even number of negations."""
-        for child in self.children():
-            yield from child.positive_content(negated)
+    def positive(self, negated: bool = False) -> Iterator[Predicate]:
+        """Atoms under an even number of negations."""
+        below = self.children()
+        if not below and not negated:
+            yield self
+        for child in below:
+            yield from child.positive(negated)
+
+    def line_atoms(self) -> list[ContentAtom]:
+        """Content atoms that select lines, each once."""
+        return list(dict.fromkeys(a for a in self.positive() if isinstance(a, ContentAtom)))
+
+    def symbol_atoms(self) -> list[Symbol]:
+        """Symbol atoms that select lines, each once."""
+        return list(dict.fromkeys(a for a in self.positive() if isinstance(a, Symbol)))
 
     def column(self) -> Column:
         """The predicate as a boolean column over one file row."""
@@ -98,8 +109,8 @@ class Not(Predicate):
     def children(self):
         return (self.part,)
 
-    def positive_content(self, negated=False):
-        yield from self.part.positive_content(not negated)
+    def positive(self, negated=False):
+        yield from self.part.positive(not negated)
 
     def column(self):
         # Absent values never match, so their negation does.
@@ -111,10 +122,6 @@ class ContentAtom(Predicate):
 
     case: bool | None
 
-    def positive_content(self, negated=False):
-        if not negated:
-            yield self
-
     def line_column(self, line: Column) -> Column:
         raise NotImplementedError
 
@@ -227,7 +234,8 @@ class Language(Predicate):
 class Symbol(Predicate):
     """A symbol definition whose name contains a text (F13), smart case.
 
-    The column is the flag that ``operators.search`` joins onto the files.
+    ``operators.search`` joins the lines of such definitions onto the files,
+    in a column that is null for files without any.
     """
 
     text: str
@@ -235,11 +243,11 @@ class Symbol(Predicate):
     def name_column(self) -> Column:
         return Term(self.text).line_column(F.col("sym"))
 
-    def flag(self) -> str:
-        return "has_symbol_" + "".join(f"{b:02x}" for b in self.text.encode())
+    def hits(self) -> str:
+        return "symbol_hits_" + "".join(f"{b:02x}" for b in self.text.encode())
 
     def column(self):
-        return F.col(self.flag())
+        return F.col(self.hits()).isNotNull()
 
 
 @dataclass(frozen=True)

@@ -3,7 +3,8 @@
 import pytest
 
 from corpusquery import (
-    archived, branch, case_sensitive, fork, lang, path, phrase, public, regex, repo, search, sym, term,
+    archived, branch, case_sensitive, fork, lang, path, phrase, public, regex, repo, search, search_lines,
+    sym, term,
 )
 from corpusquery.operators.search import list_repos, matching_files
 from corpusquery.operators.symbols import SymbolRule, extract_symbols
@@ -71,9 +72,9 @@ def test_repo_only_rule():
 
 
 RULES = [
-    SymbolRule("java", "class", r"class (\w+)"),
-    SymbolRule("python", "class", r"^class (\w+)"),
-    SymbolRule("python", "field", r"^  (\w+) =", parent_kind="class"),
+    SymbolRule("java", "class", "class ", r"\w+"),
+    SymbolRule("python", "class", "^class ", r"\w+"),
+    SymbolRule("python", "field", "^  ", r"\w+", " =", parent_kind="class"),
 ]
 
 
@@ -93,13 +94,40 @@ def test_symbol_atoms(mini, monkeypatch, small):
 def test_symbol_rows(mini):
     rows = extract_symbols(mini, RULES).orderBy("repo", "path", "line_no", "pos").collect()
     assert [tuple(r)[2:] for r in rows] == [
-        (1, 1, "Needle", "class", None, None),
-        (1, 1, "needle", "class", None, None),
-        (2, 1, "phone", "field", "needle", "class"),
-        (3, 1, "hay", "field", "needle", "class"),
+        (1, 1, "Needle", "class", None, None, 6, 6),
+        (1, 1, "needle", "class", None, None, 6, 6),
+        (2, 1, "phone", "field", "needle", "class", 2, 5),
+        (3, 1, "hay", "field", "needle", "class", 2, 3),
     ]
 
 
+def test_symbol_offsets_in_a_line_that_repeats_the_name(text_file):
+    df = text_file("é class class, class b")
+    rule = SymbolRule("text", "class", "class ", r"\w+")
+    rows = extract_symbols(df, [rule]).orderBy("pos").collect()
+    assert [(r.sym, r.off, r.len) for r in rows] == [("class", 9, 5), ("b", 22, 1)]
+
+
+@pytest.mark.parametrize("limit", [None, 1, 0])
+def test_symbol_search_shows_definition_lines(mini, limit):
+    """A symbol atom selects the lines of its definitions, with their details."""
+    symbols = extract_symbols(mini, RULES)
+    found = search_lines(mini, sym("ha") | term("thread"), symbols=symbols, limit=limit)
+    rows = {(r.path, m.line_no): m for r in found.collect() for m in r.matches}
+    # Equal scores: the cap of one keeps the first repository.
+    assert set(rows) == ({(A, 1)} if limit == 1 else {(A, 1), (X, 3)})
+    if limit != 1:
+        (fragment,) = rows[(X, 3)].fragments
+        assert (fragment.off, fragment.len) == (2, 3)
+        assert tuple(fragment.symbol) == ("hay", "field", "needle", "class")
+        assert rows[(A, 1)].fragments[0].symbol is None
+    texts = {r.text for r in search(mini, sym("needle"), symbols=symbols).collect()}
+    assert texts == {"class Needle {", "class needle:"}
+    both = search_lines(mini, sym("needle") & term("class"), symbols=symbols, limit=None)
+    assert sorted(r.score for r in both.collect()) == [2, 2]
+    assert all(len(r.matches) == 1 and len(r.matches[0].fragments) == 2 for r in both.collect())
+
+
 def test_null_content_never_matches(spark):
     df = spark.createDataFrame(
         [("r", "a", None), ("r", "b", "hay")], "repo string, path string, content string"

@@ -234,21 +234,34 @@ TASKS = """tasks AS (
            row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
     FROM events) e WHERE rn = 1)"""
 
-SYMBOLS = """found AS (
-  SELECT repo, path, line_no, unnest(s) AS s, CAST(generate_subscripts(s, 1) AS INTEGER) AS pos
-  FROM (SELECT repo, path, line_no, list_concat(
-          list_transform(regexp_extract_all(line, '<title>([^<]+)</title>', 1),
-                         lambda x: {'sym': x, 'kind': 'title'}),
-          list_transform(regexp_extract_all(line, '<h[1-6]>([^<]+)</h[1-6]>', 1),
-                         lambda x: {'sym': x, 'kind': 'heading'})) AS s
-        FROM lines) q),
+def symbol_cte(kind: str, opening: str, closing: str) -> str:
+    """Symbols of one rule: name, byte offset in the line and order."""
+    pattern = f"{opening}[^<]+{closing}"
+    return f"""
+  SELECT repo, path, line_no, '{kind}' AS kind, i,
+         regexp_extract(m[i], '{opening}([^<]+){closing}', 1) AS sym,
+         CAST(list_sum(list_transform(p[1:i], lambda x: strlen(x)))
+              + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: strlen(x))), 0)
+              + strlen(regexp_extract(m[i], '^{opening}')) AS INTEGER) AS off
+  FROM (SELECT repo, path, line_no, string_split_regex(line, '{pattern}') AS p,
+               regexp_extract_all(line, '{pattern}') AS m
+        FROM lines WHERE regexp_matches(line, '{pattern}')) t,
+       LATERAL (SELECT unnest(range(1, len(m) + 1)) AS i) u"""
+
+
+SYMBOLS = f"""found AS ({symbol_cte('title', '<title>', '</title>')}
+  UNION ALL {symbol_cte('heading', '<h[1-6]>', '</h[1-6]>')}),
+numbered AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY repo, path, line_no
+                                    ORDER BY kind = 'heading', i) AS INTEGER) AS pos FROM found),
 symbols AS (
-  SELECT repo, path, line_no, pos, s.sym AS sym, s.kind AS kind,
-         CASE WHEN s.kind = 'heading' THEN
-           last_value(CASE WHEN s.kind = 'title' THEN s.sym END IGNORE NULLS) OVER (
+  SELECT repo, path, line_no, pos, sym, kind,
+         CASE WHEN kind = 'heading' THEN
+           last_value(CASE WHEN kind = 'title' THEN sym END IGNORE NULLS) OVER (
              PARTITION BY repo, path ORDER BY line_no, pos
-             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS parent
-  FROM found)"""
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS parent,
+         off, CAST(strlen(sym) AS INTEGER) AS len
+  FROM numbered)"""
 
 
 def literal_grams(*words: str) -> list[str]:
@@ -325,7 +338,8 @@ ORACLES: dict[str, str] = {
     "filter_symbol": found(
         f"""{has('article')} AND EXISTS (SELECT 1 FROM symbols s WHERE s.repo = files.repo
         AND s.path = files.path AND {has('the', 's.sym')})""",
-        hits("article"),
+        hits("article") + f""" + (SELECT count(*) FROM symbols s WHERE s.repo = files.repo
+        AND s.path = files.path AND {has('the', 's.sym')})""",
         [PAGE_FILES, LINES, SYMBOLS],
     ),
     "filter_symbol_or": found(
@@ -333,8 +347,15 @@ ORACLES: dict[str, str] = {
              AND {has('The', 's.sym')}) OR {has('étion')})
         AND NOT EXISTS (SELECT 1 FROM symbols s WHERE s.repo = files.repo AND s.path = files.path
              AND {has('ouon', 's.sym')})""",
-        hits("étion"),
+        hits("étion") + f""" + (SELECT count(*) FROM symbols s WHERE s.repo = files.repo
+        AND s.path = files.path AND {has('The', 's.sym')})""",
+        [PAGE_FILES, LINES, SYMBOLS],
+    ),
+    "symbol_lines": with_(
         [PAGE_FILES, LINES, SYMBOLS],
+        f"""SELECT repo, path, line_no, off, len, sym, kind, parent,
+       CASE WHEN parent IS NOT NULL THEN 'title' END AS parent_kind
+FROM symbols WHERE {has('the', 'sym')}""",
     ),
     "search_turns": found(
         rf"regexp_matches(content, '(?im)\bthe[a-z]*\b') AND NOT {has('und')} AND language = 'assistant'",

@@ -32,6 +32,7 @@ from corpusquery.operators import index, lifecycle, lines, repos, results, rules
 from corpusquery.operators.search import (
     attach_repos,
     envelope,
+    find_files,
     list_files,
     list_repos,
     matching_files,
@@ -148,7 +149,7 @@ def filter_symbol(spark, sf):
     pages = v.page_files(spark, sf)
     predicate = sym("the") & term("article")
     defs = symbols.extract_symbols(pages, v.HTML_RULES)
-    return score_files(matching_files(pages, predicate, symbols=defs), predicate)
+    return score_files(find_files(pages, predicate, symbols=defs), predicate)
 
 
 @query
@@ -157,7 +158,16 @@ def filter_symbol_or(spark, sf):
     pages = v.page_files(spark, sf)
     predicate = (sym("The") | term("étion")) & ~sym("ouon")
     defs = symbols.extract_symbols(pages, v.HTML_RULES)
-    return score_files(matching_files(pages, predicate, symbols=defs), predicate)
+    return score_files(find_files(pages, predicate, symbols=defs), predicate)
+
+
+@query
+def symbol_lines(spark, sf):
+    """Lines of symbol definitions with the details of each symbol."""
+    pages = v.page_files(spark, sf)
+    defs = symbols.extract_symbols(pages, v.HTML_RULES)
+    found = search_lines(pages, sym("the"), symbols=defs, limit=None)
+    return lines.fragment_rows(found).select("repo", "path", "line_no", "off", "len", "symbol.*")
 
 
 @query
@@ -240,7 +250,8 @@ def columns(spark, sf):
 
 @query
 def fragments(spark, sf):
-    return lines.fragment_rows(_matched(spark, sf, term("étion") | regex("on[a-z]*é")))
+    found = lines.fragment_rows(_matched(spark, sf, term("étion") | regex("on[a-z]*é")))
+    return found.select("repo", "path", "line_no", "off", "len")
 
 
 @query

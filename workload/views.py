@@ -81,8 +81,8 @@ def turn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HTML_RULES = [
-    SymbolRule("html", "title", r"<title>([^<]+)</title>"),
-    SymbolRule("html", "heading", r"<h[1-6]>([^<]+)</h[1-6]>", parent_kind="title"),
+    SymbolRule("html", "title", "<title>", "[^<]+", "</title>"),
+    SymbolRule("html", "heading", "<h[1-6]>", "[^<]+", "</h[1-6]>", parent_kind="title"),
 ]
 
 
