@@ -39,65 +39,78 @@ def lines(files: DataFrame) -> DataFrame:
     )
 
 
+def symbol_columns(files: DataFrame, predicate: Predicate) -> list[str]:
+    """Columns with the symbol hits of the predicate, as far as they are joined on."""
+    return [a.hits() for a in predicate.symbol_atoms() if a.hits() in files.columns]
+
+
+def _spots(symbol_hits: list[str]) -> list[Column]:
+    return [F.coalesce(F.col(c), F.array().cast(SPOTS_TYPE)) for c in symbol_hits]
+
+
+def matching_numbers(predicate: Predicate, symbol_hits: list[str], all_lines: Column) -> Column:
+    """Numbers of the lines a predicate selects, in order.
+
+    A line is selected when any positive content atom matches it or when it
+    defines a symbol of a positive symbol atom.
+    """
+    atoms = predicate.line_atoms()
+
+    def hit(line: Column) -> Column:
+        found = atoms[0].line_column(line)
+        for atom in atoms[1:]:
+            found = found | atom.line_column(line)
+        return found
+
+    lists = [spot["line_no"] for spot in _spots(symbol_hits)]
+    if atoms:
+        lists.append(F.filter(indices(all_lines), lambda n: hit(all_lines[n - 1])))
+    if not lists:
+        return F.array().cast("array<int>")
+    return lists[0] if len(lists) == 1 else F.array_sort(F.array_distinct(F.concat(*lists)))
+
+
 def matches_column(predicate: Predicate, context: int = 0, symbol_hits: list[str] = ()) -> Column:
     """Matching lines of a file as an array of structs.
 
-    A line matches when any positive content atom does or when it defines a
-    symbol of a positive symbol atom; ``symbol_hits`` names the columns that
-    hold those.  Each entry carries the line, the byte fragments of all
-    positive atoms and up to ``context`` lines before and after it, clipped to
-    the file.
+    Each entry carries the line, the byte fragments of all positive atoms and
+    up to ``context`` lines before and after it, clipped to the file.
+    ``symbol_hits`` names the columns with the definitions of symbol atoms.
     """
-    atoms = predicate.line_atoms()
-    if not atoms and not symbol_hits:
-        return F.array().cast(MATCHES_TYPE)
-    patterns = [a.line_pattern() for a in atoms]
+    patterns = [a.line_pattern() for a in predicate.line_atoms()]
     no_fragments = F.array().cast(FRAGMENTS_TYPE)
-    spots = [F.coalesce(F.col(c), F.array().cast(SPOTS_TYPE)) for c in symbol_hits]
+    no_lines = F.array().cast("array<string>")
 
     def line_fragments(n: Column, line: Column) -> Column:
         found = []
         if patterns:
-            plain = all_fragments(line, patterns)
-            found.append(
-                F.transform(
-                    plain,
-                    lambda f: F.struct(
-                        f["off"].alias("off"), f["len"].alias("len"),
-                        F.lit(None).cast(SYMBOL_TYPE).alias("symbol"),
-                    ),
-                )
+            plain = lambda f: F.struct(
+                f["off"].alias("off"),
+                f["len"].alias("len"),
+                F.lit(None).cast(SYMBOL_TYPE).alias("symbol"),
             )
-        for spot in spots:
+            found.append(F.transform(all_fragments(line, patterns), plain))
+        for spot in _spots(symbol_hits):
             at = F.array_position(spot["line_no"], n).cast("int")
             found.append(F.coalesce(F.get(spot, at - 1)["fragments"], no_fragments))
+        if not found:
+            return no_fragments
         return found[0] if len(found) == 1 else F.array_sort(F.concat(*found))
 
-    def hit(line: Column) -> Column:
-        found = atoms[0].line_column(line)
-        for atom in atoms[1:]:
-            found = found | atom.line_column(line)
-        return found
-
     def collect(all_lines: Column) -> Column:
         def entry(n: Column) -> Column:
             line = all_lines[n - 1]
-            nothing = F.array().cast("array<string>")
-            before = F.slice(
-                all_lines, F.greatest(n - context, F.lit(1)), F.least(n - 1, F.lit(context))
-            )
+            first = F.greatest(n - context, F.lit(1))
+            before = F.slice(all_lines, first, F.least(n - 1, F.lit(context)))
             return F.struct(
                 n.alias("line_no"),
                 line.alias("line"),
-                (before if context else nothing).alias("before"),
-                (F.slice(all_lines, n + 1, context) if context else nothing).alias("after"),
+                (before if context else no_lines).alias("before"),
+                (F.slice(all_lines, n + 1, context) if context else no_lines).alias("after"),
                 line_fragments(n, line).alias("fragments"),
             )
 
-        lists = [F.filter(indices(all_lines), lambda n: hit(all_lines[n - 1]))] if atoms else []
-        lists += [spot["line_no"] for spot in spots]
-        numbers = lists[0] if len(lists) == 1 else F.array_sort(F.array_distinct(F.concat(*lists)))
-        return F.transform(numbers, entry)
+        return F.transform(matching_numbers(predicate, symbol_hits, all_lines), entry)
 
     return let(split_lines(F.col("content")), collect)
 
@@ -113,8 +126,8 @@ MATCHES_TYPE = (
 
 def with_matches(files: DataFrame, predicate: Predicate, context: int = 0) -> DataFrame:
     """Replace the content of already filtered files by their matching lines."""
-    hits = [a.hits() for a in predicate.symbol_atoms() if a.hits() in files.columns]
-    kept = [c for c in files.columns if c != "content" and not c.startswith("symbol_hits_")]
+    hits = symbol_columns(files, predicate)
+    kept = [c for c in files.columns if c != "content" and c not in hits]
     return files.select(*kept, matches_column(predicate, context, hits).alias("matches"))
 
 
@@ -244,23 +257,17 @@ def ranges_by_window(line_rows: DataFrame) -> DataFrame:
 
 def chunk_rows(files: DataFrame, predicate: Predicate, context: int = 0) -> DataFrame:
     """Chunk mode: windows of a match and its context, merged where they touch."""
-    atoms = predicate.line_atoms()
-    kept = files.select(*FILE, chunks_column(atoms, context).alias("chunks"))
+    chunks = chunks_column(predicate, context, symbol_columns(files, predicate))
+    kept = files.select(*FILE, chunks.alias("chunks"))
     return _explode(kept, F.col("chunks"), *FILE).select(
         *FILE, "x.first_line", "x.last_line", "x.n_matches", "x.text"
     )
 
 
-def chunks_column(atoms: list, context: int) -> Column:
-    def hit(line: Column) -> Column:
-        found = F.lit(False)
-        for atom in atoms:
-            found = found | atom.line_column(line)
-        return found
-
+def chunks_column(predicate: Predicate, context: int, symbol_hits: list[str]) -> Column:
     def build(all_lines: Column) -> Column:
         total = F.size(all_lines)
-        numbers = F.filter(indices(all_lines), lambda n: hit(all_lines[n - 1]))
+        numbers = matching_numbers(predicate, symbol_hits, all_lines)
 
         def merge(hits: Column) -> Column:
             # Windows have equal width, so only the previous match can reach this one.

@@ -13,9 +13,10 @@ def content_bytes() -> Column:
 def repo_stats(files: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     """Documents and content bytes per repository.
 
-    With ``entries`` (``repo, shard, index_bytes``) the number of shards and
-    the index size are added.  Both sides are aggregated before they meet, so
-    the join handles one row per repository.
+    With ``entries`` (``repo, shard, index_bytes`` and, when known,
+    ``indexed_at``) the number of shards, the index size and the index time are
+    added.  Both sides are aggregated before they meet, so the join handles one
+    row per repository.
     """
     stats = files.groupBy("repo").agg(
         F.count(F.lit(1)).alias("documents"),
@@ -25,13 +26,16 @@ def repo_stats(files: DataFrame, entries: DataFrame | None = None) -> DataFrame:
         return stats
     # First one row per shard, then one per repository: a large repository is
     # reduced on the map side in both steps.
+    timed = "indexed_at" in entries.columns
+    latest = lambda c: [F.max(c).alias("index_time")] if timed else []
     shards = (
         entries.groupBy("repo", "shard")
-        .agg(F.sum("index_bytes").alias("index_bytes"))
+        .agg(F.sum("index_bytes").alias("index_bytes"), *latest("indexed_at"))
         .groupBy("repo")
         .agg(
             F.count(F.lit(1)).alias("shards"),
             F.sum("index_bytes").alias("index_bytes"),
+            *latest("index_time"),
         )
     )
     return stats.join(shards, "repo", "left").fillna({"shards": 0, "index_bytes": 0})
@@ -61,6 +65,19 @@ def repo_map(repos: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
+def repo_listing(repos: DataFrame, stats: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """Repositories with their attributes and statistics, those without files included.
+
+    With ``symbols`` the column ``has_symbols`` tells where definitions are known.
+    """
+    listing = repos.join(stats, "repo", "left")
+    numbers = [c for c in ("documents", "content_bytes", "shards", "index_bytes") if c in stats.columns]
+    if symbols is not None:
+        known = symbols.select("repo").distinct().withColumn("has_symbols", F.lit(True))
+        listing = listing.join(known, "repo", "left").fillna(False, ["has_symbols"])
+    return listing.fillna(0, numbers)
+
+
 # Orders of a repository list and the column each one sorts by; the prefix
 # "rev" reverses an order.
 ORDER_COLUMNS = {

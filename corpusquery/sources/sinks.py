@@ -47,11 +47,15 @@ def gram_buckets_of(grams: list[str]) -> list[int]:
 def write_index(files: DataFrame, path: str, batch_id: int = 0, n: int = GRAM) -> None:
     """Store postings and entries of files below ``path``.
 
-    ``files`` needs ``source`` and ``shard`` besides the usual columns.  A batch
-    owns its folder and replaces it as a whole, so a repeated batch leaves the
-    same index.  Postings come sorted by gram, which lets a scan skip row
-    groups.
+    A batch owns its folders and replaces them as a whole, so a repeated batch
+    leaves the same index.
     """
+    write_entries(files, path, batch_id)
+    write_postings(ngram_postings(files, n), path, batch_id)
+
+
+def write_entries(files: DataFrame, path: str, batch_id: int = 0) -> None:
+    """Store one entry per file; ``files`` needs ``source`` and ``shard`` as well."""
     entries = files.select(
         *FILE,
         "source",
@@ -66,10 +70,13 @@ def write_index(files: DataFrame, path: str, batch_id: int = 0, n: int = GRAM) -
         .partitionBy("repo_bucket")
         .parquet(f"{path}/entries/batch_id={batch_id}")
     )
+
+
+def write_postings(postings: DataFrame, path: str, batch_id: int = 0) -> None:
+    """Store postings by folders of grams, sorted so that a scan skips row groups."""
     writer = F.pmod(F.xxhash64(*FILE), F.lit(WRITERS_PER_BUCKET))
     (
-        ngram_postings(files, n)
-        .withColumn("gram_bucket", gram_bucket(F.col("gram")))
+        postings.withColumn("gram_bucket", gram_bucket(F.col("gram")))
         .repartition("gram_bucket", writer)
         .sortWithinPartitions("gram_bucket", "gram", *FILE)
         .write.mode("overwrite")

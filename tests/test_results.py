@@ -140,6 +140,21 @@ def test_repo_statistics(spark):
     assert by_id == {1: ("a", 2, 4), 2: ("b", 1, 0), 3: ("none", 0, 0)}
 
 
+def test_repo_listing(spark):
+    files = spark.createDataFrame([("a", "1", "é")], "repo string, path string, content string")
+    entries = spark.createDataFrame(
+        [("a", 0, 10, 3), ("a", 1, 5, 9)], "repo string, shard int, index_bytes bigint, indexed_at int"
+    )
+    listing = spark.createDataFrame([(1, "a"), (2, "empty")], "id int, repo string")
+    symbols = spark.createDataFrame([("a", "x"), ("a", "y")], "repo string, sym string")
+    rows = repos.repo_listing(listing, repos.repo_stats(files, entries), symbols).orderBy("id").collect()
+    assert rows[0].asDict() == {
+        "id": 1, "repo": "a", "documents": 1, "content_bytes": 2, "shards": 2, "index_bytes": 15,
+        "index_time": 9, "has_symbols": True,
+    }
+    assert (rows[1].documents, rows[1].index_time, rows[1].has_symbols) == (0, None, False)
+
+
 @pytest.mark.parametrize(
     "order,expected",
     [

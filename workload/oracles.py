@@ -520,6 +520,16 @@ FROM (SELECT repo, count(*) AS documents, CAST(sum(strlen(content)) AS BIGINT) A
 LEFT JOIN (SELECT repo, count(DISTINCT shard) AS shards, CAST(sum(index_bytes) AS BIGINT) AS index_bytes
            FROM entries GROUP BY repo) e ON e.repo = f.repo""",
     ),
+    "repo_listing": with_(
+        [FILES, REPOS, ENTRIES],
+        """SELECT r.repo, r.id, r.archived, r.fork, r.public, array_to_string(r.topics, ',') AS topics, f.documents, f.content_bytes,
+       coalesce(e.shards, 0) AS shards, coalesce(e.index_bytes, 0) AS index_bytes
+FROM repos r
+JOIN (SELECT repo, count(*) AS documents, CAST(sum(strlen(content)) AS BIGINT) AS content_bytes
+      FROM files GROUP BY repo) f ON f.repo = r.repo
+LEFT JOIN (SELECT repo, count(DISTINCT shard) AS shards, CAST(sum(index_bytes) AS BIGINT) AS index_bytes
+           FROM entries GROUP BY repo) e ON e.repo = r.repo""",
+    ),
     "corpus_totals": """SELECT count(DISTINCT source) AS repos, count(*) AS documents,
        CAST(sum(strlen(text)) AS BIGINT) AS content_bytes FROM documents""",
     "repo_map": with_(

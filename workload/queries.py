@@ -41,7 +41,7 @@ from corpusquery.operators.search import (
 )
 from corpusquery.plans.joins import materialize
 from corpusquery.plans.predicates import Predicate
-from corpusquery.sources.sinks import read_entries, read_postings, write_index
+from corpusquery.sources.sinks import read_entries, read_postings, write_entries
 from corpusquery.streaming import jobs
 from workload import views as v
 
@@ -399,6 +399,15 @@ def repo_attributes(spark, sf):
     return joined.groupBy("archived", "fork", "public").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+@query
+def repo_listing(spark, sf):
+    """The repository list with its statistics, newest first."""
+    files, entries = v.files(spark, sf), v.index_entries(spark, sf)
+    attributes = v.repos(spark, sf).withColumn("topics", F.array_join("topics", ","))
+    listing = repos.repo_listing(attributes, repos.repo_stats(files, entries))
+    return repos.order_repos(listing, "revram")
+
+
 # Rules ------------------------------------------------------------------------
 
 
@@ -665,7 +674,7 @@ def stream_orphan_sweep(spark, sf):
     files = v.files(spark, sf).select(
         "*", F.col("repo").alias("source"), F.pmod(F.octet_length("content"), F.lit(64)).cast("bigint").alias("shard")
     )
-    write_index(files, f"{base}/index")
+    write_entries(files, f"{base}/index")
     live = _feed(spark, sf, "documents").where(F.col("source") != "src3").select("source")
     jobs.stream_orphan_sweep(live, f"{base}/index", f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("shard")
