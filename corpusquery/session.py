@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     Only a local session may fall back to a temporary folder of this machine.
     """
     context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

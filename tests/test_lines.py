@@ -1,5 +1,6 @@
 """Line-level operators against row fixtures and against brute force."""
 
+import itertools
 import re
 
 import pytest
@@ -58,16 +59,21 @@ def test_fragments_in_bytes(spark):
     assert [(f.off, f.len) for f in found] == [(6, 6), (15, 6)]
 
 
-@pytest.mark.parametrize("pattern", ["a*", "x|", "(?=b)b?", "é+", "ab|b", "^", "[ab]", "a(b)?"])
-@pytest.mark.parametrize("line", ["", "aab", "baab", "bébéé", "abab", "caaac"])
-def test_fragments_like_a_matcher(spark, pattern, line):
-    expected = [
-        (len(line[: m.start()].encode()), len(m.group().encode()))
-        for m in re.finditer(pattern, line)
-        if m.group()
-    ]
-    got = value(spark, fragments(F.col("c"), pattern), c=line)
-    assert [(f.off, f.len) for f in got] == expected
+PATTERNS = ["a*", "x|", "(?=b)b?", "é+", "ab|b", "^", "[ab]", "a(b)?"]
+LINES = ["", "aab", "baab", "bébéé", "abab", "caaac"]
+
+
+def test_fragments_like_a_matcher(spark):
+    df = spark.createDataFrame([(x,) for x in LINES], "c string")
+    columns = [fragments(F.col("c"), p).alias(f"p{i}") for i, p in enumerate(PATTERNS)]
+    for row in df.select("c", *columns).collect():
+        for i, pattern in enumerate(PATTERNS):
+            expected = [
+                (len(row.c[: m.start()].encode()), len(m.group().encode()))
+                for m in re.finditer(pattern, row.c)
+                if m.group()
+            ]
+            assert [(f.off, f.len) for f in row[f"p{i}"]] == expected, (pattern, row.c)
 
 
 def test_many_fragments_in_one_line(spark):
@@ -77,45 +83,35 @@ def test_many_fragments_in_one_line(spark):
     assert [(f.off, f.len) for f in got] == [(3 * i + 1, 2) for i in range(n)]
 
 
-@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 512, 1000])
-def test_running_fold(spark, n):
-    values = [(i * 37) % 101 for i in range(n)]
-    col = F.array(*[F.lit(x) for x in values]) if n < 300 else F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i * 37) % 101
-    )
-    if n == 0:
-        col = F.array().cast("array<int>")
+def test_running_fold(spark):
+    sizes = [0, 1, 255, 256, 257, 512, 1000]
+    data = [(n, [(i * 37) % 101 for i in range(n)]) for n in sizes]
+    df = spark.createDataFrame(data, "n int, v array<int>")
     fold = binding.running(F.col("v"), lambda a, b: a + b, F.lit(0))
-    sums = spark.range(1).select(col.alias("v")).select(fold.alias("s")).first().s
-    total, expected = 0, []
-    for x in values:
-        total += x
-        expected.append(total)
-    assert sums == expected
+    got = {r.n: r.s for r in df.select("n", fold.alias("s")).collect()}
+    assert got == {n: list(itertools.accumulate(values)) for n, values in data}
 
 
 FRAGS = "array<struct<off:int,len:int>>"
 
 
-@pytest.mark.parametrize(
-    "line,frags,expected",
-    [
-        ("abcdef", [], "abcdef"),
-        ("abcdef", [(1, 2)], "a<bc>def"),
-        ("abcdef", [(4, 9)], "abcd<ef>"),
-        ("abcdef", [(3, 1), (0, 1)], "<a>bc<d>ef"),
-        ("abcdef", [(0, 3), (2, 2)], "<abcd>ef"),
-        ("abcdef", [(0, 5), (1, 1), (3, 3)], "<abcdef>"),
-        ("abcdef", [(0, 2), (2, 2)], "<ab><cd>ef"),
-        ("éaé", [(2, 1)], "é<a>é"),
-        ("éaé", [(0, 2), (3, 2)], "<é>a<é>"),
-    ],
-)
-def test_highlight(spark, line, frags, expected):
-    structs = [F.struct(F.lit(o).alias("off"), F.lit(n).alias("len")) for o, n in frags]
-    col = F.array(*structs).cast(FRAGS)
-    got = spark.range(1).select(highlight(F.lit(line), col, "<", ">").alias("v")).first().v
-    assert got == expected
+HIGHLIGHTS = [
+    ("abcdef", [], "abcdef"),
+    ("abcdef", [(1, 2)], "a<bc>def"),
+    ("abcdef", [(4, 9)], "abcd<ef>"),
+    ("abcdef", [(3, 1), (0, 1)], "<a>bc<d>ef"),
+    ("abcdef", [(0, 3), (2, 2)], "<abcd>ef"),
+    ("abcdef", [(0, 5), (1, 1), (3, 3)], "<abcdef>"),
+    ("abcdef", [(0, 2), (2, 2)], "<ab><cd>ef"),
+    ("éaé", [(2, 1)], "é<a>é"),
+    ("éaé", [(0, 2), (3, 2)], "<é>a<é>"),
+]
+
+
+def test_highlight(spark):
+    df = spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(HIGHLIGHTS)], f"i int, line string, frags {FRAGS}")
+    painted = df.select("i", highlight(F.col("line"), F.col("frags"), "<", ">").alias("v"))
+    assert {r.i: r.v for r in painted.collect()} == {i: c[2] for i, c in enumerate(HIGHLIGHTS)}
 
 
 def test_snippet_width(spark):

@@ -16,11 +16,6 @@ def nested(spark, *entries):
     return df.select(F.from_json("j", nested_schema()).alias("r")).select("r.*")
 
 
-def owners(df):
-    ordered = df.orderBy("rule_pos", "owner_pos").collect()
-    return [r.org or r.user for r in ordered]
-
-
 def test_single_org(spark):
     (row,) = rules.expand_rules(nested(spark, {"github": {"org": "myorg", "archived": False}})).collect()
     assert (row.kind, row.org, row.user, row.no_archived) == ("github", "myorg", "", True)
@@ -40,21 +35,24 @@ def test_mixed_hosts_and_empty_rule(spark):
     assert kinds == ["github", "gitiles", "cgit"]
 
 
-@pytest.mark.parametrize(
-    "entry,expected",
-    [
-        ({"discovered": ["org-a", "org-b", "org-c"], "exclude": ["org-b"]}, ["org-a", "org-c"]),
-        ({"discovered": ["team-alpha", "team-beta", "other-org"], "include": ["team-alpha", "team-beta"]},
-         ["team-alpha", "team-beta"]),
-        ({"orgs": ["org1", "org2"], "users": ["user1"]}, ["org1", "org2", "user1"]),
-        ({"org": "org1", "orgs": ["org2"], "user": "user1"}, ["org2", "org1", "user1"]),
-        ({"orgs": ["a", "a"], "discovered": ["a"]}, ["a", "a", "a"]),
-        ({"org": "", "orgs": []}, []),
-        ({"orgs": ["x", "y"], "include": ["x", "y"], "exclude": ["x"]}, ["y"]),
-    ],
-)
-def test_owner_expansion(spark, entry, expected):
-    assert owners(rules.expand_rules(nested(spark, {"github": entry}))) == expected
+OWNERS = [
+    ({"discovered": ["org-a", "org-b", "org-c"], "exclude": ["org-b"]}, ["org-a", "org-c"]),
+    ({"discovered": ["team-alpha", "team-beta", "other-org"], "include": ["team-alpha", "team-beta"]},
+     ["team-alpha", "team-beta"]),
+    ({"orgs": ["org1", "org2"], "users": ["user1"]}, ["org1", "org2", "user1"]),
+    ({"org": "org1", "orgs": ["org2"], "user": "user1"}, ["org2", "org1", "user1"]),
+    ({"orgs": ["a", "a"], "discovered": ["a"]}, ["a", "a", "a"]),
+    ({"org": "", "orgs": []}, []),
+    ({"orgs": ["x", "y"], "include": ["x", "y"], "exclude": ["x"]}, ["y"]),
+]
+
+
+def test_owner_expansion(spark):
+    expanded = rules.expand_rules(nested(spark, *[{"github": entry} for entry, _ in OWNERS]))
+    got = {i: [] for i in range(len(OWNERS))}
+    for r in expanded.orderBy("rule_pos", "owner_pos").collect():
+        got[r.rule_pos].append(r.org or r.user)
+    assert got == {i: expected for i, (_, expected) in enumerate(OWNERS)}
 
 
 def test_read_flat_rules(spark, tmp_path):
@@ -101,32 +99,33 @@ def hosted(spark):
     return spark.createDataFrame(rows, REPO_DDL).withColumn("repo", F.concat_ws("/", "host", "owner", "name"))
 
 
+SELECTIONS = [
+    ({"github": {"org": "o"}}, {"service-a"}),
+    ({"github": {"org": "o", "archived": True, "forks": True}}, {"service-a", "service-old", "legacy-b"}),
+    ({"github": {"org": "o", "forks": True, "exclude_repos": "^legacy-.*"}}, {"service-a"}),
+    ({"github": {"org": "o", "archived": True, "name": "old$"}}, {"service-old"}),
+    ({"github": {"org": "o", "archived": True, "topics": ["production", "x"]}}, {"service-a"}),
+    ({"github": {"org": "o", "forks": True, "exclude_topics": ["deprecated"]}}, {"service-a"}),
+    ({"github": {"org": "o", "forks": True, "visibility": ["private", "internal"]}}, {"legacy-b"}),
+    ({"github": {"user": "p"}}, {"service-c"}),
+    ({"gitlab": {"url": "https://gitlab.example.com/api/v4/"}}, {"mine"}),
+    ({"gitlab": {"url": "https://gitlab.example.com", "archived": True, "exclude_user_repos": True}}, {"team"}),
+    ({"gitlab": {"url": "https://gitlab.example.com", "archived": True, "only_public": True}}, {"team"}),
+    ({"gerrit": {"url": "https://gerrit.example.com:8443"}}, {"platform/x", "platform/y-test"}),
+    ({"gerrit": {"url": "https://gerrit.example.com", "active": True}}, {"platform/y-test"}),
+    ({"gerrit": {"url": "https://gerrit.example.com", "exclude": ".*-test$"}}, {"platform/x"}),
+]
+
+
 @pytest.mark.parametrize("limit", [None, 0])
-@pytest.mark.parametrize(
-    "entry,expected",
-    [
-        ({"github": {"org": "o"}}, {"service-a"}),
-        ({"github": {"org": "o", "archived": True, "forks": True}}, {"service-a", "service-old", "legacy-b"}),
-        ({"github": {"org": "o", "forks": True, "exclude_repos": "^legacy-.*"}}, {"service-a"}),
-        ({"github": {"org": "o", "archived": True, "name": "old$"}}, {"service-old"}),
-        ({"github": {"org": "o", "archived": True, "topics": ["production", "x"]}}, {"service-a"}),
-        ({"github": {"org": "o", "forks": True, "exclude_topics": ["deprecated"]}}, {"service-a"}),
-        ({"github": {"org": "o", "forks": True, "visibility": ["private", "internal"]}}, {"legacy-b"}),
-        ({"github": {"user": "p"}}, {"service-c"}),
-        ({"gitlab": {"url": "https://gitlab.example.com/api/v4/"}}, {"mine"}),
-        ({"gitlab": {"url": "https://gitlab.example.com", "archived": True, "exclude_user_repos": True}}, {"team"}),
-        ({"gitlab": {"url": "https://gitlab.example.com", "archived": True, "only_public": True}}, {"team"}),
-        ({"gerrit": {"url": "https://gerrit.example.com:8443"}}, {"platform/x", "platform/y-test"}),
-        ({"gerrit": {"url": "https://gerrit.example.com", "active": True}}, {"platform/y-test"}),
-        ({"gerrit": {"url": "https://gerrit.example.com", "exclude": ".*-test$"}}, {"platform/x"}),
-    ],
-)
-def test_select_repos(spark, hosted, monkeypatch, entry, expected, limit):
+def test_select_repos(spark, hosted, monkeypatch, limit):
     if limit is not None:
         monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", limit)
-    picked = rules.select_repos(hosted, rules.expand_rules(nested(spark, entry)))
-    names = {r.repo.split("/", 2)[2] for r in picked.collect()}
-    assert names == expected
+    picked = rules.select_repos(hosted, rules.expand_rules(nested(spark, *[e for e, _ in SELECTIONS])))
+    got = {i: set() for i in range(len(SELECTIONS))}
+    for r in picked.collect():
+        got[r.rule_pos].add(r.repo.split("/", 2)[2])
+    assert got == {i: expected for i, (_, expected) in enumerate(SELECTIONS)}
 
 
 def test_first_rule(spark):
