@@ -20,13 +20,15 @@ def retain(
 ) -> DataFrame:
     """Drop rows strictly older than ``now - max_age``.
 
-    The cut-off is a literal on the bare column, so it reaches the scan.
+    The cut-off takes the type of the column, so that the comparison is on the
+    bare column and reaches the scan.
     """
     if now is None:
         now = F.current_timestamp()
     elif isinstance(now, datetime):
         now = F.lit(now)
-    return df.where(F.col(ts) >= now - F.lit(max_age))
+    cutoff = (now - F.lit(max_age)).cast(df.schema[ts].dataType)
+    return df.where(F.col(ts) >= cutoff)
 
 
 def latest_status(events: DataFrame) -> DataFrame:

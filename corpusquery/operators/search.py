@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusquery.functions.text import file_key, split_lines
 from corpusquery.operators.lines import FILE, range_rows, ranges_map, with_matches
-from corpusquery.plans.joins import MAX_BROADCAST_ROWS, join_by_size, materialize
+from corpusquery.plans.joins import join_by_size, materialize
 from corpusquery.plans.predicates import (
     REPO_FLAGS,
     And,
@@ -19,6 +19,9 @@ from corpusquery.plans.predicates import (
 
 DEFAULT_LIMIT = 50
 
+# A capped ranking holds one short row per file and is broadcast up to here.
+MAX_BROADCAST_CAP = 10_000
+
 
 def effective_limit(limit: int | None) -> int | None:
     """0 asks for the default, ``None`` for no cap."""
@@ -165,7 +168,7 @@ def search_lines(
         hits = [a.hits() for a in predicate.symbol_atoms()]
         kept = top_files(score_files(found, predicate, *hits), cap)
         # The cap itself bounds this side.
-        scored = files.join(F.broadcast(kept) if cap <= MAX_BROADCAST_ROWS else kept, FILE)
+        scored = files.join(F.broadcast(kept) if cap <= MAX_BROADCAST_CAP else kept, FILE)
     return with_matches(scored, predicate, context)
 
 
