@@ -37,7 +37,7 @@ def candidates(postings: DataFrame, queries: DataFrame, n: int = GRAM) -> DataFr
     A superset of the true matches.  A file meets a query through the query's
     rarest gram only, and the other grams are then tested inside the row, so
     the work follows the shortest posting list of each query instead of all of
-    them.  Queries shorter than ``n`` have no grams and no rows here.
+    them, and files outside those lists drop out early.  Queries shorter than ``n`` have no grams and no rows here.
     """
     asked = materialize(
         queries.select("query_id", ngrams(F.lower("text"), n).alias("wanted")), "asked"
@@ -51,18 +51,24 @@ def candidates(postings: DataFrame, queries: DataFrame, n: int = GRAM) -> DataFr
         wanted.join(posting_lists(relevant), "gram", "left")
         .groupBy("query_id")
         .agg(F.min(rarity).alias("best"))
-        .select("query_id", F.col("best.gram").alias("anchor"))
-        .join(asked, "query_id"),
+        .select("query_id", F.col("best.gram").alias("anchor")),
         "anchors",
     )
-    # One row per file with those of its grams that some query asks for.
-    present = relevant.groupBy(*FILE).agg(F.collect_list("gram").alias("grams"))
-    met = present.select(*FILE, "grams", _pieces_asked(F.col("grams"), anchors).alias("anchor"))
-    return (
-        join_by_size(met, anchors, ["anchor"], "inner", spread_by=FILE)
-        .where(F.size(F.array_except("wanted", "grams")) == 0)
-        .select("query_id", *FILE)
+    pairs = materialize(
+        join_by_size(
+            relevant.withColumnRenamed("gram", "anchor"),
+            anchors,
+            ["anchor"],
+            "inner",
+            spread_by=FILE,
+        ).select("query_id", *FILE),
+        "pairs",
     )
+    # One row per file in play, with those of its grams that some query asks for.
+    in_play = join_by_size(relevant, pairs.select(*FILE).distinct(), FILE, "left_semi")
+    present = in_play.groupBy(*FILE).agg(F.collect_list("gram").alias("grams"))
+    tested = join_by_size(present.join(pairs, FILE), asked, ["query_id"], "inner", spread_by=FILE)
+    return tested.where(F.size(F.array_except("wanted", "grams")) == 0).select("query_id", *FILE)
 
 
 # Up to this many query texts are simply looked for in every file.
@@ -75,14 +81,6 @@ INLINE_ANCHORS = 20_000
 ANCHOR_GRAMS = (8, 3, 1)
 
 
-def _pieces_asked(pieces: Column, anchors: DataFrame) -> Column:
-    """Explode the pieces of a file, narrowed to known anchors when those are few."""
-    if not is_small(anchors.select("anchor"), INLINE_ANCHORS):
-        return F.explode(pieces)
-    known = anchors.agg(F.collect_set("anchor").alias("known")).scalar()
-    return F.explode(F.array_intersect(pieces, known))
-
-
 def search_batch(files: DataFrame, queries: DataFrame) -> DataFrame:
     """All files that contain each query text: ``(query_id, repo, path)``.
 
