@@ -66,9 +66,9 @@ def expand_rules(nested: DataFrame) -> DataFrame:
     ).where(F.col("owner").isNotNull())
 
     def field(name: str, default, *kinds: str) -> Column:
-        return F.coalesce(
-            *[F.when(F.col("kind") == k, F.col(k)[name]) for k in kinds], default
-        )
+        """The field of the host struct in use; field names are fixed, never user text."""
+        cases = " ".join(f"WHEN '{k}' THEN {k}.{name}" for k in kinds)
+        return F.coalesce(F.expr(f"CASE kind {cases} END"), default)
 
     empty, off, none = F.lit(""), F.lit(False), F.array().cast("array<string>")
     archived = field("archived", off, *ARCHIVE_KINDS)
