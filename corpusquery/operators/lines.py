@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusquery.functions.binding import indices, let, let2
+from corpusquery.functions.binding import indices, let
 from corpusquery.functions.text import (
     all_fragments,
     column_number,

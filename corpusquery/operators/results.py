@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusquery.functions.text import file_key
-from corpusquery.operators.lines import FILE
 from corpusquery.operators.search import best_first
 from corpusquery.plans.joins import is_small, materialize
 

@@ -9,7 +9,6 @@ from corpusquery.functions.text import file_key, split_lines
 from corpusquery.operators.lines import FILE, range_rows, ranges_map, with_matches
 from corpusquery.plans.joins import join_by_size, materialize
 from corpusquery.plans.predicates import (
-    REPO_FLAGS,
     And,
     Predicate,
     RepoFlag,

@@ -26,9 +26,6 @@ from corpusquery.functions.patterns import (
 # further is left to the verification step, which never loses a file.
 MAX_ALTERNATIVES = 64
 
-# Attributes that live on the repository table.
-REPO_FLAGS = ("archived", "fork", "public")
-
 
 class Predicate:
     """Base of all predicates."""

@@ -7,7 +7,6 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusquery.functions.text import file_key
 from corpusquery.operators.index import GRAM, ngram_postings
 from corpusquery.operators.lines import FILE, ranges_map
 

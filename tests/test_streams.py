@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from corpusquery import read_corpus, search_lines, shared_dir, term
 from corpusquery.operators import lifecycle
-from corpusquery.operators.index import ngram_postings, orphan_shards
 from corpusquery.operators.lines import match_rows
 from corpusquery.operators.symbols import detect_language
 from corpusquery.sources import sinks

@@ -27,14 +27,13 @@ from corpusquery import (
     sym,
     term,
 )
-from corpusquery.functions.text import file_key, repo_parts, slice_lines, url_host
+from corpusquery.functions.text import repo_parts, slice_lines, url_host
 from corpusquery.operators import index, lifecycle, lines, repos, results, rules, symbols
 from corpusquery.operators.search import (
     attach_repos,
     envelope,
     find_files,
     list_files,
-    list_repos,
     matching_files,
     score_files,
     top_files,
