@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusquery.llm.byte_bpe import decode, encode
 from corpusquery.llm.line_rules import line_quality
+from corpusquery.llm.token_index import write_token_store
 from corpusquery.llm.url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +26,11 @@ URL_RULES = [
 ]
 
 
+MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
+BYTE_BPE = "byte_bpe_50k.json"
+END_ID = 2
+
+
 def query(fn: Query) -> Query:
     LLM_QUERIES[fn.__name__] = fn
     return fn
@@ -38,6 +47,36 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Add number and digest of the ids of each text, and the digest of what they decode to."""
+    path, pattern = public_tokenizers.path(MULTI_RANKS), public_tokenizers.PATTERN
+    tokens = encode(docs, path, pattern)
+    # The measures of the ids are taken before the decoder replaces them.
+    measured = tokens.withColumns(
+        {
+            "n_tokens": F.size("ids").cast("bigint"),
+            "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256),
+        }
+    )
+    decoded = decode(measured, path, pattern, as_text=False)
+    return decoded.withColumn("decoded_sha256", F.sha2("bytes", 256)).drop("bytes")
+
+
+@query
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and their way back, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of the ids of all documents, read back by key."""
+    docs = table(spark, sf_dir, "documents")
+    store = write_token_store(docs, public_tokenizers.path(BYTE_BPE), END_ID)
+    return store.read(store.lookup(docs), ids=False)
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
