@@ -148,3 +148,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
          AND 100 * lost <= {MAX_LOST_PERCENT} * word_chars AS kept
 FROM m
 """
+
+LLM_ORACLES["op4_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+b AS (
+  SELECT item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL
+),
+item_windows AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, w[i:i + least(13, len(w)) - 1] AS win
+  FROM b, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS u(i) WHERE len(w) > 0
+),
+doc_windows AS (
+  SELECT r, i, n, w[i:i + n - 1] AS win
+  FROM d, (SELECT DISTINCT n FROM item_windows) s, unnest(range(1, len(w) - n + 2)) AS u(i)
+),
+hits AS (
+  SELECT r, i, item_windows.n, item_id FROM doc_windows JOIN item_windows USING (n, win)
+),
+words_hit AS (
+  SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT r, i, n FROM hits), unnest(range(0, n)) AS u(k) GROUP BY r
+),
+items_hit AS (
+  SELECT r, count(DISTINCT item_id) AS n_items,
+         sha256(array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',')) AS items_sha256
+  FROM hits GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words_hit USING (r) LEFT JOIN items_hit USING (r)
+"""

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusquery.llm.byte_bpe import decode, encode
+from corpusquery.llm.decontaminate import contamination
 from corpusquery.llm.line_rules import line_quality
 from corpusquery.llm.token_index import write_token_store
 from corpusquery.llm.url_filter import judge_urls
+from corpusquery.llm.warc import assemble, read_warc, write_warc
+from corpusquery.plans.joins import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +80,30 @@ def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(store.lookup(docs), ids=False)
 
 
+@query
+def op3_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive, read back and joined to one row per capture."""
+    archives = write_warc(table(spark, sf_dir, "pages"))
+    # The records are joined several times and read from the archives once.
+    records = materialize(read_warc(archives, keep_payload=False), "warc-records")
+    page = lambda fields: fields["pageid"].cast("bigint")
+    return assemble(records).select(
+        page(F.col("metadata.fields")).alias("page_id"),
+        F.col("capture.payload_bytes").alias("payload_bytes"),
+        F.col("capture.payload_digest").alias("payload_digest"),
+        F.col("capture.type").alias("record_type"),
+        page(F.col("refers_to_metadata.fields")).alias("refers_to"),
+    )
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of every document with the benchmark."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = contamination(docs, table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
