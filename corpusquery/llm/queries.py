@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from corpusquery.llm.byte_bpe import decode, encode
 from corpusquery.llm.decontaminate import contamination
+from corpusquery.llm.language_id import identify_languages
+from corpusquery.llm.license_scan import scan_licenses
 from corpusquery.llm.line_rules import line_quality
 from corpusquery.llm.token_index import write_token_store
 from corpusquery.llm.url_filter import judge_urls
@@ -72,6 +74,27 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license that covers its template best, for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    best = F.get("licenses", F.lit(0))
+    return scan_licenses(docs).select(
+        "doc_id",
+        "n_words",
+        F.size("licenses").cast("bigint").alias("n_licenses"),
+        *[best[c].alias(c) for c in ("license", "matched", "template_words", "first_word", "end_word")],
+    )
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page, from a model of the labelled documents and the other evidence."""
+    labelled = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = identify_languages(table(spark, sf_dir, "pages"), labelled)
+    return found.select("page_id", "host", "suffix", "declared", "text_language", "language", "confidence")
+
+
 @query
 def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store of the ids of all documents, read back by key."""
