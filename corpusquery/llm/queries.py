@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusquery.llm.byte_bpe import decode, encode
 from corpusquery.llm.decontaminate import contamination
+from corpusquery.llm.jaccard_join import similarity_classes
 from corpusquery.llm.language_id import identify_languages
 from corpusquery.llm.license_scan import scan_licenses
 from corpusquery.llm.line_rules import line_quality
@@ -127,6 +128,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of similarity 0.8 or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return similarity_classes(docs).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
