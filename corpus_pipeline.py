@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusquery.llm.decontaminate import decontaminate
+from corpusquery.llm.jaccard_join import one_per_group
+from corpusquery.llm.line_dedup import deduplicate_lines
 from corpusquery.llm.line_rules import clean_documents
+from corpusquery.llm.queries import table, token_digests
 from corpusquery.plans.joins import materialize
 
 
@@ -13,7 +17,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return clean_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that another document has first."""
+    return deduplicate_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return one_per_group(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark items."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the documents and their way back, as digests."""
+    digests = token_digests(docs.select("doc_id", "text"))
+    return digests.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard", near_duplicates),
+    ("decontamination", decontamination),
+    ("byte_bpe", tokens),
+]
 
 # Similarity joins and token ids are beyond SQL; the stages are tested one by one.
 ORACLE_SQL = None

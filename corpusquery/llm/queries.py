@@ -13,6 +13,7 @@ from corpusquery.llm.decontaminate import contamination
 from corpusquery.llm.jaccard_join import similarity_classes
 from corpusquery.llm.language_id import identify_languages
 from corpusquery.llm.license_scan import scan_licenses
+from corpusquery.llm.line_dedup import drop_recurring_lines
 from corpusquery.llm.line_rules import line_quality
 from corpusquery.llm.token_index import write_token_store
 from corpusquery.llm.url_filter import judge_urls
@@ -75,6 +76,20 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its recurring lines, as counts and digest of what is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_recurring_lines(docs).select(
+        "doc_id",
+        "n_units",
+        "n_dropped",
+        "words_before",
+        "words_after",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
 @query
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The license that covers its template best, for every document."""
