@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import fnmatch
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusquery.functions.text import slice_lines
@@ -33,28 +38,66 @@ def read_corpus(
 
     ``fmt="tree"`` reads checked-out files below ``path``: the first
     ``repo_depth`` directories name the repository (host, owner, name) and the
-    rest is the path.  Bytes that are not UTF-8 are replaced.  Spark leaves
-    empty files out of a tree; store the corpus as a table to keep them.
+    rest is the path.  Bytes that are not UTF-8 are replaced.  Every regular
+    file is read, also empty and hidden ones; ``glob`` restricts file names.
     """
     if fmt != "tree":
         return with_file_columns(spark.read.format(fmt).load(path))
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob is not None:
-        reader = reader.option("pathGlobFilter", glob)
-    return with_file_columns(
-        reader.load(path).select(
-            *_tree_names(F.col("path"), path, repo_depth),
-            F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-        )
-    )
+    return with_file_columns(_read_tree(spark, path, repo_depth, glob))
+
 
+def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder given as a URI or a plain path."""
+    if "://" in uri and not uri.startswith("file:"):
+        return pafs.FileSystem.from_uri(uri)
+    return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
 
-def _tree_names(location: Column, root: str, repo_depth: int) -> list[Column]:
-    base = root.split("://", 1)[-1].removeprefix("file:").strip("/") + "/"
-    below = F.substring_index(location, base, -1)
-    repo = F.substring_index(below, "/", repo_depth)
-    path = F.substring(below, F.char_length(repo) + 2, F.char_length(below))
-    return [repo.alias("repo"), path.alias("path")]
+
+def _read_tree(spark: SparkSession, root: str, repo_depth: int, glob: str | None) -> DataFrame:
+    """``(repo, path, content)`` of all files below a folder that every executor can open.
+
+    Spark's own listing leaves out names that begin with ``_`` or ``.``, so
+    tasks list the folders: level by level down to the repositories, then the
+    files of each, and read them in parts of their own.
+    """
+    spread = spark.sparkContext.defaultParallelism
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = _open(root)
+        for batch in batches:
+            for name in batch.column("repo").to_pylist():
+                found = fs.get_file_info(pafs.FileSelector(f"{top.rstrip('/')}/{name}".rstrip("/")))
+                names = [f"{name}/{x.base_name}".lstrip("/") for x in found if x.type == pafs.FileType.Directory]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["repo"])
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = _open(root)
+        for batch in batches:
+            for name in batch.column("repo").to_pylist():
+                base = f"{top.rstrip('/')}/{name}/"
+                found = fs.get_file_info(pafs.FileSelector(base, recursive=True))
+                paths = [
+                    x.path[len(base) :]
+                    for x in found
+                    if x.type == pafs.FileType.File and (glob is None or fnmatch.fnmatchcase(x.base_name, glob))
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(paths), pa.string()), pa.array(paths, pa.string())], ["repo", "path"]
+                )
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = _open(root)
+        for batch in batches:
+            for repo, path in zip(batch.column("repo").to_pylist(), batch.column("path").to_pylist()):
+                with fs.open_input_stream(f"{top.rstrip('/')}/{repo}/{path}") as source:
+                    text = source.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_arrays([pa.array([repo]), pa.array([path]), pa.array([text])], ["repo", "path", "content"])
+
+    repos = spark.createDataFrame([("",)], "repo string")
+    for _ in range(repo_depth):
+        repos = repos.mapInArrow(children, "repo string").repartition(spread)
+    listed = repos.mapInArrow(files, "repo string, path string")
+    return listed.repartition("repo", "path").mapInArrow(read, "repo string, path string, content string")
 
 
 def get_file(files: DataFrame, repo: str, path: str, offset: int = 0, limit: int = 0) -> DataFrame:

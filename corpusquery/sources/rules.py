@@ -68,11 +68,11 @@ def read_flat_rules(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_nested_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Nested rules with one of seven host structs set (S3)."""
+def read_nested_rules(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Nested rules with one of seven host structs set, an array or one per line (S3)."""
     return (
         spark.read.schema(nested_schema())
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .option("mode", "FAILFAST")
         .json(path)
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,8 @@ GRAM_BUCKETS = 64
 # Folders of the entry table.  A batch looks up only those of its repositories.
 ENTRY_BUCKETS = 256
 
-# Writers per folder, so that a frequent gram is not left to one task.
-WRITERS_PER_BUCKET = 8
+# Entries that one task writes to a folder.
+ENTRIES_PER_FILE = 1_000_000
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
@@ -54,7 +55,10 @@ def write_index(files: DataFrame, path: str, batch_id: int = 0, n: int = GRAM) -
 
 
 def write_entries(files: DataFrame, path: str, batch_id: int = 0) -> None:
-    """Store one entry per file; ``files`` needs ``source`` and ``shard`` as well."""
+    """Store one entry per file; ``files`` needs ``source`` and ``shard`` as well.
+
+    A file without content is gone; its entry hides those of earlier batches.
+    """
     entries = files.select(
         *FILE,
         "source",
@@ -62,9 +66,18 @@ def write_entries(files: DataFrame, path: str, batch_id: int = 0) -> None:
         F.sha2("content", 256).alias("content_sha"),
         F.octet_length("content").cast("bigint").alias("n_bytes"),
         F.current_timestamp().alias("indexed_at"),
+        F.col("content").isNull().alias("deleted"),
     )
+    _save_entries(entries, files.count(), path, batch_id)
+
+
+def _save_entries(entries: DataFrame, count: int, path: str, batch_id: int) -> None:
+    # Each folder is written by one task for every so many of its entries.
+    writers = max(1, math.ceil(count / ENTRY_BUCKETS / ENTRIES_PER_FILE))
+    writer = F.pmod(F.xxhash64(*FILE), F.lit(writers))
     (
         entries.withColumn("repo_bucket", repo_bucket(F.col("repo")))
+        .repartition("repo_bucket", writer)
         .write.mode("overwrite")
         .partitionBy("repo_bucket")
         .parquet(f"{path}/entries/batch_id={batch_id}")
@@ -72,12 +85,16 @@ def write_entries(files: DataFrame, path: str, batch_id: int = 0) -> None:
 
 
 def write_postings(postings: DataFrame, path: str, batch_id: int = 0) -> None:
-    """Store postings by folders of grams, sorted so that a scan skips row groups."""
-    writer = F.pmod(F.xxhash64(*FILE), F.lit(WRITERS_PER_BUCKET))
+    """Store postings by folders of grams, sorted so that a scan skips row groups.
+
+    Ranges of grams and files are dealt out, so a frequent gram is cut into as
+    many parts as it needs.
+    """
+    order = ["gram_bucket", "gram", *FILE]
     (
         postings.withColumn("gram_bucket", gram_bucket(F.col("gram")))
-        .repartition("gram_bucket", writer)
-        .sortWithinPartitions("gram_bucket", "gram", *FILE)
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .write.mode("overwrite")
         .partitionBy("gram_bucket")
         .parquet(f"{path}/postings/batch_id={batch_id}")
@@ -85,16 +102,25 @@ def write_postings(postings: DataFrame, path: str, batch_id: int = 0) -> None:
 
 
 def read_postings(spark: SparkSession, path: str, grams: list[str] | None = None) -> DataFrame:
-    """Stored postings; with ``grams`` only the folders that hold them are listed.
+    """Stored postings of current entries; with ``grams`` only their folders are listed.
 
-    A file that was indexed again appears with the grams of each version, so
-    candidates stay a superset and are verified as always.
+    Postings of files that were changed or deleted in a later batch are left out.
     """
     postings = spark.read.parquet(f"{path}/postings")
     if grams is not None:
         postings = postings.where(F.col("gram_bucket").isin(gram_buckets_of(grams)))
         postings = postings.where(F.col("gram").isin(grams))
-    return postings.select("gram", *FILE).distinct()
+    current = _latest(spark.read.parquet(f"{path}/entries")).where("NOT deleted").select(*FILE, "batch_id")
+    return postings.select("gram", *FILE, "batch_id").join(current, [*FILE, "batch_id"], "left_semi").drop("batch_id")
+
+
+def _latest(entries: DataFrame) -> DataFrame:
+    values = F.struct("source", "shard", "content_sha", "n_bytes", "indexed_at", "deleted", "batch_id")
+    return (
+        entries.groupBy(*FILE)
+        .agg(F.max_by(values, F.col("batch_id")).alias("e"))
+        .select(*FILE, "e.*")
+    )
 
 
 def read_entries(
@@ -103,7 +129,7 @@ def read_entries(
     before_batch: int | None = None,
     repos: DataFrame | None = None,
 ) -> DataFrame:
-    """Current entry of each file: the one of the latest batch.
+    """Current entry of each file: the one of the latest batch, unless it was deleted there.
 
     With ``repos`` only the folders that may hold those repositories are read;
     the list of folders is short whatever the number of repositories.
@@ -114,9 +140,11 @@ def read_entries(
         entries = entries.join(F.broadcast(folders), "repo_bucket", "left_semi")
     if before_batch is not None:
         entries = entries.where(F.col("batch_id") < before_batch)
-    values = F.struct("source", "shard", "content_sha", "n_bytes", "indexed_at")
-    return (
-        entries.groupBy(*FILE)
-        .agg(F.max_by(values, F.col("batch_id")).alias("e"))
-        .select(*FILE, "e.*")
-    )
+    return _latest(entries).where("NOT deleted").drop("deleted", "batch_id")
+
+
+def compact_index(spark: SparkSession, path: str, into: str) -> None:
+    """Write the current entries and postings of an index as the only batch of a new one."""
+    entries = read_entries(spark, path).withColumn("deleted", F.lit(False))
+    _save_entries(entries, entries.count(), into, 0)
+    write_postings(read_postings(spark, path), into)

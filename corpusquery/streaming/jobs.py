@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -79,39 +80,48 @@ def read_latest_status(spark: SparkSession, out: str) -> DataFrame:
     )
 
 
-def index_batch(batch: DataFrame, batch_id: int, index_path: str) -> None:
-    """Index the new and changed files of one batch.
+def index_batch(batch: DataFrame, batch_id: int, index_path: str, version: str | None = None) -> None:
+    """Index the new and changed files of one batch and remove deleted ones.
 
-    Only entries of earlier batches count as known, so a batch that is run
-    again after a failure finds the same work to do.
+    A file without content was deleted.  Of several versions of a file in the
+    batch the one with the largest ``version`` column counts.  Only entries of
+    earlier batches are known, so a batch that is run again after a failure
+    finds the same work to do.
     """
     spark = batch.sparkSession
     hashed = content_hash(batch)
-    todo = hashed
-    if _has_entries(spark, index_path):
-        # Keys and hashes decide; the content joins only for files to index.
-        arrived = materialize(hashed.select(*FILE, "content_sha"), "arrived")
+    # Keys and hashes decide; the content joins only for files to index.
+    order = F.struct(F.col(version) if version else F.lit(0), F.coalesce("content_sha", F.lit("")))
+    arrived = materialize(
+        hashed.groupBy(*FILE).agg(F.max(order).alias("v")).select(*FILE, "v.*").toDF(*FILE, "_version", "_sha"),
+        "arrived",
+    )
+    try:
         known = read_entries(spark, index_path, before_batch=batch_id, repos=arrived).select(
             *FILE, F.col("content_sha").alias("known_sha")
         )
-        stale = (
-            arrived.join(known, FILE, "left")
-            .where(F.col("known_sha").isNull() | (F.col("known_sha") != F.col("content_sha")))
-            .select(*FILE)
-        )
-        todo = join_by_size(hashed, materialize(stale, "stale"), FILE, "left_semi")
-    write_index(todo, index_path, batch_id)
-
-
-def _has_entries(spark: SparkSession, index_path: str) -> bool:
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{index_path}/entries")
-    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
+    except AnalysisException as missing:
+        # There is no index before the first batch.
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = arrived.select(*FILE, F.lit(None).cast("string").alias("known_sha")).limit(0)
+    stale = arrived.join(known, FILE, "left").where(
+        F.coalesce("known_sha", F.lit("")) != F.col("_sha")
+    )
+    wanted = materialize(stale.select(*FILE, "_version", "_sha"), "stale")
+    keyed = hashed.withColumns(
+        {"_version": F.col(version) if version else F.lit(0), "_sha": F.coalesce("content_sha", F.lit(""))}
+    )
+    todo = join_by_size(keyed, wanted, [*FILE, "_version", "_sha"], "left_semi").drop("_version", "_sha")
+    write_index(todo.dropDuplicates(FILE), index_path, batch_id)
 
 
-def stream_index(files: DataFrame, index_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def stream_index(
+    files: DataFrame, index_path: str, checkpoint: str, once: bool = True, version: str | None = None
+) -> StreamingQuery:
     """Keep an index up to date with a feed of files."""
     return _start(
-        files.writeStream.foreachBatch(lambda df, i: index_batch(df, i, index_path)), checkpoint, once
+        files.writeStream.foreachBatch(lambda df, i: index_batch(df, i, index_path, version)), checkpoint, once
     )
 
 
@@ -144,11 +154,25 @@ def stream_eviction(
 
 
 def stream_orphan_sweep(
-    live_sources: DataFrame, index_path: str, out: str, checkpoint: str, once: bool = True
+    listings: DataFrame, index_path: str, out: str, checkpoint: str, once: bool = True
 ) -> StreamingQuery:
-    """Shards to remove for each arriving listing of live sources (T5)."""
-    def save(batch: DataFrame, batch_id: int) -> None:
-        entries = read_entries(batch.sparkSession, index_path)
-        orphan_shards(entries, batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    """Shards to remove by each listing of live sources that has arrived as a whole (T5).
 
-    return _start(live_sources.writeStream.foreachBatch(save), checkpoint, once)
+    Rows are ``(listing, source, last)``.  A listing may come in any number of
+    batches; it counts in the batch that brings its row with ``last`` set, whose
+    source may be null.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{out}-listings/batch_id={batch_id}")
+        arrived = spark.read.schema(batch.schema.add("batch_id", "long")).parquet(f"{out}-listings")
+        arrived = arrived.where(F.col("batch_id") <= batch_id)
+        ended = [r["listing"] for r in batch.where("last").select("listing").distinct().collect()]
+        entries = read_entries(spark, index_path)
+        gone = orphan_shards(entries, entries.select("source")).withColumn("listing", F.lit(None).cast("string"))
+        for name in ended:
+            live = arrived.where((F.col("listing") == name) & F.col("source").isNotNull())
+            gone = gone.unionByName(orphan_shards(entries, live).withColumn("listing", F.lit(name)))
+        gone.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return _start(listings.writeStream.foreachBatch(save), checkpoint, once)

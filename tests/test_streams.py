@@ -120,7 +120,7 @@ def test_streaming_index(spark, tmp_path):
     entries = {r.path: r.shard for r in sinks.read_entries(spark, f"{base}/index").collect()}
     assert entries == {"a": 0, "b": 1, "c": 1}
     grams = {r.gram for r in sinks.read_postings(spark, f"{base}/index").where("path = 'b'").collect()}
-    assert {"bet", "gam"} <= grams
+    assert "gam" in grams and "bet" not in grams  # only those of the current version
     # A batch that runs again after a failure leaves the same index.
     batch = spark.createDataFrame(second, FILES)
     jobs.index_batch(batch, 1, f"{base}/index")
@@ -129,6 +129,37 @@ def test_streaming_index(spark, tmp_path):
     ]
 
 
+def test_index_with_repeated_and_deleted_files(spark):
+    base = shared_dir(spark, "t")
+    ddl = FILES + ", at int"
+    batches = [
+        [("r", "a", "alpha", "s", 0, 1), ("r", "b", "beta", "s", 0, 1), ("r", "c", "gone", "s", 0, 1)],
+        [("r", "a", "early", "s", 0, 2), ("r", "a", "later", "s", 0, 3), ("r", "c", None, "s", 0, 2), ("r", "d", None, "s", 0, 2)],
+    ]
+    for k, rows in enumerate(batches):
+        jobs.index_batch(spark.createDataFrame(rows, ddl), k, f"{base}/index", version="at")
+    entries = {r.path: r.n_bytes for r in sinks.read_entries(spark, f"{base}/index").collect()}
+    assert entries == {"a": 5, "b": 4}
+    grams = lambda at: {(r.path, r.gram) for r in sinks.read_postings(spark, at).collect()}
+    expected = {("a", g) for g in ("lat", "ate", "ter")} | {("b", g) for g in ("bet", "eta")}
+    assert grams(f"{base}/index") == expected
+    sinks.compact_index(spark, f"{base}/index", f"{base}/compact")
+    assert grams(f"{base}/compact") == expected
+    assert spark.read.parquet(f"{base}/compact/entries").count() == 2
+
+
+def test_entry_files_do_not_multiply_with_tasks(spark):
+    base = shared_dir(spark, "t")
+    files = spark.range(3000).selectExpr(
+        "concat('r', id % 300) AS repo", "string(id) AS path", "string(id) AS content", "'s' AS source", "1 AS shard"
+    )
+    counts = []
+    for k, tasks in enumerate((2, 24)):
+        sinks.write_entries(files.repartition(tasks), f"{base}/{k}")
+        counts.append(spark.read.parquet(f"{base}/{k}/entries").select(F.input_file_name()).distinct().count())
+    assert counts[0] == counts[1] <= sinks.ENTRY_BUCKETS
+
+
 def test_streaming_retention_and_sweep(spark, tmp_path):
     now = datetime(2024, 1, 4)
     rows = [(i, now - timedelta(hours=i)) for i in (0, 71, 72, 73)]
@@ -143,9 +174,21 @@ def test_streaming_retention_and_sweep(spark, tmp_path):
     )
     sinks.write_index(files, f"{base}/index")
     spark.createDataFrame([("s1",)], "source string").write.parquet(str(tmp_path / "live"))
-    live = jobs.read_feed(spark, str(tmp_path / "live"), "source string")
-    jobs.stream_orphan_sweep(live, f"{base}/index", f"{base}/sweep", f"{base}/cp2").awaitTermination()
-    assert [r.shard for r in spark.read.parquet(f"{base}/sweep").collect()] == [1]
+    # A listing that arrives in parts counts when its end has come.
+    listing = "listing string, source string, last boolean"
+    sweeps = lambda: {r.shard for r in spark.read.parquet(f"{base}/sweep").collect()}
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, listing).coalesce(1).write.mode("append").parquet(str(tmp_path / "live"))
+        live = jobs.read_feed(spark, str(tmp_path / "live"), listing, files_per_batch=1)
+        jobs.stream_orphan_sweep(live, f"{base}/index", f"{base}/sweep", f"{base}/cp2").awaitTermination()
+
+    arrive(("l1", "s2", False))
+    assert sweeps() == set()
+    arrive(("l1", "s1", False), ("l1", None, True))
+    assert sweeps() == set()
+    arrive(("l2", "s1", False), ("l2", None, True))
+    assert sweeps() == {1}
 
 
 def test_read_corpus_from_a_tree(spark, tmp_path):
@@ -154,6 +197,10 @@ def test_read_corpus_from_a_tree(spark, tmp_path):
         "host/o/r/b.txt": "é".encode() + b"\xff",
         "host/o/s/c.py": b"y",
         "host/o/s/empty.py": b"",
+        "host/o/s/__init__.py": b"z",
+        "host/o/s/.github/_config.yml": b"k: v",
+        "host/o/r/host/o/r/again.txt": b"deep",
+        "host/loose.txt": b"no repository",
     }.items():
         target = tmp_path / name
         target.parent.mkdir(parents=True, exist_ok=True)
@@ -164,10 +211,14 @@ def test_read_corpus_from_a_tree(spark, tmp_path):
         ("host/o/r", "src/a.py"): "x = 1\n",
         ("host/o/r", "b.txt"): "é�",
         ("host/o/s", "c.py"): "y",
+        ("host/o/s", "empty.py"): "",
+        ("host/o/s", "__init__.py"): "z",
+        ("host/o/s", ".github/_config.yml"): "k: v",
+        ("host/o/r", "host/o/r/again.txt"): "deep",
     }
-    assert read_corpus(spark, str(tmp_path), fmt="tree", glob="*.py").count() == 2
+    assert read_corpus(spark, f"file://{tmp_path}/", fmt="tree", glob="*.py").count() == 4
     assert df.first().branches == ["HEAD"]
-    named = detect_language(df, {"py": "python"}, "text")
+    named = detect_language(df.where("path IN ('src/a.py', 'b.txt', 'c.py')"), {"py": "python"}, "text")
     assert {(r.path, r.language) for r in named.collect()} == {
         ("src/a.py", "python"), ("b.txt", "text"), ("c.py", "python"),
     }
