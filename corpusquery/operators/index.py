@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusquery.functions.text import ngrams
+from corpusquery.functions.text import fold, fold_text, ngrams
 from corpusquery.operators.lines import FILE
 from corpusquery.operators.search import effective_limit
 from corpusquery.plans.joins import is_small, join_by_size, materialize
@@ -20,7 +20,7 @@ def ngram_postings(files: DataFrame, n: int = GRAM) -> DataFrame:
     A file is one row, so its grams are made distinct in place: no shuffle.
     """
     return (
-        files.select(*FILE, F.explode_outer(ngrams(F.lower("content"), n)).alias("gram"))
+        files.select(*FILE, F.explode_outer(ngrams(fold(F.col("content")), n)).alias("gram"))
         .where(F.col("gram").isNotNull())
         .select("gram", *FILE)
     )
@@ -40,7 +40,7 @@ def candidates(postings: DataFrame, queries: DataFrame, n: int = GRAM) -> DataFr
     them, and files outside those lists drop out early.  Queries shorter than ``n`` have no grams and no rows here.
     """
     asked = materialize(
-        queries.select("query_id", ngrams(F.lower("text"), n).alias("wanted")), "asked"
+        queries.select("query_id", ngrams(fold(F.col("text")), n).alias("wanted")), "asked"
     ).where(F.size("wanted") > 0)
     wanted = asked.select("query_id", F.explode("wanted").alias("gram"))
     relevant = join_by_size(
@@ -160,15 +160,14 @@ def _anchored(files: DataFrame, texts: DataFrame, tier: int) -> DataFrame:
 
 def text_grams(text: str, n: int = GRAM) -> list[str]:
     """Grams of one literal of a predicate (a driver-side string)."""
-    folded = text.lower()
+    folded = fold_text(text)
     return sorted({folded[i : i + n] for i in range(len(folded) - n + 1)})
 
 
-def _gram_alternatives(predicate: Predicate, n: int) -> list[list[str]] | None:
-    options = required_terms(predicate, n)
-    if options is None:
-        return None
-    return [sorted({g for t in terms for g in text_grams(t, n)}) for terms in options]
+def demanded_grams(predicate: Predicate, n: int = GRAM) -> list[str]:
+    """Grams of all literals that a predicate demands."""
+    demand = required_terms(predicate, n)
+    return [] if demand is None else sorted({g for t in demand.literals() for g in text_grams(t, n)})
 
 
 def predicate_candidates(
@@ -177,22 +176,20 @@ def predicate_candidates(
     """Keys of files that may satisfy a predicate, from postings alone.
 
     The grams are literals, so the scan of a stored index is pruned by them;
-    one aggregation per file then tests every alternative.  ``None`` means that
-    the predicate cannot be narrowed and all files are candidates.
+    one aggregation per file then tests the demand as a tree.  ``None`` means
+    that the predicate cannot be narrowed and all files are candidates.
     """
-    alternatives = _gram_alternatives(predicate, n)
-    if alternatives is None:
+    demand = required_terms(predicate, n)
+    if demand is None:
         return None
-    every = sorted({g for grams in alternatives for g in grams})
-    counts = [
-        F.count_if(F.col("gram").isin(grams)).alias(f"hits_{k}")
-        for k, grams in enumerate(alternatives)
-    ]
-    enough = F.lit(False)
-    for k, grams in enumerate(alternatives):
-        enough = enough | (F.col(f"hits_{k}") == len(grams))
+    wanted = lambda text: F.array(*[F.lit(g) for g in text_grams(text, n)])
+    holds = lambda text: F.size(F.array_except(wanted(text), F.col("grams"))) == 0
     return (
-        postings.where(F.col("gram").isin(every)).groupBy(*FILE).agg(*counts).where(enough).select(*FILE)
+        postings.where(F.col("gram").isin(demanded_grams(predicate, n)))
+        .groupBy(*FILE)
+        .agg(F.collect_set("gram").alias("grams"))
+        .where(demand.column(holds))
+        .select(*FILE)
     )
 
 
@@ -212,10 +209,9 @@ def search_cost(
     n: int = GRAM,
 ) -> DataFrame:
     """What an indexed search reads and finds (A11), as one row."""
-    alternatives = _gram_alternatives(predicate, n)
+    every = demanded_grams(predicate, n)
     touched = F.lit(0).cast("bigint")
-    if alternatives is not None:
-        every = sorted({g for grams in alternatives for g in grams})
+    if every:
         touched = postings.where(F.col("gram").isin(every)).select(F.count(F.lit(1))).scalar()
     considered = narrow_files(files, postings, predicate, n)
     # The predicate is evaluated on each loaded file once.

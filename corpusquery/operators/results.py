@@ -5,32 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from corpusquery.functions.text import file_key
 from corpusquery.operators.search import best_first
-from corpusquery.plans.joins import is_small, materialize
+from corpusquery.plans.joins import SALTS, is_small, materialize
 
 
-def per_repo_cap(scored: DataFrame, cap: int) -> DataFrame:
-    """Best ``cap`` files of each repository.
+def _best_of_repo(scored: DataFrame, cap: int) -> DataFrame:
+    """Best ``cap`` files of each repository, without their rank.
 
-    Spark cuts every partition to ``cap`` rows per repository before the
-    shuffle, so a repository that owns most files stays cheap.
+    The files of a repository are first cut in parts, so one that owns most
+    files is never ranked whole in one task, however large the cap.
     """
+    part = F.pmod(F.xxhash64("repo", "path"), F.lit(SALTS)).cast("int")
+    in_part = F.row_number().over(W.partitionBy("repo", "_part").orderBy(*best_first()))
+    return (
+        scored.withColumn("_part", part)
+        .withColumn("_rank", in_part)
+        .where(F.col("_rank") <= cap)
+        .drop("_part", "_rank")
+    )
+
+
+def per_repo_cap(scored: DataFrame, cap: int) -> DataFrame:
+    """Best ``cap`` files of each repository."""
     ranked = F.row_number().over(W.partitionBy("repo").orderBy(*best_first()))
-    return scored.withColumn("rank_in_repo", ranked).where(F.col("rank_in_repo") <= cap)
+    return (
+        _best_of_repo(scored, cap)
+        .withColumn("rank_in_repo", ranked)
+        .where(F.col("rank_in_repo") <= cap)
+    )
+
+
+def _until_full(scored: DataFrame, cap: int, window: WindowSpec) -> DataFrame:
+    """Files in rank order until their matches reach ``cap``; the one that crosses it counts."""
+    so_far = F.sum("score").over(window.orderBy(*best_first()).rowsBetween(W.unboundedPreceding, 0))
+    summed = scored.withColumn("running_matches", so_far)
+    return summed.where(F.col("running_matches") - F.col("score") < cap)
+
+
+def per_repo_match_cap(scored: DataFrame, cap: int) -> DataFrame:
+    """Best files of each repository until their matches reach ``cap``.
+
+    A repository stands for a shard of the index.  Files without a match never
+    fill a cap and are all kept.
+    """
+    # Each counted file has a match, so the best ``cap`` files are enough.
+    counted = _best_of_repo(scored.where(F.col("score") > 0), cap)
+    kept = _until_full(counted, cap, W.partitionBy("repo")).drop("running_matches")
+    return kept.unionByName(scored.where(F.col("score") == 0))
 
 
 def total_cap(scored: DataFrame, cap: int) -> DataFrame:
-    """Best files while their running number of matches stays within ``cap`` (L2).
+    """Best files until their running number of matches reaches ``cap`` (L2).
 
-    Every listed file has at least one match, so no more than ``cap`` files
-    can qualify; the running sum is taken over those alone.
+    The file that crosses the cap is the last one.  Files without a match, such
+    as those of a search by name, never fill the cap and are all kept; their
+    ``running_matches`` is null.
     """
-    contenders = scored.where(F.col("score") > 0).orderBy(*best_first()).limit(cap)
-    so_far = W.orderBy(*best_first()).rowsBetween(W.unboundedPreceding, 0)
-    return contenders.withColumn("running_matches", F.sum("score").over(so_far)).where(
-        F.col("running_matches") <= cap
+    # Each counted file has a match, so the best ``cap`` files are enough.
+    counted = scored.where(F.col("score") > 0).orderBy(*best_first()).limit(cap)
+    unmatched = scored.where(F.col("score") == 0)
+    return _until_full(counted, cap, W.partitionBy()).unionByName(
+        unmatched.withColumn("running_matches", F.lit(None).cast("bigint"))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusquery.functions.text import repo_parts, url_host
-from corpusquery.plans.joins import join_by_size
+from corpusquery.plans.joins import join_by_size, materialize
 from corpusquery.sources.rules import NESTED_KINDS
 
 DEFAULT_HOST = "github.com"
@@ -112,14 +112,16 @@ def _admits() -> Column:
     """All clauses of a rule on a repository; a clause that is empty is off."""
     text_on = lambda c: F.col(c) != ""
     kind = F.col("kind")
+    # An attribute that a repository does not state is false.
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     return (
         (~text_on("r_name") | F.rlike(F.col("name"), F.col("r_name")))
         & (~text_on("r_exclude") | ~F.rlike(F.col("name"), F.col("r_exclude")))
-        & (~F.col("no_archived") | ~F.col("archived"))
-        & (~kind.isin(*FORK_KINDS) | F.col("r_forks") | ~F.col("fork"))
-        & (~F.col("only_public") | F.col("public"))
-        & (~F.col("exclude_user_repos") | ~F.col("user_owned"))
-        & (~F.col("r_active") | F.col("active"))
+        & (~F.col("no_archived") | ~flag("archived"))
+        & (~kind.isin(*FORK_KINDS) | F.col("r_forks") | ~flag("fork"))
+        & (~F.col("only_public") | flag("public"))
+        & (~F.col("exclude_user_repos") | ~flag("user_owned"))
+        & (~F.col("r_active") | flag("active"))
         & ((F.size("r_visibility") == 0) | F.array_contains("r_visibility", F.col("visibility")))
         & topic_admits(F.col("topics"), F.col("r_topics"), F.col("exclude_topics"))
     )
@@ -142,7 +144,7 @@ def select_repos(repos: DataFrame, rules: DataFrame) -> DataFrame:
     owner = F.coalesce(
         F.when(F.col("user") != "", F.col("user")), F.when(F.col("org") != "", F.col("org"))
     )
-    prepared = rules.select(
+    prepared = materialize(rules.select(
         "rule_pos",
         "kind",
         rule_host(F.col("kind"), F.col("url")).alias("host"),
@@ -158,7 +160,7 @@ def select_repos(repos: DataFrame, rules: DataFrame) -> DataFrame:
         "exclude_user_repos",
         F.col("active").alias("r_active"),
         "keep_deleted",
-    )
+    ), "rules")
     by_owner = join_by_size(
         repos, prepared.where(F.col("owner").isNotNull()), ["host", "owner"], "inner", ["repo"]
     )
@@ -177,7 +179,7 @@ def filter_owners(owners: DataFrame, include: DataFrame, exclude: DataFrame, inc
 
 
 def match_first_rule(requests: DataFrame, rules: DataFrame) -> DataFrame:
-    """First rule, in rule order, whose organisation or user owns the requested repository.
+    """First GitHub rule, in rule order, whose organisation or user owns the repository.
 
     Requests ``(request_id, repo)`` that match no rule are kept as failed with
     the reason.  Rules are reduced to the first one per owner before the join,
@@ -186,11 +188,14 @@ def match_first_rule(requests: DataFrame, rules: DataFrame) -> DataFrame:
     # Error texts.
     invalid = F.format_string('invalid repo path "%s": expected host/owner/name', F.col("repo"))
     missing = F.format_string('no mirror config found for "%s"', F.col("repo"))
+    # Only organisations and users of this kind are owners here.
+    hub = rules.where(F.col("kind") == "github")
     first = (
-        rules.select(
+        hub.select(
             "rule_pos",
             F.explode(F.array(F.coalesce("org", F.lit("")), F.coalesce("user", F.lit("")))).alias("owner"),
         )
+        .where(F.col("owner") != "")
         .groupBy("owner")
         .agg(F.min("rule_pos").alias("rule_pos"))
     )

@@ -252,16 +252,21 @@ def envelope_of(shown: DataFrame, total: int = 0) -> DataFrame:
 
 
 def result_json(matched: DataFrame, total: int, limit: int) -> DataFrame:
-    """One JSON document with the envelope and the lines of at most ``limit`` files.
+    """One JSON document with the envelope and the lines of the best ``limit`` files.
+
+    Without a score the first files by name are shown.
 
     Only a capped result fits into one document; uncapped results are written
     as one row per file (``sources.sinks``).
     """
-    per_file = ranges_map(matched.limit(limit))
+    order = best_first() if "score" in matched.columns else [F.col("repo"), F.col("path")]
+    shown = materialize(matched.orderBy(*order).limit(limit), "shown")
+    # Names that render alike are one key; the first file of a key stands for it.
+    per_file = ranges_map(shown).groupBy("file").agg(F.min_by("ranges", F.to_json("ranges")).alias("ranges"))
     body = per_file.agg(
         F.map_from_entries(F.collect_list(F.struct("file", "ranges"))).alias("results")
     )
-    head = envelope_of(matched.limit(limit), total)
+    head = envelope_of(shown, total)
     return head.select(
         F.to_json(
             F.struct(

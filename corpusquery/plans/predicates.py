@@ -9,8 +9,9 @@ atoms need a join, and which atoms mark lines.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,11 +21,9 @@ from corpusquery.functions.patterns import (
     has_upper,
     pattern_has_upper,
     quoted,
+    required_literals,
 )
-
-# Widest disjunction handed to the n-gram index.  A conjunct that would widen it
-# further is left to the verification step, which never loses a file.
-MAX_ALTERNATIVES = 64
+from corpusquery.functions.text import fold
 
 
 class Predicate:
@@ -147,10 +146,10 @@ class Term(ContentAtom):
 
     def _needle(self) -> Column:
         # Folded by Spark, so that both sides use the same case mapping.
-        return F.lit(self.text) if self.sensitive else F.lower(F.lit(self.text))
+        return F.lit(self.text) if self.sensitive else fold(F.lit(self.text))
 
     def _hay(self, text: Column) -> Column:
-        return text if self.sensitive else F.lower(text)
+        return text if self.sensitive else fold(text)
 
     def line_column(self, line):
         return F.contains(self._hay(line), self._needle())
@@ -268,7 +267,8 @@ class RepoFlag(Predicate):
     value: bool
 
     def column(self):
-        flag = F.col(self.name)
+        # An attribute that a repository does not state is false.
+        flag = F.coalesce(F.col(self.name), F.lit(False))
         return flag if self.value else ~flag
 
 
@@ -334,29 +334,47 @@ def is_repo_only(predicate: Predicate) -> bool:
     return all(isinstance(a, NamePattern) and a.field == "repo" for a in predicate.atoms())
 
 
-def required_terms(predicate: Predicate, n: int = 3) -> list[list[str]] | None:
-    """Literals a file must contain, as alternatives of conjunctions.
+@dataclass(frozen=True)
+class Demand:
+    """What a file must contain: a literal, or ``all`` or ``any`` of further demands."""
+
+    kind: str
+    parts: tuple[Demand, ...] = ()
+    text: str = ""
+
+    def literals(self) -> Iterator[str]:
+        if self.kind == "text":
+            yield self.text
+        for part in self.parts:
+            yield from part.literals()
+
+    def column(self, holds: Callable[[str], Column]) -> Column:
+        """The demand as a condition, given one for a literal."""
+        if self.kind == "text":
+            return holds(self.text)
+        join = (lambda a, b: a & b) if self.kind == "all" else (lambda a, b: a | b)
+        return reduce(join, [p.column(holds) for p in self.parts])
 
-    A file can only match when it holds, for at least one alternative, every
-    literal in it.  ``None`` means that the predicate puts no such demand on
-    files, so an n-gram index cannot narrow the search.
+
+def required_terms(predicate: Predicate, n: int = 3) -> Demand | None:
+    """The literals of at least ``n`` characters that a matching file contains.
+
+    ``None`` means that the predicate puts no such demand on files, so an n-gram
+    index cannot narrow the search.
     """
-    if isinstance(predicate, Term):
-        return [[predicate.text]] if len(predicate.text) >= n else None
+    if isinstance(predicate, (Term, Regex)):
+        texts = [predicate.text] if isinstance(predicate, Term) else required_literals(predicate.pattern)
+        demands = [Demand("text", text=t) for t in texts if len(t) >= n]
+        return _joined("all", demands)
     if isinstance(predicate, Or):
         options = [required_terms(p, n) for p in predicate.parts]
-        if any(o is None for o in options):
-            return None
-        return [alternative for o in options for alternative in o]
+        return None if any(o is None for o in options) else _joined("any", options)
     if isinstance(predicate, And):
-        combined: list[list[str]] | None = None
-        for part in predicate.parts:
-            options = required_terms(part, n)
-            if options is None:
-                continue
-            if combined is None:
-                combined = options
-            elif len(combined) * len(options) <= MAX_ALTERNATIVES:
-                combined = [left + right for left in combined for right in options]
-        return combined
+        return _joined("all", [d for p in predicate.parts if (d := required_terms(p, n)) is not None])
     return None
+
+
+def _joined(kind: str, demands: list[Demand]) -> Demand | None:
+    if len(demands) < 2:
+        return demands[0] if demands else None
+    return Demand(kind, tuple(demands))

@@ -80,10 +80,24 @@ def test_total_cap(spark):
         "repo string, path string, score bigint",
     )
     cut = lambda cap: [p for _, p in keys(results.total_cap(scored, cap).orderBy(F.desc("score"), "path"))]
-    assert cut(8) == ["a", "b"]
-    assert cut(10) == ["a", "b"]
-    assert cut(4) == []
-    assert cut(100) == ["a", "b", "c", "d"]
+    # The file that crosses the cap is the last one; files without a match stay.
+    assert cut(8) == ["a", "b", "e"]
+    assert cut(9) == ["a", "b", "c", "e"]
+    assert cut(4) == ["a", "e"]
+    assert cut(100) == ["a", "b", "c", "d", "e"]
+    names_only = scored.withColumn("score", F.lit(0).cast("bigint"))
+    assert results.total_cap(names_only, 1).count() == 5
+
+
+def test_match_cap_per_repo(spark):
+    scored = spark.createDataFrame(
+        [("r", "a", 5), ("r", "b", 3), ("r", "c", 3), ("s", "d", 9), ("s", "e", 0), ("t", "f", 1)],
+        "repo string, path string, score bigint",
+    )
+    cut = lambda cap: {p for _, p in keys(results.per_repo_match_cap(scored, cap))}
+    assert cut(5) == {"a", "d", "e", "f"}
+    assert cut(6) == {"a", "b", "d", "e", "f"}
+    assert cut(99) == {"a", "b", "c", "d", "e", "f"}
 
 
 def test_per_repo_cap_with_a_hot_repo(spark):
@@ -96,7 +110,9 @@ def test_per_repo_cap_with_a_hot_repo(spark):
     per_repo = {r.repo: r.n for r in kept.groupBy("repo").agg(F.count("*").alias("n")).collect()}
     assert per_repo["hot"] == 2 and set(per_repo.values()) == {2}
     plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2  # before and after the shuffle
+    assert plan.count("WindowGroupLimit") == 4  # before and after each of two shuffles
+    # Caps beyond Spark's own limit are cut in parts as well.
+    assert results.per_repo_cap(scored, 1500).where("repo = 'hot'").count() == 1500
 
 
 @pytest.mark.parametrize("limit", [None, 0])

@@ -10,7 +10,7 @@ FILES = """files AS (
 
 REPOS = """repos AS (
   SELECT repo, id, id % 5 = 0 AS archived, id % 3 = 0 AS fork, id % 2 = 0 AS public,
-         list_concat(['t' || (id % 4)], CASE WHEN id % 3 = 0 THEN ['deprecated'] ELSE [] END) AS topics
+         list_concat(['t' || (id % 4)], CASE WHEN id % 3 = 0 THEN ['attic'] ELSE [] END) AS topics
   FROM (SELECT DISTINCT source AS repo,
                CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS id FROM documents))"""
 
@@ -174,19 +174,20 @@ HOSTED = """hosted AS (
          concat_ws('/', host, owner, name) AS repo,
          id % 5 = 0 AS archived, id % 3 = 0 AS fork, id % 2 = 0 AS public, id % 7 <> 0 AS active,
          id % 6 = 0 AS user_owned, ['public', 'private', 'internal'][id % 3 + 1] AS visibility,
-         list_concat(['t' || (id % 4)], CASE WHEN id % 9 = 0 THEN ['deprecated'] ELSE [] END) AS topics
+         list_concat(['t' || (id % 4)], CASE WHEN id % 9 = 0 THEN ['attic'] ELSE [] END) AS topics
   FROM pages)"""
 
-EXPANDED = """base AS (
+EXPANDED = """rule_places AS (SELECT id, host, owner FROM hosted),
+base AS (
   SELECT id AS n, host, owner, concat('https://', host, ':8443/api') AS url, id % 5 AS k,
          CASE WHEN id % 4 = 0 THEN '[02468]$' ELSE '' END AS name,
          CASE WHEN id % 3 = 0 THEN '^1' ELSE '' END AS exclude,
          CASE WHEN id % 4 = 1 THEN ['t1', 't2'] ELSE [] END AS topics,
-         CASE WHEN id % 2 = 0 THEN ['deprecated'] ELSE [] END AS exclude_topics,
+         CASE WHEN id % 2 = 0 THEN ['attic'] ELSE [] END AS exclude_topics,
          CASE WHEN id % 7 = 0 THEN ['private', 'internal'] ELSE [] END AS visibility,
          CASE WHEN id % 4 = 0 THEN ['en', 'es', 'fr'] ELSE [] END AS incl,
          CASE WHEN id % 3 = 0 THEN ['de'] ELSE [] END AS excl
-  FROM hosted),
+  FROM rule_places),
 owners AS (
   SELECT n, list_filter(list_concat(
       list_transform(list_concat(['en', 'de'], [owner], CASE WHEN n % 2 = 0 THEN ['es', 'en'] ELSE [] END),
@@ -215,6 +216,13 @@ expanded AS (
          host AS rule_host
   FROM spread JOIN base USING (n))"""
 
+OWNER_EXPANDED = EXPANDED.replace(
+    "SELECT id, host, owner FROM hosted)", "SELECT min(id) AS id, host, owner FROM hosted GROUP BY host, owner)"
+)
+
+ALL_ENTRIES = """entries AS (
+  SELECT source AS repo, doc_id % 8 AS shard, strlen(text) AS index_bytes FROM documents)"""
+
 ENTRIES = """entries AS (
   SELECT source AS repo, concat(lang, '/', doc_id, '.txt') AS path,
          CASE WHEN doc_id % 11 = 0 THEN '' ELSE source END AS source, doc_id % 8 AS shard,
@@ -477,7 +485,20 @@ ORDER BY score DESC, repo, path LIMIT 25""",
   SELECT repo, path, score, CAST(sum(score) OVER (ORDER BY score DESC, repo, path
          ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_matches
   FROM (SELECT repo, path, CAST({hits('the')} AS BIGINT) AS score FROM files WHERE {has('the')}) s) r
-WHERE running_matches <= 20000""",
+WHERE running_matches - score < 20000""",
+    ),
+    "total_cap_by_name": with_(
+        [FILES],
+        """SELECT repo, path, CAST(0 AS BIGINT) AS score, CAST(NULL AS BIGINT) AS running_matches
+FROM files WHERE regexp_matches(path, '^de/')""",
+    ),
+    "per_repo_match_cap": with_(
+        [FILES],
+        f"""SELECT repo, path, score FROM (
+  SELECT repo, path, score, sum(score) OVER (PARTITION BY repo ORDER BY score DESC, repo, path
+         ROWS UNBOUNDED PRECEDING) AS running
+  FROM (SELECT repo, path, CAST({hits('the')} AS BIGINT) AS score FROM files WHERE {has('the')}) s) r
+WHERE running - score < 400""",
     ),
     "per_repo_cap": with_(
         [FILES],
@@ -512,7 +533,7 @@ FROM files WHERE {has('the')} AND {has('tion')}""",
 FROM files""",
     ),
     "repo_stats": with_(
-        [FILES, ENTRIES],
+        [FILES, ALL_ENTRIES],
         """SELECT f.repo, f.documents, f.content_bytes, coalesce(e.shards, 0) AS shards,
        coalesce(e.index_bytes, 0) AS index_bytes
 FROM (SELECT repo, count(*) AS documents, CAST(sum(strlen(content)) AS BIGINT) AS content_bytes
@@ -521,7 +542,7 @@ LEFT JOIN (SELECT repo, count(DISTINCT shard) AS shards, CAST(sum(index_bytes) A
            FROM entries GROUP BY repo) e ON e.repo = f.repo""",
     ),
     "repo_listing": with_(
-        [FILES, REPOS, ENTRIES],
+        [FILES, REPOS, ALL_ENTRIES],
         """SELECT r.repo, r.id, r.archived, r.fork, r.public, array_to_string(r.topics, ',') AS topics, f.documents, f.content_bytes,
        coalesce(e.shards, 0) AS shards, coalesce(e.index_bytes, 0) AS index_bytes
 FROM repos r
@@ -555,7 +576,7 @@ GROUP BY archived, fork, public""",
        exclude_user_repos, active, keep_deleted FROM expanded""",
     ),
     "select_repos": with_(
-        [HOSTED, EXPANDED],
+        [HOSTED, OWNER_EXPANDED],
         """SELECT e.rule_pos, h.repo, e.keep_deleted, count(*) AS times
 FROM expanded e JOIN hosted h ON h.host = e.rule_host
 WHERE (e.org || e."user" = '' OR h.owner = e.org || e."user")
@@ -574,7 +595,7 @@ GROUP BY e.rule_pos, h.repo, e.keep_deleted""",
     "topic_filter": with_(
         [REPOS],
         """SELECT repo, id FROM repos WHERE list_has_any(topics, ['t1', 't2'])
-AND NOT list_contains(topics, 'deprecated')""",
+AND NOT list_contains(topics, 'attic')""",
     ),
     "owner_filter": with_(
         [HOSTED],
@@ -598,7 +619,7 @@ WHERE host IN (SELECT host FROM hosted WHERE NOT archived)
             """ruled AS (
   SELECT p.*, CASE WHEN valid THEN (
       SELECT min(rule_pos) FROM expanded e
-      WHERE rule_pos % 6 <> 0 AND (e.org = p.owner OR e."user" = p.owner)) END AS rule_pos
+      WHERE e.kind = 'github' AND (e.org = p.owner OR e."user" = p.owner)) END AS rule_pos
   FROM parsed p)""",
         ],
         """SELECT request_id, repo, rule_pos,
@@ -648,6 +669,22 @@ WHERE q <> '' AND contains(content, q)""",
         f"{has('apache')} AND ({has('License')} OR {has('version')})",
         f"{hits('apache')} + {hits('License')} + {hits('version')}",
     ),
+    "search_regex_narrowed": found(
+        r"regexp_matches(content, 'Licensed under .*Version \d') OR regexp_matches(content, 'Released? under the MIT.+')",
+        line_hits(r"Licensed under .*Version \d") + " + " + line_hits("Released? under the MIT.+"),
+    ),
+    "repo_flags_missing": with_(
+        [FILES, REPOS],
+        """SELECT f.repo, count(*) AS n_files FROM files f
+LEFT JOIN (SELECT * FROM repos WHERE id % 4 <> 0) r ON r.repo = f.repo
+WHERE NOT coalesce(r.archived, FALSE) AND NOT coalesce(r.fork, FALSE) GROUP BY f.repo""",
+    ),
+    "stored_corpus": with_(
+        [FILES], "SELECT repo, path, 'HEAD' AS branches, '' AS language, sha256(content) AS sha FROM files"
+    ),
+    "stored_rules": with_(
+        [HOSTED, EXPANDED], """SELECT rule_pos, owner_pos, kind, url, org, "user" FROM expanded"""
+    ),
     "index_diff": with_(
         [ENTRIES],
         """SELECT coalesce(c.repo, e.repo) AS repo, coalesce(c.path, e.path) AS path,

@@ -15,6 +15,7 @@ from corpusquery import (
     fork,
     get_file,
     get_files,
+    read_corpus,
     lang,
     path,
     phrase,
@@ -40,6 +41,7 @@ from corpusquery.operators.search import (
 )
 from corpusquery.plans.joins import materialize
 from corpusquery.plans.predicates import Predicate
+from corpusquery.sources.rules import read_nested_rules
 from corpusquery.sources.sinks import read_entries, read_postings, write_entries
 from corpusquery.streaming import jobs
 from workload import views as v
@@ -341,6 +343,17 @@ def total_cap(spark, sf):
     return results.total_cap(scored(spark, sf, term("the")), 20000)
 
 
+@query
+def total_cap_by_name(spark, sf):
+    """A search by name has no matches in contents, and keeps its files."""
+    return results.total_cap(scored(spark, sf, path("^de/")), 10)
+
+
+@query
+def per_repo_match_cap(spark, sf):
+    return results.per_repo_match_cap(scored(spark, sf, term("the")), 400)
+
+
 @query
 def per_repo_cap(spark, sf):
     return results.per_repo_cap(scored(spark, sf, term("the")), 3)
@@ -370,7 +383,7 @@ def search_cost(spark, sf):
 
 @query
 def repo_stats(spark, sf):
-    return repos.repo_stats(v.files(spark, sf), v.index_entries(spark, sf))
+    return repos.repo_stats(v.files(spark, sf), v.complete_entries(spark, sf))
 
 
 @query
@@ -401,7 +414,7 @@ def repo_attributes(spark, sf):
 @query
 def repo_listing(spark, sf):
     """The repository list with its statistics, newest first."""
-    files, entries = v.files(spark, sf), v.index_entries(spark, sf)
+    files, entries = v.files(spark, sf), v.complete_entries(spark, sf)
     attributes = v.repos(spark, sf).withColumn("topics", F.array_join("topics", ","))
     listing = repos.repo_listing(attributes, repos.repo_stats(files, entries))
     return repos.order_repos(listing, "revram")
@@ -423,7 +436,7 @@ def expand_rules(spark, sf):
 
 @query
 def select_repos(spark, sf):
-    expanded = rules.expand_rules(v.nested_rules(spark, sf))
+    expanded = rules.expand_rules(v.owner_rules(spark, sf))
     hosted = v.hosted_repos(spark, sf)
     return rules.select_repos(hosted, expanded).groupBy("rule_pos", "repo", "keep_deleted").agg(
         F.count(F.lit(1)).alias("times")
@@ -434,7 +447,7 @@ def select_repos(spark, sf):
 def topic_filter(spark, sf):
     r = v.repos(spark, sf)
     keep = rules.topic_admits(
-        F.col("topics"), F.array(F.lit("t1"), F.lit("t2")), F.array(F.lit("deprecated"))
+        F.col("topics"), F.array(F.lit("t1"), F.lit("t2")), F.array(F.lit("attic"))
     )
     return r.where(keep).select("repo", "id")
 
@@ -458,8 +471,7 @@ def first_rule(spark, sf):
         .otherwise(F.regexp_extract("url", r"^[a-z]+://([^?#]+)", 1))
         .alias("repo"),
     )
-    table = v.nested_rules(spark, sf).where(F.col("rule_pos") % 6 != 0)
-    return rules.match_first_rule(requests, rules.expand_rules(table))
+    return rules.match_first_rule(requests, rules.expand_rules(v.nested_rules(spark, sf)))
 
 
 @query
@@ -531,6 +543,44 @@ def search_narrowed(spark, sf):
     return score_files(matching_files(narrowed, predicate), predicate)
 
 
+@query
+def search_regex_narrowed(spark, sf):
+    """A regular expression searched through the index by the literals in it."""
+    files = v.files(spark, sf)
+    predicate = regex(r"Licensed under .*Version \d") | regex(r"Released? under the MIT.+")
+    narrowed = index.narrow_files(files, postings(spark, sf), predicate)
+    return score_files(matching_files(narrowed, predicate), predicate)
+
+
+@query
+def repo_flags_missing(spark, sf):
+    """Files of repositories without attributes count as not archived."""
+    known = v.repos(spark, sf).where(F.col("id") % 4 != 0)
+    found = matching_files(v.files(spark, sf), archived(False) & ~fork(True), known)
+    return found.groupBy("repo").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query
+def stored_corpus(spark, sf):
+    """The documents written as a corpus table and read back with all file columns."""
+    base = shared_dir(spark, "corpus")
+    v.files(spark, sf).drop("branches", "language").write.parquet(f"{base}/files")
+    files = read_corpus(spark, f"{base}/files")
+    return files.select(
+        "repo", "path", F.array_join("branches", ",").alias("branches"), "language", F.sha2("content", 256).alias("sha")
+    )
+
+
+@query
+def stored_rules(spark, sf):
+    """Nested rules written as JSON lines, read back and expanded."""
+    base = shared_dir(spark, "rules")
+    v.nested_rules(spark, sf).write.json(f"{base}/rules")
+    return rules.expand_rules(read_nested_rules(spark, f"{base}/rules", lines=True)).select(
+        "rule_pos", F.col("owner_pos").cast("bigint").alias("owner_pos"), "kind", "url", "org", "user"
+    )
+
+
 @query
 def index_diff(spark, sf):
     diff = index.index_diff(v.current_hashes(spark, sf), v.index_entries(spark, sf))
@@ -674,6 +724,11 @@ def stream_orphan_sweep(spark, sf):
         "*", F.col("repo").alias("source"), F.pmod(F.octet_length("content"), F.lit(64)).cast("bigint").alias("shard")
     )
     write_entries(files, f"{base}/index")
-    live = _feed(spark, sf, "documents").where(F.col("source") != "src3").select("source")
+    # All documents are one listing, and its last row is that of one document.
+    live = _feed(spark, sf, "documents").where((F.col("source") != "src3") | (F.col("doc_id") == 0)).select(
+        F.lit("all").alias("listing"),
+        F.when(F.col("source") != "src3", F.col("source")).alias("source"),
+        (F.col("doc_id") == 0).alias("last"),
+    )
     jobs.stream_orphan_sweep(live, f"{base}/index", f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("shard")

@@ -49,7 +49,7 @@ def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("id") % 2 == 0).alias("public"),
         F.concat(
             F.array(F.concat(F.lit("t"), (F.col("id") % 4).cast("string"))),
-            F.when(F.col("id") % 3 == 0, F.array(F.lit("deprecated"))).otherwise(
+            F.when(F.col("id") % 3 == 0, F.array(F.lit("attic"))).otherwise(
                 F.array().cast("array<string>")
             ),
         ).alias("topics"),
@@ -119,7 +119,15 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An earlier index: some documents missing, some with another content."""
-    d = table(spark, sf_dir, "documents").where(F.col("doc_id") % 10 != 0)
+    return _entries(table(spark, sf_dir, "documents").where(F.col("doc_id") % 10 != 0))
+
+
+def complete_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all documents."""
+    return _entries(table(spark, sf_dir, "documents"))
+
+
+def _entries(d: DataFrame) -> DataFrame:
     return d.select(
         F.col("source").alias("repo"),
         F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
@@ -165,7 +173,7 @@ def hosted_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("visibility"),
         F.concat(
             F.array(F.concat(F.lit("t"), (n % 4).cast("string"))),
-            F.when(n % 9 == 0, F.array(F.lit("deprecated"))).otherwise(
+            F.when(n % 9 == 0, F.array(F.lit("attic"))).otherwise(
                 F.array().cast("array<string>")
             ),
         ).alias("topics"),
@@ -174,9 +182,16 @@ def hosted_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nested_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested rule per page: its host, an owner and varied filters."""
-    p = hosted_repos(spark, sf_dir).select(
-        F.col("id").alias("rule_pos"), "host", "owner"
-    )
+    return _rules(hosted_repos(spark, sf_dir).select(F.col("id").alias("rule_pos"), "host", "owner"))
+
+
+def owner_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One nested rule per host and owner, at the place of their first page."""
+    hosted = hosted_repos(spark, sf_dir)
+    return _rules(hosted.groupBy("host", "owner").agg(F.min("id").alias("rule_pos")))
+
+
+def _rules(p: DataFrame) -> DataFrame:
     n = F.col("rule_pos")
     url = F.concat(F.lit("https://"), F.col("host"), F.lit(":8443/api"))
     on = lambda k: n % 5 == k
@@ -184,7 +199,7 @@ def nested_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(n % 4 == 0, "[02468]$").otherwise("")
     exclude = F.when(n % 3 == 0, "^1").otherwise("")
     topics = F.when(n % 4 == 1, F.array(F.lit("t1"), F.lit("t2"))).otherwise(empty)
-    no_topics = F.when(n % 2 == 0, F.array(F.lit("deprecated"))).otherwise(empty)
+    no_topics = F.when(n % 2 == 0, F.array(F.lit("attic"))).otherwise(empty)
     github = F.struct(
         F.col("owner").alias("org"),
         F.array(F.lit("en"), F.lit("de")).alias("orgs"),
