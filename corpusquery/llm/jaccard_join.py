@@ -5,13 +5,16 @@ shingles is at least 0.8.  The steps:
 
 1.  Every text becomes a set of 64-bit shingle keys.  Texts with equal sets
     form a class and go on as one.
-2.  Sets that can link share a token among their first ones: with an overlap of
-    at least 0.8 of the union, the first fifth (plus one) of either set, in any
-    common order, holds a token of the other.  Tokens that a sample of documents shows
-    to be frequent come last in the order, so a common passage is no token of a
-    longer document.  The order changes only the work, never the result.
-3.  Sets that share such a token are joined to clusters through the smallest
-    set of each token, never pairwise.
+2.  The shingles of all sets are put in one order.  Two shingles that follow each
+    other in both of two sets are a common step.  A shingle that only one set has
+    breaks at most two steps of its own set and one of the other; so with a
+    similarity of 0.8, among the first two fifths (plus one) of the steps of
+    either set one is common.  Unrelated texts share single shingles, but hardly
+    a step.  Shingles that a sample of rows shows to be frequent come last in the
+    order, which keeps common passages apart; the order changes only the work,
+    never the result.
+3.  Sets that share such a step are joined to clusters through the smallest
+    set of each step, never pairwise.
 4.  The sets of a cluster are cut into tiles of bounded size: by bands of set size, as
     linked sets differ by a quarter at most, and by blocks within a band.  In
     a tile, hashed bitmaps bound the overlap from above by their differing
@@ -38,9 +41,9 @@ SHINGLE = 5
 # Similarity of at least 80 / 100.
 PERCENT = 80
 
-# Share of documents that frequent tokens are found in, one in so many; the
-# number of rows of the sample that make a token frequent; and how
-# many of the most frequent are remembered.  They only order tokens.
+# Share of rows that frequent shingles are looked for in, one in so many; the
+# number of rows of the sample that make a shingle frequent; and how many of
+# the most frequent are remembered.  They only order shingles.
 SAMPLE = 16
 FREQUENT = 4
 MAX_FREQUENT = 200_000
@@ -88,9 +91,26 @@ class Shingler:
         return np.unique(keys)
 
 
-def prefix_size(n: int) -> int:
-    """Tokens of a set of which any linked set holds one."""
-    return n - -(-PERCENT * n // 100) + 1
+def prefix_steps(n: int) -> int:
+    """Steps of a set of which any linked set has one among its own first ones.
+
+    With a shingles only here and b only there, 2a + b steps can be broken.  A
+    similarity of 0.8 allows a = 0.2 n with b = 0, the worst case, or less of
+    a for 1.25 times as much of b.
+    """
+    return 2 * (100 - PERCENT) * n // 100 + 1
+
+
+def steps(keys: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first steps of a set: those that start at a rare shingle, and the others."""
+    at = np.minimum(np.searchsorted(frequent, keys), max(0, frequent.size - 1))
+    often = frequent[at] == keys if frequent.size else np.zeros(keys.size, bool)
+    rare = keys[~often]
+    ordered = np.concatenate((rare, keys[often]))[: prefix_steps(keys.size) + 1]
+    with np.errstate(over="ignore"):
+        hashes = (ordered[:-1] * _PLACES[0]) ^ (ordered[1:] * _PLACES[1])
+        hashes = ((hashes ^ (hashes >> np.uint64(31))) * _PLACES[2]).view(np.int64)
+    return hashes[: rare.size], hashes[rare.size :]
 
 
 def linked(overlap: int, a: int, b: int) -> bool:
@@ -105,18 +125,18 @@ def _keys_of(batch: pa.RecordBatch, shingler: Shingler) -> list[np.ndarray]:
     return [shingler.keys(t).view(np.int64) for t in strings(batch.column("text"))]
 
 
-def frequent_tokens(docs: DataFrame) -> np.ndarray:
-    """Sorted keys of the tokens that most rows of a sample hold, at most ``MAX_FREQUENT``."""
+def frequent_shingles(docs: DataFrame) -> np.ndarray:
+    """Sorted keys of the shingles that most rows of a sample hold, at most ``MAX_FREQUENT``."""
     chosen = docs.where(F.pmod("_row", F.lit(SAMPLE)) == 0).select("text")
 
     def make():
         shingler = Shingler()
         return lambda batch: [_keys_of(batch, shingler)]
 
-    tokens = append_columns(chosen, "text", "tokens array<bigint>", make, drop=("text",))
-    counts = tokens.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    counts = materialize(counts.where(F.col("count") >= FREQUENT), "frequent-tokens")
-    # The lowest count whose tokens are still few enough to be sent to every task.
+    found = append_columns(chosen, "text", "keys array<bigint>", make, drop=("text",))
+    counts = found.select(F.explode("keys").alias("key")).groupBy("key").count()
+    counts = materialize(counts.where(F.col("count") >= FREQUENT), "frequent-shingles")
+    # The lowest count whose shingles are still few enough to be sent to every task.
     left, least = MAX_FREQUENT, None
     for row in counts.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count")).collect():
         left -= row["n"]
@@ -125,70 +145,69 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
         least = row["count"]
     if least is None:
         return np.zeros(0, np.uint64)
-    found = counts.where(F.col("count") >= least).select("token").collect()
-    return np.sort(np.array([r["token"] for r in found], np.int64).view(np.uint64))
+    found = counts.where(F.col("count") >= least).select("key").collect()
+    return np.sort(np.array([r["key"] for r in found], np.int64).view(np.uint64))
 
 
-def shingle_sets(docs: DataFrame, frequent) -> DataFrame:
-    """Replace ``text`` by ``n_shingles``, ``set_key`` (null when empty), ``prefix`` and ``common``.
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """Replace ``text`` by ``n_shingles`` and ``set_key`` (null when empty)."""
 
-    ``prefix`` has the rare tokens among the first ones of the order and
-    ``common`` the frequent ones.
-    """
+    def make():
+        shingler = Shingler()
+
+        def columns(batch):
+            sets = [shingler.keys(t) for t in strings(batch.column("text"))]
+            return [[s.size for s in sets], [_set_key(s) if s.size else None for s in sets]]
+
+        return columns
+
+    return append_columns(docs, "text", "n_shingles bigint, set_key bigint", make, drop=("text",))
+
+
+def set_steps(docs: DataFrame, frequent) -> DataFrame:
+    """``set_key`` and its first steps: ``rare`` and ``often``, arrays of hashes."""
 
     def make():
-        shingler, often = Shingler(), frequent.value
+        shingler, known = Shingler(), frequent.value
 
         def columns(batch):
-            sizes, sets, rare_tokens, common_tokens = [], [], [], []
-            for text in strings(batch.column("text")):
-                keys = shingler.keys(text)
-                sizes.append(keys.size)
-                if not keys.size:
-                    sets.append(None)
-                    rare_tokens.append([])
-                    common_tokens.append([])
-                    continue
-                sets.append(_set_key(keys))
-                want = prefix_size(keys.size)
-                at = np.minimum(np.searchsorted(often, keys), max(0, often.size - 1))
-                known = often[at] == keys if often.size else np.zeros(keys.size, bool)
-                rare = keys[~known][:want]
-                rare_tokens.append(rare.view(np.int64))
-                common_tokens.append(keys[known][: want - rare.size].view(np.int64))
-            return [sizes, sets, rare_tokens, common_tokens]
+            sets = [shingler.keys(t) for t in strings(batch.column("text"))]
+            found = [steps(s, known) for s in sets]
+            return [[_set_key(s) if s.size else None for s in sets], [f[0] for f in found], [f[1] for f in found]]
 
         return columns
 
-    ddl = "n_shingles bigint, set_key bigint, prefix array<bigint>, common array<bigint>"
-    return append_columns(docs, "text", ddl, make, drop=("text",))
+    ddl = "set_key bigint, rare array<bigint>, often array<bigint>"
+    return append_columns(docs.select("text"), "text", ddl, make, drop=("text",))
 
 
 def _candidates(sets: DataFrame) -> DataFrame:
-    """Edges ``(a, b)`` from each set to the smallest set that shares a token with it."""
-    # A rare token has few sets, so they meet in its partition; nothing is listed.
-    rare = sets.select(F.explode("prefix").alias("token"), "set_key").repartition("token")
+    """Edges ``(a, b)`` from each set to the smallest set that shares a step with it."""
     schema = arrow_schema("a bigint, b bigint")
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = leader = None
+        step = leader = None
         for batch in batches:
-            tokens, keys = batch.column("token").to_numpy(), batch.column("set_key").to_numpy()
-            if not tokens.size:
+            own, keys = batch.column("step").to_numpy(), batch.column("set_key").to_numpy()
+            if not own.size:
                 continue
-            first = np.concatenate(([tokens[0] != token], tokens[1:] != tokens[:-1]))
-            at = np.maximum.accumulate(np.where(first, np.arange(tokens.size), -1))
+            first = np.concatenate(([own[0] != step], own[1:] != own[:-1]))
+            at = np.maximum.accumulate(np.where(first, np.arange(own.size), -1))
             leaders = np.where(at >= 0, keys[np.maximum(at, 0)], 0 if leader is None else leader)
-            token, leader = tokens[-1], leaders[-1]
+            step, leader = own[-1], leaders[-1]
             pairs = np.unique(np.stack([keys, leaders], axis=1)[keys != leaders], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
-    met = rare.sortWithinPartitions("token", "set_key").mapInArrow(stars, "a bigint, b bigint")
-    # A frequent token may have very many sets: their minimum is combined before
-    # the shuffle, and there are at most MAX_FREQUENT of them to bring back.
-    often = sets.select(F.explode("common").alias("token"), "set_key")
-    least = often.groupBy("token").agg(F.min("set_key").alias("b"))
-    joined = often.join(F.broadcast(least), "token").where("set_key <> b")
+    # Few sets have a step with a rare shingle, so they meet in its partition;
+    # nothing is listed.
+    rare = sets.select(F.explode("rare").alias("step"), "set_key").repartition("step")
+    met = rare.sortWithinPartitions("step", "set_key").mapInArrow(stars, "a bigint, b bigint")
+    # Very many sets may have another step: their minimum is combined before the
+    # shuffle, and what comes back is broadcast or salted.
+    often = sets.select(F.explode("often").alias("step"), "set_key")
+    least = often.groupBy("step").agg(F.min("set_key").alias("b"), F.max("set_key").alias("_high"))
+    least = materialize(least.where("b <> _high").drop("_high"), "common-steps")
+    joined = join_by_size(often, least, ["step"], "inner", spread_by=["set_key"]).where("set_key <> b")
     return met.unionByName(joined.select(F.col("set_key").alias("a"), "b")).distinct()
 
 
@@ -347,8 +366,8 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     kept = [c for c in docs.columns if c.lower() not in (*RESULTS, "text")]
     # Rows are told apart by id and text; equal rows are one.
     source = docs.select(*kept, "text", F.xxhash64("doc_id", "text").alias("_row"))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(source))
-    found = materialize(shingle_sets(source, frequent), "shingle-sets")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(source))
+    found = materialize(shingle_sets(source), "shingle-sets")
 
     worded = found.where("set_key IS NOT NULL")
     classes = materialize(
@@ -359,7 +378,7 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, list[str]]:
         ),
         "shingle-classes",
     )
-    clusters = connected_components(_candidates(worded)).select(
+    clusters = connected_components(_candidates(set_steps(source, frequent))).select(
         F.col("node").alias("set_key"), F.col("component").alias("cluster")
     )
     tiles = materialize(_tiles(clusters, classes.select("set_key", "_row", "n_shingles")), "tiles")

@@ -81,6 +81,23 @@ def test_many_blocks_and_frequent_tokens_change_nothing(spark, monkeypatch, bloc
     assert result(spark, rows) == expected(rows)
 
 
+def test_linked_sets_share_a_step():
+    rng = np.random.default_rng(5)
+    tried = 0
+    for _ in range(20_000):
+        n = rng.integers(2, 30)
+        x = np.unique(rng.integers(0, 200, n).astype(np.uint64))
+        y = np.unique(np.concatenate((x[rng.random(x.size) > 0.15], rng.integers(0, 200, rng.integers(0, 4)).astype(np.uint64))))
+        both = np.intersect1d(x, y).size
+        if x.size == y.size == both or not jaccard_join.linked(both, x.size, y.size):
+            continue
+        tried += 1
+        often = np.unique(rng.integers(0, 200, rng.integers(0, 150)).astype(np.uint64))
+        of = [np.concatenate(jaccard_join.steps(s, often)) for s in (x, y)]
+        assert np.intersect1d(*of).size, (x, y, often)
+    assert tried > 1000
+
+
 def test_tile_links_join_what_all_pairs_join():
     rng = np.random.default_rng(3)
     for _ in range(60):
