@@ -290,12 +290,19 @@ def assemble(records: DataFrame) -> DataFrame:
         )
 
     metadata = linked("metadata", "fields")
-    captures = (
+    captures = materialize(
         records.where(F.col("type").isin("response", "revisit"))
         .select(F.struct(*main).alias("capture"), F.col("record_id").alias("_id"), F.col("refers_to").alias("_source"))
         .join(linked("request", "head"), "_id", "left")
-        .join(metadata, "_id", "left")
+        .join(metadata, "_id", "left"),
+        "captures",
     )
-    # Very many revisits may refer to one response; adaptive execution splits them.
-    referred = metadata.select(F.col("_id").alias("_source"), F.col("metadata").alias("refers_to_metadata"))
-    return captures.join(referred, "_source", "left").drop("_id", "_source")
+    # Very many revisits may refer to one response, and responses refer to none.
+    revisits = captures.where("_source IS NOT NULL")
+    referred = metadata.join(revisits.select(F.col("_source").alias("_id")).distinct(), "_id", "left_semi")
+    sources = materialize(
+        referred.select(F.col("_id").alias("_source"), F.col("metadata").alias("refers_to_metadata")), "revisited"
+    )
+    others = captures.where("_source IS NULL").withColumn("refers_to_metadata", F.lit(None).cast(sources.schema[1].dataType))
+    found = join_by_size(revisits, sources, ["_source"], "left", spread_by=["_id"])
+    return found.unionByName(others).drop("_id", "_source")
