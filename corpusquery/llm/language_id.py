@@ -70,11 +70,18 @@ def features(text: str) -> np.ndarray:
 def fit_text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities (language x feature) of labelled ``(doc_id, text, lang)``.
 
-    Rows without text or language are left out.
+    Rows without text or language are left out.  Of a language with more than
+    four times the sample, only about so many rows are ranked at all: those
+    whose hash of id and text falls into that share.  So rows that are equal
+    are ranked together or not at all.
     """
+    usable = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text")
+    counts = materialize(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_count")), "labelled-counts")
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.col("_count")) < 4 * SAMPLE_PER_LANGUAGE
     order = F.expr("row_number() OVER (PARTITION BY lang ORDER BY xxhash64(doc_id), doc_id)")
     sample = (
-        labelled.where("text IS NOT NULL AND lang IS NOT NULL")
+        join_by_size(usable, counts, ["lang"], "inner", spread_by=["doc_id"])
+        .where(share)
         .select("lang", "text", order.alias("_n"))
         .where(F.col("_n") <= SAMPLE_PER_LANGUAGE)
         .drop("_n")
