@@ -116,8 +116,9 @@ class _Chunks(dict):
 class Encoder:
     """Ids of whole texts; the work per text is mostly look-ups of its words."""
 
-    def __init__(self, path: str, pattern: str | None = None):
+    def __init__(self, path: str, pattern: str | None = None, remembered: int = REMEMBERED_CHUNKS):
         tokenizer = load_tokenizer(path, pattern)
+        self.remembered = remembered
         self.dtype = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         encode = lambda x: np.array(
             tokenizer.encode(x, add_special_tokens=False).ids, self.dtype
@@ -130,7 +131,7 @@ class Encoder:
         """Ids of a text, ``dtype`` each, as bytes."""
         if not text:
             return b""
-        if len(self.first) + len(self.spaced) + len(self.whole) > REMEMBERED_CHUNKS:
+        if len(self.first) + len(self.spaced) + len(self.whole) > self.remembered:
             for chunks in (self.first, self.spaced, self.whole):
                 chunks.clear()
         head, *rest = text.split(" ")

@@ -41,6 +41,9 @@ NULL_KEY = -(1 << 63)
 GAMMA = 2
 MAX_LEVELS = 24
 
+# Chunks whose ids a worker remembers over all of its tasks, about 250 bytes each.
+REMEMBERED_CHUNKS = 1_000_000
+
 # Bytes that a reader takes from a shard at once when its documents are neighbours.
 READ_BYTES = 8 << 20
 
@@ -157,6 +160,11 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, pattern: str | None) -> Encoder:
+    return Encoder(path, pattern, REMEMBERED_CHUNKS)
+
+
 @lru_cache(maxsize=4)
 def _open_bucket(store: str, bucket: int) -> Bucket:
     return Bucket.load(read_whole(store, f"index-{bucket:06d}.npz"))
@@ -315,7 +323,7 @@ def write_token_store(docs: DataFrame, path: str, end_id: int, pattern: str | No
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder, ids, lengths = Encoder(path, pattern), None, None
+        encoder, ids, lengths = _encoder(path, pattern), None, None
         end = np.array([end_id], encoder.dtype).tobytes()
         ordinal = offset = 0
         for batch in batches:
