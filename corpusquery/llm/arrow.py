@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Bytes of text that are worked on at a time; a longer single text is one slice.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 Columns = Callable[[pa.RecordBatch], list]
 
@@ -76,5 +76,8 @@ def append_columns(
                     a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(new, types)
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, *types.names])
+            # A worker outlives its task; what a large batch took goes back to the system.
+            batch = part = new = arrays = None
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(work, schema)

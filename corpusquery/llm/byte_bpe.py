@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from corpusquery.llm.arrow import append_columns, strings
 
 # Chunks whose ids a worker remembers, and the length beyond which it does not.
-REMEMBERED_CHUNKS = 500_000
+REMEMBERED_CHUNKS = 200_000
 MAX_REMEMBERED_LENGTH = 48
 
 # A single space between two other characters always starts a match of the

@@ -53,7 +53,7 @@ BLOCK_SHINGLES = 2_000_000
 # Sets of a cluster that every block of it is compared with first.
 LEADERS = 8
 
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 100_000
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 # Odd constants that keep the places of the words of a shingle apart.
