@@ -186,3 +186,69 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words_hit USING (r) LEFT JOIN items_hit USING (r)
 """
+
+# Leaves of one doc_id and source are ordered by digest, as in the operator.
+LLM_ORACLES["op12_merkle_manifest"] = r"""
+WITH RECURSIVE
+parted AS (
+  SELECT doc_id, source, text,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-')
+           || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-')
+           || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head,
+         replace(text, chr(10), '') AS joined,
+         list_reduce(
+           list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+             lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda c, x: CASE WHEN x >= 0 THEN xor(c, x)
+                             WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS unfinished
+  FROM documents
+),
+leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS grp,
+         sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         -- The finished check sum is the complement.
+         CASE WHEN unfinished % 2 = 1 THEN sha256(head || coalesce(strlen(joined) || ':' || joined, '-')) END AS changed
+  FROM parted
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf, changed) - 1 AS pos,
+         count(*) OVER (PARTITION BY grp) AS n, row_number() OVER () AS id
+  FROM leaves
+),
+tree AS (
+  SELECT grp, 0 AS level, pos, leaf AS digest, n FROM placed
+  UNION ALL
+  SELECT grp, any_value(level) + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 2) // 3
+  FROM tree WHERE n > 1 GROUP BY grp, pos // 3
+),
+subroots AS (SELECT grp, digest, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS level, pos, digest, n FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 2) // 3
+  FROM top WHERE n > 1 GROUP BY pos // 3
+),
+climb AS (
+  SELECT id, grp, 0 AS level, pos, n, coalesce(changed, leaf) AS digest, '' AS proof FROM placed
+  UNION ALL
+  SELECT c.id, any_value(c.grp), any_value(c.level) + 1, any_value(c.pos // 3), any_value((c.n + 2) // 3),
+         sha256(string_agg(CASE WHEN t.pos = c.pos THEN c.digest ELSE t.digest END, '' ORDER BY t.pos)),
+         any_value(c.proof) || coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos <> c.pos), '')
+  FROM climb c JOIN tree t ON t.grp = c.grp AND t.level = c.level AND t.pos // 3 = c.pos // 3
+  WHERE c.n > 1 GROUP BY c.id
+),
+last_climb AS (
+  SELECT c.id, 0 AS level, s.pos, s.n, c.digest, c.proof FROM climb c JOIN subroots s USING (grp) WHERE c.n = 1
+  UNION ALL
+  SELECT c.id, any_value(c.level) + 1, any_value(c.pos // 3), any_value((c.n + 2) // 3),
+         sha256(string_agg(CASE WHEN t.pos = c.pos THEN c.digest ELSE t.digest END, '' ORDER BY t.pos)),
+         any_value(c.proof) || coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos <> c.pos), '')
+  FROM last_climb c JOIN top t ON t.level = c.level AND t.pos // 3 = c.pos // 3
+  WHERE c.n > 1 GROUP BY c.id
+)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, r.digest AS root, sha256(c.proof) AS proof_sha256,
+       c.digest AS folded_root, c.digest = r.digest AS verified
+FROM placed p JOIN subroots s USING (grp) JOIN last_climb c ON c.id = p.id AND c.n = 1
+CROSS JOIN (SELECT digest FROM top WHERE n = 1) r
+"""

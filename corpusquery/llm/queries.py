@@ -15,10 +15,12 @@ from corpusquery.llm.language_id import identify_languages
 from corpusquery.llm.license_scan import scan_licenses
 from corpusquery.llm.line_dedup import drop_recurring_lines
 from corpusquery.llm.line_rules import line_quality
+from corpusquery.llm.merkle import build_manifest, record_digest
+from corpusquery.llm.packing import pack_documents
 from corpusquery.llm.token_index import write_token_store
 from corpusquery.llm.url_filter import judge_urls
 from corpusquery.llm.warc import assemble, read_warc, write_warc
-from corpusquery.plans.joins import materialize
+from corpusquery.plans.joins import join_by_size, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +38,9 @@ URL_RULES = [
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
+WORD_BPE = "word_bpe_49k.json"
+WORD_END_ID = 0
+SEQUENCE_TOKENS = 2048
 
 
 def query(fn: Query) -> Query:
@@ -163,3 +168,51 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of the documents, and every leaf folded to the root after tampering with some."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    digest = lambda text: F.unhex(record_digest(*map(F.col, fields), text))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    records = docs.select(
+        F.col("source").alias("grp"),
+        F.col("doc_id").alias("key"),
+        digest(F.col("text")).alias("digest"),
+        F.when(tampered, digest(F.replace("text", F.lit("\n"), F.lit("")))).alias("changed"),
+    )
+    manifest = build_manifest(records)
+    leaves = manifest.leaves.select(
+        "grp",
+        "pos",
+        F.col("key").alias("doc_id"),
+        F.col("digest").alias("leaf"),
+        F.coalesce("changed", "digest").alias("digest"),
+    )
+    folded = manifest.fold(leaves, "doc_id", "leaf")
+    roots = join_by_size(
+        folded, manifest.subroots.withColumnRenamed("digest", "subroot"), ["grp"], "left", spread_by=["pos"]
+    ).withColumn("root", manifest.root.scalar())
+    text = lambda name: F.lower(F.hex(name))
+    return roots.select(
+        "doc_id",
+        text("leaf").alias("leaf"),
+        text("subroot").alias("subroot"),
+        text("root").alias("root"),
+        text("proof").alias("proof_sha256"),
+        text("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+@query
+def op13_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences, with the place and a check sum of every piece."""
+    docs = table(spark, sf_dir, "documents")
+    packing = pack_documents(docs, public_tokenizers.path(WORD_BPE), WORD_END_ID, SEQUENCE_TOKENS)
+    pieces = packing.pieces.select(
+        "uid", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
+    )
+    return pieces.join(packing.places, "uid").drop("uid")
