@@ -25,50 +25,3 @@ def quoted(text: str) -> str:
 def flagged(pattern: str, case_sensitive: bool) -> str:
     """Add flags so that only ``\\n`` ends a line and case folds beyond ASCII."""
     return ("(?md)" if case_sensitive else "(?imud)") + pattern
-
-
-def required_literals(pattern: str) -> list[str]:
-    """Texts that every match of a regular expression contains; a safe few of them.
-
-    Only plain characters outside of groups and classes count.  Patterns with
-    alternatives, quoted parts or inline comments give none.
-    """
-    if re.search(r"(?<!\\)(?:\\\\)*\||\\[QEux0c]|\(\?[a-zA-Z]*x", pattern):
-        return []
-    found, run = [], ""
-
-    def close() -> None:
-        nonlocal run
-        if run:
-            found.append(run)
-        run = ""
-
-    i, depth = 0, 0
-    while i < len(pattern):
-        c, i = pattern[i], i + 1
-        plain = None
-        if c == "\\":
-            plain = pattern[i] if i < len(pattern) and not pattern[i].isalnum() else None
-            i += 1
-        elif c == "[":
-            # A bracket right behind the opening one is a member of the class.
-            i += 1 if pattern[i : i + 1] == "]" else 2 if pattern[i : i + 2] == "^]" else 0
-            nested = 1
-            while i < len(pattern) and nested:
-                nested += {"[": 1, "]": -1}.get(pattern[i], 0)
-                i += 2 if pattern[i] == "\\" else 1
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        elif c not in ".^$*+?{}":
-            plain = c
-        follows = pattern[i : i + 1]
-        if plain is None or depth or follows in ("*", "?", "{"):
-            close()
-        else:
-            run += plain
-            if follows == "+":
-                close()
-        if follows == "{" and not (plain is None and c == "{"):
-            i = pattern.find("}", i) + 1 or len(pattern)
-    close()
-    return found

@@ -176,22 +176,6 @@ def snippets(line: Column, frags: Column, width: int = 100) -> Column:
     return let(F.encode(line, "UTF-8"), cut)
 
 
-def fold(text: Column) -> Column:
-    """Lower case, character by character.
-
-    A capital sigma has two small forms, and plain lower-casing picks one by its
-    place in a word; here both are the same letter, so a part of a text folds as
-    it does inside the whole.
-    """
-    plain = F.lower(F.replace(text, F.lit("\u03a3"), F.lit("\u03c3")))
-    return F.replace(plain, F.lit("\u03c2"), F.lit("\u03c3"))
-
-
-def fold_text(text: str) -> str:
-    """``fold`` of a literal."""
-    return text.replace("\u03a3", "\u03c3").lower().replace("\u03c2", "\u03c3")
-
-
 def ngrams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams of a text, empty when it is shorter than ``n``.
 

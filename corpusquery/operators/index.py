@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusquery.functions.text import fold, fold_text, ngrams
+from corpusquery.functions.folding import fold
+from corpusquery.functions.text import ngrams
+from corpusquery.operators.blocks import GRAM, GramIndex, arrow_schema, common_files, short_files
 from corpusquery.operators.lines import FILE
+from corpusquery.operators.narrowing import demanded_grams, narrow_files
 from corpusquery.operators.search import effective_limit
-from corpusquery.plans.joins import is_small, join_by_size, materialize
-from corpusquery.plans.predicates import Predicate, required_terms
-
-GRAM = 3
-
+from corpusquery.plans.joins import join_by_size, materialize
+from corpusquery.plans.predicates import Predicate
 
 def ngram_postings(files: DataFrame, n: int = GRAM) -> DataFrame:
     """Distinct ``(gram, repo, path)`` of case-folded contents.
@@ -31,189 +37,104 @@ def posting_lists(postings: DataFrame) -> DataFrame:
     return postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def candidates(postings: DataFrame, queries: DataFrame, n: int = GRAM) -> DataFrame:
+def candidates(index: GramIndex, queries: DataFrame) -> DataFrame:
     """Files holding every gram of a query: ``(query_id, repo, path)``.
 
-    A superset of the true matches.  A file meets a query through the query's
-    rarest gram only, and the other grams are then tested inside the row, so
-    the work follows the shortest posting list of each query instead of all of
-    them, and files outside those lists drop out early.  Queries shorter than ``n`` have no grams and no rows here.
+    A superset of the files with the text itself.  Texts shorter than a gram are
+    looked for inside the grams, and empty texts match nothing.
     """
-    asked = materialize(
-        queries.select("query_id", ngrams(fold(F.col("text")), n).alias("wanted")), "asked"
-    ).where(F.size("wanted") > 0)
-    wanted = asked.select("query_id", F.explode("wanted").alias("gram"))
-    relevant = join_by_size(
-        postings, wanted.select("gram").distinct(), ["gram"], "left_semi", spread_by=FILE
-    )
-    rarity = F.struct(F.coalesce("n_files", F.lit(0)).alias("n_files"), F.col("gram"))
-    anchors = materialize(
-        wanted.join(posting_lists(relevant), "gram", "left")
-        .groupBy("query_id")
-        .agg(F.min(rarity).alias("best"))
-        .select("query_id", F.col("best.gram").alias("anchor")),
-        "anchors",
-    )
-    pairs = materialize(
-        join_by_size(
-            relevant.withColumnRenamed("gram", "anchor"),
-            anchors,
-            ["anchor"],
-            "inner",
-            spread_by=FILE,
-        ).select("query_id", *FILE),
-        "pairs",
-    )
-    # One row per file in play, with those of its grams that some query asks for.
-    in_play = join_by_size(relevant, pairs.select(*FILE).distinct(), FILE, "left_semi")
-    present = in_play.groupBy(*FILE).agg(F.collect_list("gram").alias("grams"))
-    tested = join_by_size(present.join(pairs, FILE), asked, ["query_id"], "inner", spread_by=FILE)
-    return tested.where(F.size(F.array_except("wanted", "grams")) == 0).select("query_id", *FILE)
+    asked = queries.select("query_id", fold(F.col("text")).alias("text"))
+    asked = materialize(asked.withColumn("wanted", ngrams(F.col("text"), index.n)), "asked")
+    wanted = asked.where(F.size("wanted") > 0).select("query_id", F.explode("wanted").alias("gram"))
+    short = asked.where((F.size("wanted") == 0) & (F.col("text") != "")).select("query_id", "text")
+    return common_files(index, wanted).unionByName(short_files(index, short))
 
 
-# Up to this many query texts are simply looked for in every file.
-DIRECT_QUERIES = 32
+# Bytes of the distinct texts that one automaton looks for.
+AUTOMATON_BYTES = 32 << 20
 
-# Up to this many anchors are intersected with the pieces of a file in place.
-INLINE_ANCHORS = 20_000
-
-# Lengths of the grams that anchor query texts without a whole word in them.
-ANCHOR_GRAMS = (8, 3, 1)
+# Characters of a text that the automaton knows; the rest is compared where they occur.
+ANCHOR = 24
 
 
 def search_batch(files: DataFrame, queries: DataFrame) -> DataFrame:
     """All files that contain each query text: ``(query_id, repo, path)``.
 
-    Texts are matched case-sensitively and empty texts match nothing.  A short
-    list of queries is tested inside each row.  Longer lists meet the files
-    through one anchor per query: its longest whole word, or for texts without
-    one a gram.  Any file with the text has the anchor, so nothing is missed,
-    and the text is verified in the content.
-    """
-    texts = materialize(with_anchors(queries), "texts")
-    sizes = {r["tier"]: r["count"] for r in texts.groupBy("tier").count().collect()}
-    if sum(sizes.values()) <= DIRECT_QUERIES and is_small(texts):
-        return _direct(files, texts)
-    found = [_anchored(files, texts.where(F.col("tier") == t), t) for t in sorted(sizes)]
-    result = found[0]
-    for part in found[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def with_anchors(queries: DataFrame) -> DataFrame:
-    """Query texts with an anchor each: ``(query_id, text, tier, anchor)``.
-
-    ``tier`` 0 anchors by a word.  The first and the last word of a text may go
-    on in the content, so only words between two blanks are whole.  Any other
-    tier is the length of the anchor gram.
-    """
-    words = F.split("text", " ")
-    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
-    longest = F.array_max(
-        F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("word")))
-    )["word"]
-    tier = F.when(F.size(inner) > 0, 0)
-    anchor = F.when(F.size(inner) > 0, longest)
-    for n in ANCHOR_GRAMS:
-        fits = F.char_length("text") >= n
-        tier = tier.when(fits, n)
-        # Late letters are rarer than early ones; any gram would do.
-        anchor = anchor.when(fits, F.array_max(ngrams(F.col("text"), n)))
-    return (
-        queries.where(F.col("text") != "")
-        .select("query_id", "text", tier.alias("tier"), anchor.alias("anchor"))
-    )
-
-
-def _direct(files: DataFrame, texts: DataFrame) -> DataFrame:
-    asked = texts.agg(F.collect_list(F.struct("query_id", "text")).alias("asked")).scalar()
-    tested = files.select(*FILE, "content", asked.alias("asked"))
-    found = F.transform(
-        F.filter("asked", lambda q: F.contains(F.col("content"), q["text"])), lambda q: q["query_id"]
-    )
-    return (
-        tested.select(*FILE, F.explode_outer(found).alias("query_id"))
-        .where(F.col("query_id").isNotNull())
-        .select("query_id", *FILE)
-    )
-
-
-def _anchored(files: DataFrame, texts: DataFrame, tier: int) -> DataFrame:
-    content = F.col("content")
-    pieces = F.array_distinct(F.split(content, " ")) if tier == 0 else ngrams(content, tier)
-    asked = texts.select("query_id", "text", "anchor")
-    if is_small(asked, INLINE_ANCHORS):
-        # The content stays in its task, next to the anchors found in it.
-        known = asked.agg(F.collect_set("anchor").alias("known")).scalar()
-        met = files.select(
-            *FILE, "content", F.explode_outer(F.array_intersect(pieces, known)).alias("anchor")
-        )
-        found = met.where(F.col("anchor").isNotNull()).join(F.broadcast(asked), "anchor")
-    else:
-        # Too many queries to broadcast: candidate keys first, contents last.
-        met = files.select(*FILE, F.explode_outer(pieces).alias("anchor"))
-        keys = join_by_size(met, asked, ["anchor"], "inner", spread_by=FILE)
-        found = files.select(*FILE, "content").join(keys, FILE)
-    return found.where(F.contains("content", "text")).select("query_id", *FILE)
-
-
-def text_grams(text: str, n: int = GRAM) -> list[str]:
-    """Grams of one literal of a predicate (a driver-side string)."""
-    folded = fold_text(text)
-    return sorted({folded[i : i + n] for i in range(len(folded) - n + 1)})
-
-
-def demanded_grams(predicate: Predicate, n: int = GRAM) -> list[str]:
-    """Grams of all literals that a predicate demands."""
-    demand = required_terms(predicate, n)
-    return [] if demand is None else sorted({g for t in demand.literals() for g in text_grams(t, n)})
-
-
-def predicate_candidates(
-    postings: DataFrame, predicate: Predicate, n: int = GRAM
-) -> DataFrame | None:
-    """Keys of files that may satisfy a predicate, from postings alone.
-
-    The grams are literals, so the scan of a stored index is pruned by them;
-    one aggregation per file then tests the demand as a tree.  ``None`` means
-    that the predicate cannot be narrowed and all files are candidates.
+    Texts are matched case-sensitively and empty texts match nothing.  Distinct
+    texts are put into blocks of bounded size; an automaton over a part of each
+    text of a block reads every content once, whatever the number of texts, and
+    compares the whole text at each place that it finds.  The contents stay in
+    their tasks.
     """
-    demand = required_terms(predicate, n)
-    if demand is None:
-        return None
-    wanted = lambda text: F.array(*[F.lit(g) for g in text_grams(text, n)])
-    holds = lambda text: F.size(F.array_except(wanted(text), F.col("grams"))) == 0
-    return (
-        postings.where(F.col("gram").isin(demanded_grams(predicate, n)))
-        .groupBy(*FILE)
-        .agg(F.collect_set("gram").alias("grams"))
-        .where(demand.column(holds))
-        .select(*FILE)
-    )
-
-
-def narrow_files(files: DataFrame, postings: DataFrame, predicate: Predicate, n: int = GRAM) -> DataFrame:
-    """Files worth verifying; hand the result to any search operator."""
-    keys = predicate_candidates(postings, predicate, n)
-    if keys is None:
-        return files
-    return join_by_size(files, materialize(keys, "candidates"), FILE, "left_semi")
-
-
-def search_cost(
-    files: DataFrame,
-    postings: DataFrame,
-    predicate: Predicate,
-    limit: int | None = 0,
-    n: int = GRAM,
-) -> DataFrame:
+    texts = queries.where(F.col("text") != "").select("text").distinct()
+    texts = materialize(texts.withColumn("text_no", F.monotonically_increasing_id()), "texts")
+    size = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / AUTOMATON_BYTES))
+    found = None
+    for block in range(blocks):
+        own = texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
+        part = _matched(files, own)
+        if blocks > 1:
+            # The texts of one block at a time are held in memory.
+            part = materialize(part, "matched")
+        found = part if found is None else found.unionByName(part)
+    asked = queries.select("query_id", "text").join(texts, "text").select("query_id", "text_no")
+    return join_by_size(found, asked, ["text_no"], "inner", spread_by=FILE).select("query_id", *FILE)
+
+
+def _anchors(texts: list[str]) -> list[int]:
+    """Where each text is looked for: the start of the part that fewest other texts share."""
+    places = [sorted({0, max(len(t) - ANCHOR, 0) // 2, max(len(t) - ANCHOR, 0)}) for t in texts]
+    shared = Counter(t[at : at + ANCHOR] for t, ats in zip(texts, places) for at in ats)
+    return [min(ats, key=lambda at: shared[t[at : at + ANCHOR]]) for t, ats in zip(texts, places)]
+
+
+def _automaton(numbered: list[tuple[int, str]]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for (number, text), at in zip(numbered, _anchors([t for _, t in numbered])):
+        anchor = text[at : at + ANCHOR]
+        # What follows from a hit: how far back the text starts, and the text.
+        automaton.get(anchor, None) or automaton.add_word(anchor, [])
+        automaton.get(anchor).append((number, at + len(anchor) - 1, text))
+    automaton.make_automaton()
+    return automaton
+
+
+def _matched(files: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(text_no, repo, path)`` of a block of texts ``(text_no, text)`` that fits into memory."""
+    session = files.sparkSession
+    shared = session.sparkContext.broadcast([(r.text_no, r.text) for r in texts.collect()])
+    ddl = "text_no bigint, repo string, path string"
+    schema = arrow_schema(ddl)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(shared.value) if shared.value else None
+        for batch in batches if automaton else ():
+            numbers, rows = [], []
+            for row, content in enumerate(batch.column("content").to_pylist()):
+                found = set()
+                for end, asked in automaton.iter(content or ""):
+                    for number, back, text in asked:
+                        if number not in found and end >= back and content.startswith(text, end - back):
+                            found.add(number)
+                numbers += found
+                rows += [row] * len(found)
+            at = pa.array(rows, pa.int64())
+            names = [batch.column(c).take(at) for c in FILE]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *names], schema=schema)
+
+    return files.select(*FILE, "content").mapInArrow(work, ddl)
+
+
+def search_cost(files: DataFrame, index: GramIndex, predicate: Predicate, limit: int | None = 0) -> DataFrame:
     """What an indexed search reads and finds (A11), as one row."""
-    every = demanded_grams(predicate, n)
+    every = demanded_grams(predicate, index.n)
     touched = F.lit(0).cast("bigint")
     if every:
-        touched = postings.where(F.col("gram").isin(every)).select(F.count(F.lit(1))).scalar()
-    considered = narrow_files(files, postings, predicate, n)
+        # The counts of the blocks tell, without their numbers.
+        own = index.blocks.where(F.col("gram").isin(every))
+        touched = own.select(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint")).scalar()
+    considered = narrow_files(files, index, predicate)
     # The predicate is evaluated on each loaded file once.
     judged = considered.select(
         F.octet_length("content").cast("bigint").alias("n_bytes"),

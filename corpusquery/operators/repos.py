@@ -50,18 +50,20 @@ def corpus_totals(files: DataFrame) -> DataFrame:
     )
 
 
-def repo_map(repos: DataFrame, stats: DataFrame) -> DataFrame:
+def repo_map(repos: DataFrame, stats: DataFrame, order: str | None = None) -> DataFrame:
     """Repositories keyed by their id (A12): one row per key, not one map.
 
-    A later entry of the same id replaces an earlier one.
+    Of several entries of an id the last by the column ``order`` counts; without
+    one, and among equals, the last by name.
     """
     entry = F.struct("repo", "documents", "content_bytes")
+    rank = F.struct(order, entry) if order else entry
     return (
-        repos.select("id", "repo")
+        repos.select("id", "repo", *([order] if order else []))
         .join(stats, "repo", "left")
         .fillna({"documents": 0, "content_bytes": 0})
         .groupBy("id")
-        .agg(F.max(entry).alias("entry"))
+        .agg(F.max_by(entry, rank).alias("entry"))
     )
 
 

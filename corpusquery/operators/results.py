@@ -51,6 +51,8 @@ def per_repo_match_cap(scored: DataFrame, cap: int) -> DataFrame:
     A repository stands for a shard of the index.  Files without a match never
     fill a cap and are all kept.
     """
+    # Contents are read once, for keys and scores.
+    scored = materialize(scored, "scored")
     # Each counted file has a match, so the best ``cap`` files are enough.
     counted = _best_of_repo(scored.where(F.col("score") > 0), cap)
     kept = _until_full(counted, cap, W.partitionBy("repo")).drop("running_matches")
@@ -64,6 +66,8 @@ def total_cap(scored: DataFrame, cap: int) -> DataFrame:
     as those of a search by name, never fill the cap and are all kept; their
     ``running_matches`` is null.
     """
+    # Contents are read once, for keys and scores.
+    scored = materialize(scored, "scored")
     # Each counted file has a match, so the best ``cap`` files are enough.
     counted = scored.where(F.col("score") > 0).orderBy(*best_first()).limit(cap)
     unmatched = scored.where(F.col("score") == 0)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusquery.functions.text import file_key, split_lines
+from corpusquery.operators.blocks import GramIndex
 from corpusquery.operators.lines import FILE, range_rows, ranges_map, with_matches
+from corpusquery.operators.narrowing import narrow_files
 from corpusquery.plans.joins import join_by_size, materialize
 from corpusquery.plans.predicates import (
     And,
@@ -50,6 +53,14 @@ def symbol_hits(symbols: DataFrame, atom: Symbol) -> DataFrame:
     return materialize(per_file, "symbol-hits")
 
 
+def hits_of(predicate: Predicate, symbols: DataFrame | None) -> dict[Symbol, DataFrame]:
+    """The hits of every symbol atom, each computed once."""
+    atoms = sorted({a for a in predicate.atoms() if isinstance(a, Symbol)}, key=lambda a: a.text)
+    if atoms and symbols is None:
+        raise ValueError("symbol atoms need the symbols table")
+    return {a: symbol_hits(symbols, a) for a in atoms}
+
+
 def _conjuncts(predicate: Predicate) -> list[Predicate]:
     if isinstance(predicate, And):
         return [c for part in predicate.parts for c in _conjuncts(part)]
@@ -71,14 +82,16 @@ def find_files(
     predicate: Predicate,
     repos: DataFrame | None = None,
     symbols: DataFrame | None = None,
+    hits: dict[Symbol, DataFrame] | None = None,
 ) -> DataFrame:
     """Matching files together with the symbol hits of the predicate.
 
     Conjuncts that need no other table run first, next to the scan.  A symbol
     conjunct becomes an inner join that drops other files; symbol atoms
     elsewhere, under an ``or`` or a negation, are outer joins whose column is
-    tested for null (J9).
+    tested for null (J9).  ``hits`` are those of the atoms if they are known.
     """
+    hits = hits_of(predicate, symbols) if hits is None else hits
     local, joined, required = [], [], []
     for conjunct in _conjuncts(predicate):
         atoms = list(conjunct.atoms())
@@ -95,10 +108,8 @@ def find_files(
     found = files
     for conjunct in local:
         found = found.where(conjunct.column())
-    if (required or any(isinstance(a, Symbol) for c in joined for a in c.atoms())) and symbols is None:
-        raise ValueError("symbol atoms need the symbols table")
     for atom in dict.fromkeys(required):
-        found = join_by_size(found, symbol_hits(symbols, atom), FILE, "inner")
+        found = join_by_size(found, hits[atom], FILE, "inner")
 
     atoms = {a for c in joined for a in c.atoms()}
     flags = sorted({a.name for a in atoms if isinstance(a, RepoFlag)} - set(found.columns))
@@ -108,7 +119,7 @@ def find_files(
         found = attach_repos(found, repos, flags)
     for atom in sorted((a for a in atoms if isinstance(a, Symbol)), key=lambda a: a.text):
         if atom.hits() not in found.columns:
-            found = join_by_size(found, symbol_hits(symbols, atom), FILE, "left")
+            found = join_by_size(found, hits[atom], FILE, "left")
     for conjunct in joined:
         found = found.where(conjunct.column())
     return found.drop(*flags)
@@ -144,6 +155,26 @@ def top_files(scored: DataFrame, limit: int | None = 0) -> DataFrame:
     return scored if cap is None else scored.orderBy(*best_first()).limit(cap)
 
 
+# Where a row of a file table lies: its data file and its place in it.
+PLACE = ["_data_file", "_row"]
+
+
+def with_places(files: DataFrame) -> DataFrame | None:
+    """Files with the place that their rows were read from, or ``None`` where a source does not tell."""
+    place = {"_data_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
+    try:
+        return files.withColumns(place)
+    except AnalysisException:
+        return None
+
+
+def fetch(files: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``files`` at the places of few kept rows; only their data files are opened."""
+    places = kept.select("_data_file").distinct().collect()
+    near = with_places(files.where(F.col("_metadata.file_path").isin([r["_data_file"] for r in places])))
+    return near.join(F.broadcast(kept.drop(*FILE)), PLACE).drop(*PLACE)
+
+
 def search_lines(
     files: DataFrame,
     predicate: Predicate,
@@ -156,18 +187,29 @@ def search_lines(
     """Matching files with their matching lines: the general result table.
 
     With a cap, ranking runs on keys and scores, and lines, fragments and
-    context are computed for the kept files only.  Without one, everything is
-    done in a single pass over the files.
+    context are computed for the kept files only.  Where the source tells the
+    place of a row, ranking carries it and only the data files of kept rows are
+    opened again.  Without a cap, everything is done in a single pass over the
+    files.
     """
-    found = find_files(files, predicate, repos, symbols)
+    hits = hits_of(predicate, symbols)
     cap = effective_limit(limit)
     if cap is None:
-        scored = found.withColumn("score", score_column(predicate, found.columns))
-    else:
-        hits = [a.hits() for a in predicate.symbol_atoms()]
-        kept = top_files(score_files(found, predicate, *hits), cap)
+        found = find_files(files, predicate, repos, hits=hits)
+        return with_matches(found.withColumn("score", score_column(predicate, found.columns)), predicate, context)
+    placed = with_places(files) if cap <= MAX_BROADCAST_CAP else None
+    found = find_files(files if placed is None else placed, predicate, repos, hits=hits)
+    kept = top_files(score_files(found, predicate, *([] if placed is None else PLACE)), cap)
+    if placed is None:
         # The cap itself bounds this side.
         scored = files.join(F.broadcast(kept) if cap <= MAX_BROADCAST_CAP else kept, FILE)
+    else:
+        kept = materialize(kept, "kept")
+        scored = fetch(files, kept)
+    # The hits of kept files only, however many there are in all.
+    for atom in predicate.symbol_atoms():
+        own = hits[atom].join(kept.select(*FILE), FILE, "left_semi")
+        scored = scored.join(own, FILE, "left")
     return with_matches(scored, predicate, context)
 
 
@@ -204,20 +246,26 @@ def search(
     *,
     repos: DataFrame | None = None,
     symbols: DataFrame | None = None,
+    index: GramIndex | None = None,
     mode: str = "lines",
     limit: int | None = 0,
     context: int = 0,
 ) -> DataFrame:
     """Search in one of the three output modes.
 
-    ``lines`` gives ``(repo, path, range, text)`` rows, or repositories when
+    With an ``index`` of the files only those are read that it cannot rule out;
+    the result is the same.  ``lines`` gives ``(repo, path, range, text)`` rows, or repositories when
     the predicate only names repositories; ``files`` gives names; ``repos``
     gives repositories and ignores the cap.
     """
     if mode not in ("lines", "files", "repos"):
         raise ValueError(f"unknown output mode {mode!r}")
     if mode == "repos" or (mode == "lines" and is_repo_only(predicate)):
+        if index is not None and not (repos is not None and is_repo_only(predicate)):
+            files = narrow_files(files, index, predicate)
         return list_repos(files, predicate, repos, symbols)
+    if index is not None:
+        files = narrow_files(files, index, predicate)
     if mode == "files":
         found = find_files(files, predicate, repos, symbols)
         return list_files(top_files(score_files(found, predicate), limit))

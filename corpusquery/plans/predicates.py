@@ -9,9 +9,8 @@ atoms need a join, and which atoms mark lines.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,9 +20,9 @@ from corpusquery.functions.patterns import (
     has_upper,
     pattern_has_upper,
     quoted,
-    required_literals,
 )
-from corpusquery.functions.text import fold
+from corpusquery.functions.folding import fold
+from corpusquery.plans.gram_query import Demand, all_of, any_of, literal_demand, pattern_demand
 
 
 class Predicate:
@@ -334,47 +333,18 @@ def is_repo_only(predicate: Predicate) -> bool:
     return all(isinstance(a, NamePattern) and a.field == "repo" for a in predicate.atoms())
 
 
-@dataclass(frozen=True)
-class Demand:
-    """What a file must contain: a literal, or ``all`` or ``any`` of further demands."""
-
-    kind: str
-    parts: tuple[Demand, ...] = ()
-    text: str = ""
-
-    def literals(self) -> Iterator[str]:
-        if self.kind == "text":
-            yield self.text
-        for part in self.parts:
-            yield from part.literals()
-
-    def column(self, holds: Callable[[str], Column]) -> Column:
-        """The demand as a condition, given one for a literal."""
-        if self.kind == "text":
-            return holds(self.text)
-        join = (lambda a, b: a & b) if self.kind == "all" else (lambda a, b: a | b)
-        return reduce(join, [p.column(holds) for p in self.parts])
-
-
 def required_terms(predicate: Predicate, n: int = 3) -> Demand | None:
-    """The literals of at least ``n`` characters that a matching file contains.
+    """The literals of at least ``n`` folded characters that a matching file contains.
 
     ``None`` means that the predicate puts no such demand on files, so an n-gram
     index cannot narrow the search.
     """
-    if isinstance(predicate, (Term, Regex)):
-        texts = [predicate.text] if isinstance(predicate, Term) else required_literals(predicate.pattern)
-        demands = [Demand("text", text=t) for t in texts if len(t) >= n]
-        return _joined("all", demands)
+    if isinstance(predicate, Term):
+        return literal_demand(predicate.text, n)
+    if isinstance(predicate, Regex):
+        return pattern_demand(predicate.pattern, n)
     if isinstance(predicate, Or):
-        options = [required_terms(p, n) for p in predicate.parts]
-        return None if any(o is None for o in options) else _joined("any", options)
+        return any_of([required_terms(p, n) for p in predicate.parts])
     if isinstance(predicate, And):
-        return _joined("all", [d for p in predicate.parts if (d := required_terms(p, n)) is not None])
+        return all_of([required_terms(p, n) for p in predicate.parts])
     return None
-
-
-def _joined(kind: str, demands: list[Demand]) -> Demand | None:
-    if len(demands) < 2:
-        return demands[0] if demands else None
-    return Demand(kind, tuple(demands))

@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusquery import regex, term
-from corpusquery.operators import index
+from corpusquery.operators import blocks, index, narrowing, rollup
 from corpusquery.operators.search import matching_files
 from corpusquery.plans import joins
 from corpusquery.sources import sinks
@@ -45,36 +48,101 @@ def as_queries(spark, asked):
     return spark.createDataFrame(list(enumerate(asked)), "query_id bigint, text string")
 
 
+@pytest.fixture(scope="module")
+def gram_index(corpus):
+    return blocks.build_gram_index(corpus)
+
+
 def pairs(df):
     return sorted((r.query_id, r.path) for r in df.collect())
 
 
-@pytest.mark.parametrize("way", ["direct", "inline", "keys"])
+@pytest.mark.parametrize("way", ["one block", "many blocks", "long list"])
 def test_search_batch_against_brute_force(spark, corpus, texts, asked, monkeypatch, way):
-    if way != "direct":
-        monkeypatch.setattr(index, "DIRECT_QUERIES", 0)
-    else:
-        monkeypatch.setattr(index, "DIRECT_QUERIES", 10**6)
-    if way == "keys":
-        monkeypatch.setattr(index, "INLINE_ANCHORS", 0)
+    if way == "many blocks":
+        monkeypatch.setattr(index, "AUTOMATON_BYTES", 300)
+    if way == "long list":
         monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 0)
     assert pairs(index.search_batch(corpus, as_queries(spark, asked))) == brute(texts, asked)
 
 
-def test_candidates_hold_every_match(spark, corpus, texts, asked):
-    found = set(pairs(index.candidates(index.ngram_postings(corpus), as_queries(spark, asked))))
-    exact = {(q, p) for q, p in brute(texts, asked) if len(asked[q]) >= 3}
-    assert exact <= found
+def test_batch_search_reads_the_contents_once(spark, tmp_path, asked):
+    """Long texts that share their starts and ends, repeated queries, one scan of the files."""
+    head, tail = "the same beginning of all of them ", " and the same end for every text"
+    bodies = [head + "x" * k + tail for k in range(40)]
+    rows = [("r", str(k), f"before {t} after" if k % 2 else t[:-1]) for k, t in enumerate(bodies)]
+    spark.createDataFrame(rows, "repo string, path string, content string").write.parquet(f"{tmp_path}/files")
+    files = spark.read.parquet(f"{tmp_path}/files")
+    found = index.search_batch(files, as_queries(spark, [*bodies, *bodies]))
+    expected = sorted((q + d, str(k)) for d in (0, 40) for q, t in enumerate(bodies) for k, r in enumerate(rows) if t in r[2])
+    assert pairs(found) == expected
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_candidates_hold_every_match(spark, corpus, texts, asked, gram_index):
+    found = set(pairs(index.candidates(gram_index, as_queries(spark, asked))))
+    assert set(brute(texts, asked)) <= found
     grams = lambda s: {s.lower()[i : i + 3] for i in range(len(s) - 2)}
     expected = {
         (q, f"f{i}")
         for q, text in enumerate(asked)
         for i, t in enumerate(texts)
-        if grams(text) and grams(text) <= grams(t)
+        if (grams(text) <= grams(t) if grams(text) else text and text.lower() in t.lower())
     }
     assert found == expected
 
 
+@pytest.mark.parametrize("runs", ["small", "large"])
+def test_blocks_decode_to_the_postings(spark, corpus, monkeypatch, runs):
+    if runs == "small":
+        monkeypatch.setattr(blocks, "RUN_FILES", 7)
+        monkeypatch.setattr(blocks, "RUN_POSTINGS", 100)
+    rows = lambda df: sorted(map(tuple, df.select("gram", "repo", "path").collect()))
+    for n in (1, 2, 3):
+        built = blocks.build_gram_index(corpus, n)
+        assert rows(blocks.decoded(built)) == rows(index.ngram_postings(corpus, n))
+        assert built.blocks.where("first > last OR n > last - first + 1").count() == 0
+    with pytest.raises(ValueError):
+        blocks.build_gram_index(corpus, 4)
+
+
+def test_small_runs_find_the_same(spark, corpus, asked, gram_index, monkeypatch):
+    whole = pairs(index.candidates(gram_index, as_queries(spark, asked)))
+    monkeypatch.setattr(blocks, "RUN_FILES", 5)
+    monkeypatch.setattr(blocks, "FIRST_GRAMS", 1)
+    assert pairs(index.candidates(blocks.build_gram_index(corpus), as_queries(spark, asked))) == whole
+
+
+@given(st.lists(st.lists(st.integers(0, (1 << 16) - 1), min_size=1, max_size=50, unique=True), max_size=8))
+def test_numbers_as_bytes(lists):
+    packed = []
+    for numbers in lists:
+        numbers.sort()
+        data, _ = blocks.pack_numbers(np.diff(np.array(numbers)))
+        packed.append((len(numbers), numbers[0], data.tobytes()))
+    values, ends = blocks.decode(packed)
+    assert values.tolist() == [x for numbers in lists for x in numbers]
+    assert ends.tolist() == np.cumsum([len(x) for x in lists]).tolist()
+
+
+def test_blocks_are_small_and_skipped_by_their_bounds(spark, tmp_path):
+    """Stored bytes against rows of names, and blocks that bounds rule out."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(300)]
+    rows = [("some/repository", f"dir/file{i}.txt", " ".join(rng.choices(words, k=60))) for i in range(1500)]
+    files = spark.createDataFrame(rows, "repo string, path string, content string").coalesce(1)
+    built = blocks.build_gram_index(files)
+    built.blocks.orderBy("gram", "run").coalesce(1).write.option("compression", "zstd").parquet(f"{tmp_path}/blocks")
+    index.ngram_postings(files).orderBy("gram", "repo", "path").coalesce(1).write.parquet(f"{tmp_path}/rows")
+    size = lambda at: sum(f.stat().st_size for f in at.rglob("*.parquet"))
+    assert size(tmp_path / "blocks") * 2 < size(tmp_path / "rows")
+    asked = spark.createDataFrame([(1, rows[700][2])], "query_id int, text string")
+    found = index.candidates(built, asked)
+    assert ("some/repository", rows[700][1]) in {(r.repo, r.path) for r in found.collect()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "first#" in plan and "<= high#" in plan and ">= low#" in plan
+
+
 @pytest.mark.parametrize(
     "predicate",
     [
@@ -87,19 +155,19 @@ def test_candidates_hold_every_match(spark, corpus, texts, asked):
     ],
     ids=str,
 )
-def test_narrowed_search_finds_the_same_files(corpus, predicate):
-    narrowed = index.narrow_files(corpus, index.ngram_postings(corpus), predicate)
+def test_narrowed_search_finds_the_same_files(corpus, gram_index, predicate):
+    narrowed = index.narrow_files(corpus, gram_index, predicate)
     paths = lambda df: sorted(r.path for r in matching_files(df, predicate).collect())
     assert paths(narrowed) == paths(corpus)
 
 
-def test_search_cost(corpus):
+def test_search_cost(corpus, gram_index):
     predicate = term("aba")
-    cost = index.search_cost(corpus, index.ngram_postings(corpus), predicate, limit=2).first()
+    cost = index.search_cost(corpus, gram_index, predicate, limit=2).first()
     n = matching_files(corpus, predicate).count()
     assert cost.file_count == n and cost.files_skipped == max(n - 2, 0)
     assert cost.files_considered >= n and cost.ngram_matches >= cost.files_considered
-    everything = index.search_cost(corpus, index.ngram_postings(corpus), regex("a"), limit=None).first()
+    everything = index.search_cost(corpus, gram_index, regex("a"), limit=None).first()
     assert everything.files_considered == corpus.count() and everything.ngram_matches == 0
 
 
@@ -117,14 +185,16 @@ def test_stored_index(spark, corpus, tmp_path):
     postings = sinks.read_postings(spark, str(tmp_path))
     assert as_set(postings) == as_set(index.ngram_postings(corpus))
     assert sinks.read_entries(spark, str(tmp_path)).count() == corpus.count()
-    grams = index.text_grams("éaba")
+    grams = narrowing.text_grams("éaba")
     pruned = sinks.read_postings(spark, str(tmp_path), grams)
     assert as_set(pruned) == {r for r in as_set(postings) if r[0] in grams}
     plan = pruned._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [gram_bucket" in plan.replace("isnotnull(gram_bucket#", "gram_bucket") or "gram_bucket" in plan
-    assert sorted(r.path for r in index.predicate_candidates(pruned, term("éaba")).collect()) == sorted(
-        r.path for r in index.predicate_candidates(postings, term("éaba")).collect()
+    candidates = lambda *grams: sorted(
+        r.path
+        for r in narrowing.predicate_candidates(sinks.read_gram_index(spark, str(tmp_path), *grams), term("éaba")).collect()
     )
+    assert candidates(grams) == candidates()
 
 
 def test_buckets_agree(spark):
@@ -145,6 +215,30 @@ def test_index_diff(spark):
     assert {r.status for r in index.index_diff(old, old).collect()} == {"same"}
 
 
+def test_rolled_diff_reads_no_file_of_equal_repositories(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    old = [(f"r{i % 12}", f"d{i % 3}/f{i}" if i % 5 else f"f{i}", str(rng.random())) for i in range(600)]
+    new = [(r, p, "changed" if r == "r3" and p.startswith("d0/") and int(p[4:]) % 2 else s) for r, p, s in old if not (r == "r5" and p == "f5")]
+    new += [("r5", "d9/new", "x"), ("fresh", "a", "y")]
+    old += [("gone", "a", "z"), ("r7", "same", "1"), ("r7", "same", "1")]
+    new += [("r7", "same", "1"), ("r7", "same", "1")]
+    sides = []
+    for name, rows in (("new", new), ("old", old)):
+        spark.createDataFrame(rows, DIFF).write.partitionBy("repo").parquet(f"{tmp_path}/{name}")
+        sides.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    ups = [rollup.roll_up(s) for s in sides]
+    key = lambda df: sorted(tuple(r) for r in df.select("repo", "path", "status", "new_sha", "old_sha").collect())
+    found = rollup.index_diff_rolled(*sides, *ups)
+    assert key(found) == key(index.index_diff(*sides).where("status <> 'same'")) and found.count() > 10
+    folders = {tuple(r) for r in rollup.changed_folders(*ups).collect()}
+    assert folders == {("r3", "d0"), ("r5", ""), ("r5", "d9"), ("fresh", ""), ("gone", "")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [repo") == 2 and "fresh" in plan and "r7" not in plan
+    monkeypatch.setattr(rollup, "MAX_LISTED", 2)
+    assert key(rollup.index_diff_rolled(*sides, *ups)) == key(found)
+    assert rollup.index_diff_rolled(sides[0], sides[0], ups[0], ups[0]).count() == 0
+
+
 ENTRIES = "shard int, repo string, path string, source string"
 
 

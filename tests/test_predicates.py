@@ -9,7 +9,6 @@ from corpusquery import (
 from corpusquery.operators.search import list_repos, matching_files
 from corpusquery.operators.symbols import SymbolRule, extract_symbols
 from corpusquery.plans import joins
-from corpusquery.functions.patterns import required_literals
 from corpusquery.plans.predicates import Demand, is_repo_only, required_terms
 
 MAIN, A, X, Y, Z = "src/Main.java", "src/a.c", "x.py", "y.py", "z.txt"
@@ -188,25 +187,6 @@ def test_bad_input():
         regex("")
 
 
-def test_literals_of_patterns_are_in_every_match():
-    cases = {
-        "foo.*bar": ["foo", "bar"],
-        r"a\.b\d+cd": ["a.b", "cd"],
-        "colou?r": ["colo", "r"],
-        "ab+c": ["ab", "c"],
-        "xy{2,3}z": ["x", "z"],
-        "(abc)?def": ["def"],
-        "pre(a(b)c)*post": ["pre", "post"],
-        "[abc]def[^]x]gh": ["def", "gh"],
-        "abc|def": [],
-        r"a\|b": ["a|b"],
-        r"\bword\b": ["word"],
-        "(?i)Name$": ["Name"],
-        r"\Qa.b\E": [],
-    }
-    assert {p: required_literals(p) for p in cases} == cases
-
-
 def test_missing_flags_are_false(spark):
     files = spark.createDataFrame([("r", "a", None, None, None)], "repo string, path string, archived boolean, fork boolean, public boolean")
     for predicate in (archived(False), ~archived(True), fork(False), public(False)):
@@ -214,7 +194,8 @@ def test_missing_flags_are_false(spark):
 
 
 def test_sigma_folds_alike_everywhere(spark):
-    from corpusquery.operators.index import candidates, narrow_files, ngram_postings
+    from corpusquery.operators.blocks import build_gram_index
+    from corpusquery.operators.index import candidates, narrow_files
 
     rows = [("r", "a", "η ΟΔΟΣ"), ("r", "b", "ΟΔΟΣΧ οδός"), ("r", "c", "οδος"), ("r", "d", "none")]
     files = spark.createDataFrame(rows, "repo string, path string, content string")
@@ -222,7 +203,7 @@ def test_sigma_folds_alike_everywhere(spark):
     predicate = term("οδος")
     scanned = found(files.where(predicate.column()))
     assert scanned == {"a", "b", "c"}
-    postings = ngram_postings(files)
-    assert found(narrow_files(files, postings, predicate).where(predicate.column())) == scanned
+    built = build_gram_index(files)
+    assert found(narrow_files(files, built, predicate).where(predicate.column())) == scanned
     queries = spark.createDataFrame([(1, "ΟΔΟΣ")], "query_id int, text string")
-    assert found(candidates(postings, queries)) >= scanned
+    assert found(candidates(built, queries)) >= scanned

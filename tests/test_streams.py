@@ -2,15 +2,18 @@
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusquery import read_corpus, search_lines, shared_dir, term
 from corpusquery.operators import lifecycle
+from corpusquery.operators.blocks import decoded
 from corpusquery.operators.lines import match_rows
 from corpusquery.operators.symbols import detect_language
 from corpusquery.sources import sinks
+from corpusquery.sources.snapshots import Snapshots
 from corpusquery.streaming import jobs
 
 
@@ -64,27 +67,89 @@ def test_latest_status(spark):
     assert {r.id: (r.status, r.error) for r in got.collect()} == last_states(rows)
 
 
-def test_streaming_status_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("changes", [16, 2])
+def test_streaming_status_equals_batch(spark, tmp_path, monkeypatch, changes):
+    monkeypatch.setattr(jobs, "MAX_CHANGES", changes)
     rows = events()
     feed = tmp_path / "in"
-    for k in range(3):
-        spark.createDataFrame(rows[k::3], EVENTS).coalesce(1).write.mode("append").parquet(str(feed))
+    for k in range(5):
+        spark.createDataFrame(rows[k::5], EVENTS).coalesce(1).write.mode("append").parquet(str(feed))
     base = shared_dir(spark, "t")
     stream = jobs.read_feed(spark, str(feed), EVENTS, files_per_batch=1)
     jobs.stream_latest_status(stream, f"{base}/out", f"{base}/cp").awaitTermination()
     got = jobs.read_latest_status(spark, f"{base}/out")
     assert {r.id: (r.status, r.error) for r in got.collect()} == last_states(rows)
-    assert spark.read.parquet(f"{base}/out").select("batch_id").distinct().count() == 3
-
-
-def test_streaming_eviction(spark, tmp_path):
-    rows = events()
-    feed = tmp_path / "in"
-    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(str(feed))
+    # Changes are merged before they become many.
+    assert len(Snapshots(spark, f"{base}/out").latest()["folders"]) <= min(changes, 5)
+    # A batch that runs again after a failure leaves the same table.
+    jobs._save_tasks(spark.createDataFrame(rows[4::5], EVENTS), 4, f"{base}/out", None, None)
+    assert {r.id: (r.status, r.error) for r in jobs.read_latest_status(spark, f"{base}/out").collect()} == last_states(rows)
+
+
+def test_idle_tasks_are_let_go(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "MAX_CHANGES", 0)
+    base, start = shared_dir(spark, "t"), datetime(2024, 1, 1)
+    rows = [("old", 0, "running", None, start), ("new", 1, "running", None, start + timedelta(hours=5))]
+    jobs._save_tasks(spark.createDataFrame(rows, EVENTS), 0, f"{base}/out", None, timedelta(hours=2))
+    assert [r.id for r in jobs.read_latest_status(spark, f"{base}/out").collect()] == ["new"]
+
+
+def test_streaming_eviction_over_batches(spark, tmp_path):
+    """Finished tasks go at an overflow; those that finish later stay until the next one."""
+    rows, cap, feed = events(), 12, tmp_path / "in"
+    start = datetime(2024, 1, 2)
+    batches = [rows[:100], [("t3", 1000, "completed", None, start)], rows[100:], [(f"x{i}", 2000 + i, "pending", None, start) for i in range(20)]]
+    base, table = shared_dir(spark, "t"), {}
+    for batch in batches:
+        spark.createDataFrame(batch, EVENTS).coalesce(1).write.mode("append").parquet(str(feed))
+        stream = jobs.read_feed(spark, str(feed), EVENTS, files_per_batch=1)
+        jobs.stream_eviction(stream, f"{base}/out", f"{base}/cp", cap=cap).awaitTermination()
+        for r in batch:
+            if r[0] not in table or (r[4], r[1]) >= (table[r[0]][4], table[r[0]][1]):
+                table[r[0]] = r
+        if len(table) > cap:
+            table = {k: r for k, r in table.items() if r[2] in ("pending", "running")}
+        got = {r.id: (r.status, r.error, r.ts) for r in jobs.read_latest_status(spark, f"{base}/out").collect()}
+        assert got == {k: r[2:] for k, r in table.items()}
+    assert len(Snapshots(spark, f"{base}/out").latest()["folders"]) == 1
+
+
+def test_snapshots_name_whole_versions(spark, tmp_path):
+    table = Snapshots(spark, str(tmp_path / "t"))
+    assert table.latest() is None
+    for k in range(5):
+        spark.range(k + 1).write.parquet(f"{tmp_path}/t/f{k}")
+        table.publish(k, {"folders": [f"f{k}"]}, [f"f{k - 1}"] if k else [])
+        assert table.latest()["folders"] == [f"f{k}"] and table.latest(k) == (table.read(k - 1) if k else None)
+        # The folder of the version before is still there for its readers.
+        assert k < 1 or table.exists(f"f{k - 1}")
+        assert k < 2 or not table.exists(f"f{k - 2}")
+    table.publish(4, {"folders": ["f4"]}, ["f3"])  # a repeated batch
+    assert table.table(table.latest()["folders"], "id bigint").count() == 5
+    assert table.table([], "id bigint").count() == 0
+
+
+def test_retention_while_time_goes_on(spark, tmp_path):
+    start, feed = datetime(2024, 1, 1), tmp_path / "in"
     base = shared_dir(spark, "t")
-    jobs.stream_eviction(jobs.read_feed(spark, str(feed), EVENTS), f"{base}/out", f"{base}/cp", cap=5).awaitTermination()
-    kept = {r.id for r in spark.read.parquet(f"{base}/out").collect()}
-    assert kept == {k for k, v in last_states(rows).items() if v[0] in ("pending", "running")}
+    now = lambda batch: start + timedelta(hours=30 * (batch + 1))
+    rows = []
+    for k in range(4):
+        part = [(100 * k + i, start + timedelta(hours=30 * k + i)) for i in range(0, 30)] + [(-k, start)]
+        rows += part
+        spark.createDataFrame(part, "i int, ts timestamp").coalesce(1).write.mode("append").parquet(str(feed))
+        stream = jobs.read_feed(spark, str(feed), "i int, ts timestamp", files_per_batch=1)
+        jobs.stream_retention(
+            stream, "ts", f"{base}/out", f"{base}/cp", timedelta(hours=50), now=now
+        ).awaitTermination()
+        expected = sorted(i for i, ts in rows if ts >= now(k) - timedelta(hours=50))
+        kept = jobs.read_retained(spark, f"{base}/out")
+        assert sorted(r.i for r in kept.collect()) == expected and kept.columns == ["i", "ts"]
+    # Expired days are gone from the disk, not only from the result.
+    folders = Snapshots(spark, f"{base}/out").latest()["folders"]
+    assert min(folders.values()) == str((now(3) - timedelta(hours=50)).date())
+    left = spark.read.option("recursiveFileLookup", True).schema("i int, ts timestamp").parquet(f"{base}/out/batch-0")
+    assert left.count() == 0 or left.agg(F.max("ts")).first()[0] >= now(2) - timedelta(hours=50)
 
 
 FILES = "repo string, path string, content string, source string, shard int"
@@ -148,6 +213,52 @@ def test_index_with_repeated_and_deleted_files(spark):
     assert spark.read.parquet(f"{base}/compact/entries").count() == 2
 
 
+def test_compaction_in_mid_stream(spark, tmp_path):
+    """Versions stay whole while batches are merged; files come, change and go."""
+    base, truth, feed = shared_dir(spark, "t"), {}, tmp_path / "in"
+    pinned = None
+    for k in range(6):
+        rows = [("r", f"f{k}", f"alpha number {k}", "s", 0), ("r", "same", f"version {k} of it", "s", 0)]
+        if k == 3:
+            rows.append(("r", "f0", None, "s", 0))
+        truth |= {r[1]: r[2] for r in rows}
+        write_files(spark, feed, rows)
+        stream = jobs.read_feed(spark, str(feed), FILES)
+        jobs.stream_index(stream, f"{base}/index", f"{base}/cp", compact_every=3).awaitTermination()
+        index = sinks.read_gram_index(spark, f"{base}/index")
+        expected = {p: t for p, t in truth.items() if t is not None}
+        assert {r.path: r.n_bytes for r in sinks.read_entries(spark, f"{base}/index").collect()} == {
+            p: len(t) for p, t in expected.items()
+        }
+        got = {(r.gram, r.path) for r in decoded(index).collect()}
+        assert got == {(t[i : i + 3], p) for p, t in expected.items() for i in range(len(t) - 2)}
+        if pinned is not None:
+            # A reader that started at the version before still sees it whole.
+            assert {(r.gram, r.path) for r in decoded(pinned[0]).collect()} == pinned[1]
+        pinned = (index, got)
+    snapshot = sinks.index_versions(spark, f"{base}/index")
+    assert len(snapshot["parts"]) < 3
+    left = [p.name for p in Path(f"{base}/index/entries".removeprefix("file:")).iterdir() if p.name.startswith("batch_id")]
+    assert len(left) <= 3
+    # A batch that runs again after its version was merged changes nothing.
+    jobs.index_batch(spark.createDataFrame(rows, FILES), 5, f"{base}/index")
+    assert {(r.gram, r.path) for r in decoded(sinks.read_gram_index(spark, f"{base}/index")).collect()} == got
+
+
+def test_a_batch_does_not_shuffle_contents(spark):
+    base = shared_dir(spark, "t")
+    files = spark.range(50).selectExpr("'r' AS repo", "string(id) AS path", "repeat(string(id), 50) AS content", "'s' AS source", "0 AS shard")
+    seen = []
+    original = sinks.build_gram_index
+    sinks.build_gram_index = lambda df, *args: seen.append(df) or original(df, *args)
+    try:
+        jobs.index_batch(files, 0, f"{base}/index")
+    finally:
+        sinks.build_gram_index = original
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert sinks.read_entries(spark, f"{base}/index").count() == 50
+
+
 def test_entry_files_do_not_multiply_with_tasks(spark):
     base = shared_dir(spark, "t")
     files = spark.range(3000).selectExpr(
@@ -167,7 +278,7 @@ def test_streaming_retention_and_sweep(spark, tmp_path):
     base = shared_dir(spark, "t")
     feed = jobs.read_feed(spark, str(tmp_path / "in"), "i int, ts timestamp")
     jobs.stream_retention(feed, "ts", f"{base}/out", f"{base}/cp", now=now).awaitTermination()
-    assert sorted(r.i for r in spark.read.parquet(f"{base}/out").collect()) == [0, 71, 72]
+    assert sorted(r.i for r in jobs.read_retained(spark, f"{base}/out").collect()) == [0, 71, 72]
 
     files = spark.createDataFrame(
         [("r", "a", "x", "s1", 1), ("r", "b", "y", "s2", 1), ("r", "c", "z", "s1", 2)], FILES

@@ -63,6 +63,9 @@ def line_hits(pattern: str) -> str:
     )
 
 
+ALTERNATIVES = "(?:apache|mit|bsd)[- ]licen[sc]ed?|(?:released|licensed) under (?:the )?(?:MIT|Apache)"
+
+
 def found(where: str, score: str, ctes: list[str] | None = None, join: str = "") -> str:
     return with_(
         ctes or [FILES],
@@ -242,6 +245,29 @@ TASKS = """tasks AS (
            row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
     FROM events) e WHERE rn = 1)"""
 
+
+TASK_EVENTS_BATCHED = """task_events AS (
+  SELECT CAST(user_id AS VARCHAR) AS id, event_id AS seq,
+         CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running'
+              WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS status,
+         CASE WHEN event_type = 'error' THEN props END AS error, ts,
+         CASE WHEN event_id >= low + (high + 1 - low) * 2 // 3 THEN 2
+              WHEN event_id >= low + (high + 1 - low) // 3 THEN 1 ELSE 0 END AS batch
+  FROM events, (SELECT min(event_id) AS low, max(event_id) AS high FROM events) b)"""
+
+
+def batch_of_tasks(k: int) -> str:
+    """The task table after a batch of events: last states, without finished ones when there are too many."""
+    columns = "id, status, error, ts, seq"
+    before = f"SELECT {columns} FROM table{k - 1} UNION ALL " if k else ""
+    return f"""merged{k} AS (
+  SELECT {columns} FROM ({before}SELECT {columns} FROM task_events WHERE batch = {k}) u
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, seq DESC) = 1),
+table{k} AS (
+  SELECT * FROM merged{k}
+  WHERE status NOT IN ('completed', 'failed') OR (SELECT count(*) FROM merged{k}) <= 100)"""
+
+
 def symbol_cte(kind: str, opening: str, closing: str) -> str:
     """Symbols of one rule: name, byte offset in the line and order."""
     pattern = f"{opening}[^<]+{closing}"
@@ -387,6 +413,27 @@ FROM symbols WHERE {has('the', 'sym')}""",
         ],
         ranges("hit"),
     ),
+    "mode_lines_fetched": with_(
+        [
+            FILES,
+            LINES,
+            f"top AS (SELECT repo, path FROM files WHERE {has('apache')} ORDER BY {hits('apache')} DESC, repo, path LIMIT 5)",
+            f"hit AS (SELECT * FROM lines JOIN top USING (repo, path) WHERE {has('apache', 'line')})",
+        ],
+        ranges("hit"),
+    ),
+    "result_document": with_(
+        [
+            FILES,
+            LINES,
+            f"totals AS (SELECT count(*) AS total_matches FROM files WHERE {has('license')})",
+            f"top AS (SELECT repo, path FROM files WHERE {has('license')} ORDER BY {hits('license')} DESC, repo, path LIMIT 20)",
+            f"hit AS (SELECT * FROM lines JOIN top USING (repo, path) WHERE {has('license', 'line')})",
+            f"shown AS ({ranges('hit')})",
+        ],
+        """SELECT total_matches, least(total_matches, 20) AS returned, total_matches > 20 AS truncated,
+       concat(repo, ':', path) AS file, range, text FROM shown, totals""",
+    ),
     "mode_lines_repo_only": with_(
         [REPOS],
         "SELECT repo FROM repos WHERE regexp_matches(repo, '(?i)src1') AND NOT regexp_matches(repo, '(?i)src1[0-4]$')",
@@ -557,6 +604,15 @@ LEFT JOIN (SELECT repo, count(DISTINCT shard) AS shards, CAST(sum(index_bytes) A
         [FILES, REPOS],
         """SELECT id, repo, count(*) AS documents, CAST(sum(strlen(content)) AS BIGINT) AS content_bytes
 FROM files JOIN repos USING (repo) GROUP BY id, repo""",
+    ),
+    "repo_map_latest": with_(
+        [HOSTED],
+        """SELECT id % 50 AS id, concat(repo, '/', id) AS repo, coalesce(documents, 0) AS documents,
+       coalesce(content_bytes, 0) AS content_bytes
+FROM hosted LEFT JOIN (
+  SELECT concat(regexp_extract(url, '^[a-z]+://([^?#]+)', 1), '/', page_id) AS place,
+         1::BIGINT AS documents, strlen(html)::BIGINT AS content_bytes FROM pages) p ON p.place = concat(repo, '/', id)
+QUALIFY row_number() OVER (PARTITION BY id % 50 ORDER BY id DESC) = 1""",
     ),
     "repo_order_size": with_(
         [FILES],
@@ -644,6 +700,9 @@ FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN regexp_extract(url, '^[a-z]
         [FILES, GRAM_FILES],
         "SELECT gram, count(*) AS n_files FROM (SELECT unnest(grams) AS gram FROM gram_files) g GROUP BY gram",
     ),
+    "index_blocks": with_(
+        [FILES, GRAM_FILES], "SELECT unnest(grams) AS gram, repo, path FROM gram_files"
+    ),
     "candidates": with_(
         [
             FILES,
@@ -661,9 +720,16 @@ WHERE text <> '' AND contains(content, text)""",
     ),
     "search_batch_anchored": with_(
         [FILES],
-        r"""SELECT query_id, repo, path FROM files, (
-  SELECT conv_id * 1000 + turn AS query_id, string_split_regex(text, '[.?!]\s*')[1] AS q FROM conversations) t
-WHERE q <> '' AND contains(content, q)""",
+        r"""SELECT conv_id * 1000 + turn AS query_id, repo, path FROM files, conversations
+WHERE text <> '' AND contains(content, text)""",
+    ),
+    "search_batch_sentences": with_(
+        [FILES],
+        r"""SELECT query_id, count(*) AS n_files FROM files, (
+  SELECT (conv_id * 1000 + turn) * 1000 + i - 1 AS query_id, parts[i] AS q
+  FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i
+        FROM (SELECT conv_id, turn, string_split_regex(text, '[.?!]\s*') AS parts FROM conversations) s) p) t
+WHERE q <> '' AND contains(content, q) GROUP BY query_id""",
     ),
     "search_narrowed": found(
         f"{has('apache')} AND ({has('License')} OR {has('version')})",
@@ -673,6 +739,21 @@ WHERE q <> '' AND contains(content, q)""",
         r"regexp_matches(content, 'Licensed under .*Version \d') OR regexp_matches(content, 'Released? under the MIT.+')",
         line_hits(r"Licensed under .*Version \d") + " + " + line_hits("Released? under the MIT.+"),
     ),
+    "search_regex_alternatives": found(
+        f"regexp_matches(content, '(?i){ALTERNATIVES}')",
+        line_hits(f"(?i){ALTERNATIVES}"),
+    ),
+    "search_indexed": with_(
+        [
+            FILES,
+            LINES,
+            f"""top AS (SELECT repo, path FROM files
+  WHERE regexp_matches(content, '(?i)licen[sc]e') AND NOT {has('apache')}
+  ORDER BY {line_hits('(?i)licen[sc]e')} DESC, repo, path LIMIT 20)""",
+            "hit AS (SELECT * FROM lines JOIN top USING (repo, path) WHERE regexp_matches(line, '(?i)licen[sc]e'))",
+        ],
+        ranges("hit"),
+    ),
     "repo_flags_missing": with_(
         [FILES, REPOS],
         """SELECT f.repo, count(*) AS n_files FROM files f
@@ -685,6 +766,18 @@ WHERE NOT coalesce(r.archived, FALSE) AND NOT coalesce(r.fork, FALSE) GROUP BY f
     "stored_rules": with_(
         [HOSTED, EXPANDED], """SELECT rule_pos, owner_pos, kind, url, org, "user" FROM expanded"""
     ),
+    "stored_flat_rules": with_(
+        [HOSTED],
+        """SELECT * FROM (
+  SELECT id AS rule_pos,
+         CASE WHEN id % 10 = 0 OR (id % 5 = 0 AND owner <> '') THEN 'github'
+              WHEN id % 5 = 1 THEN 'gitlab' WHEN id % 5 = 2 THEN 'gitea' WHEN id % 5 = 3 THEN 'gerrit' END AS kind,
+         CASE WHEN id % 10 = 0 OR id % 5 IN (1, 2, 3) THEN concat('https://', host, '/api') ELSE '' END AS url,
+         CASE WHEN id % 5 = 0 THEN owner ELSE '' END AS org, CASE WHEN id % 5 = 2 THEN owner ELSE '' END AS "user",
+         'rule' || id AS name, CASE WHEN id % 3 = 0 THEN '^old' ELSE '' END AS exclude,
+         id % 4 = 0 AS no_archived, id % 3 = 1 AS keep_deleted
+  FROM hosted) r WHERE kind IS NOT NULL""",
+    ),
     "index_diff": with_(
         [ENTRIES],
         """SELECT coalesce(c.repo, e.repo) AS repo, coalesce(c.path, e.path) AS path,
@@ -694,6 +787,17 @@ FROM (SELECT source AS repo, concat(lang, '/', doc_id, '.txt') AS path, sha256(t
       FROM documents WHERE doc_id % 13 <> 0) c
 FULL JOIN entries e ON e.repo = c.repo AND e.path = c.path""",
     ),
+    "index_diff_rolled": """WITH new AS (
+  SELECT source AS repo, concat(lang, '/', doc_id, '.txt') AS path, sha256(text) AS sha FROM documents),
+old AS (
+  SELECT source AS repo, concat(lang, '/', doc_id, '.txt') AS path,
+         CASE WHEN source IN ('src1', 'src4') AND doc_id % 3 = 0 THEN 'old' ELSE sha256(text) END AS sha
+  FROM documents WHERE source <> 'src2' AND NOT (source = 'src5' AND doc_id % 4 = 0)
+  UNION ALL SELECT 'gone', CAST(doc_id AS VARCHAR), 'x' FROM documents WHERE source = 'src7')
+SELECT repo, path,
+       CASE WHEN old.sha IS NULL THEN 'new' WHEN new.sha IS NULL THEN 'deleted' ELSE 'changed' END AS status,
+       new.sha AS new_sha, old.sha AS old_sha
+FROM new FULL JOIN old USING (repo, path) WHERE new.sha IS DISTINCT FROM old.sha""",
     "orphan_entries": with_([ENTRIES], "SELECT repo, path, shard, source FROM orphans"),
     "orphan_shards": with_([ENTRIES], "SELECT DISTINCT shard FROM orphans"),
     "surviving_entries": with_(
@@ -730,6 +834,9 @@ OR (SELECT count(*) FROM tasks) <= 100""",
     "stream_latest_status": with_([TASKS], "SELECT * FROM tasks"),
     "stream_search": with_([FILES, LINES], MATCHED_LINES),
     "stream_retention": RETAINED,
+    "stream_eviction": with_(
+        [TASK_EVENTS_BATCHED, *(batch_of_tasks(k) for k in range(3))], "SELECT id, status, error, ts FROM table2"
+    ),
     "stream_index": with_(
         [FILES, GRAM_FILES],
         """SELECT repo, path, repo AS source, strlen(content) % 8 AS shard, sha256(content) AS content_sha,

@@ -29,19 +29,20 @@ from corpusquery import (
     term,
 )
 from corpusquery.functions.text import repo_parts, slice_lines, url_host
-from corpusquery.operators import index, lifecycle, lines, repos, results, rules, symbols
+from corpusquery.operators import blocks, index, lifecycle, lines, repos, results, rollup, rules, symbols
 from corpusquery.operators.search import (
     attach_repos,
     envelope,
     find_files,
     list_files,
     matching_files,
+    result_json,
     score_files,
     top_files,
 )
 from corpusquery.plans.joins import materialize
 from corpusquery.plans.predicates import Predicate
-from corpusquery.sources.rules import read_nested_rules
+from corpusquery.sources.rules import flat_rules, read_flat_rules, read_nested_rules
 from corpusquery.sources.sinks import read_entries, read_postings, write_entries
 from corpusquery.streaming import jobs
 from workload import views as v
@@ -191,6 +192,14 @@ def mode_lines_capped(spark, sf):
     return search(v.files(spark, sf), term("the"), limit=0)
 
 
+@query
+def mode_lines_fetched(spark, sf):
+    """A capped search in a stored corpus of many data files; few of them are opened again."""
+    base = shared_dir(spark, "corpus")
+    v.files(spark, sf).repartitionByRange(32, "repo", "path").write.parquet(f"{base}/files")
+    return search(spark.read.parquet(f"{base}/files"), term("apache"), limit=5)
+
+
 @query
 def mode_lines_repo_only(spark, sf):
     return search(
@@ -375,7 +384,7 @@ def search_stats(spark, sf):
 @query
 def search_cost(spark, sf):
     predicate = (term("License") | term("version")) & term("under")
-    return index.search_cost(v.files(spark, sf), postings(spark, sf), predicate, limit=10)
+    return index.search_cost(v.files(spark, sf), gram_index(spark, sf), predicate, limit=10)
 
 
 # Repositories -----------------------------------------------------------------
@@ -397,6 +406,22 @@ def repo_map(spark, sf):
     return keyed.select("id", "entry.*")
 
 
+@query
+def repo_map_latest(spark, sf):
+    """Pages of one host and path as entries of one id; the last page counts."""
+    hosted = v.hosted_repos(spark, sf)
+    number = F.pmod(F.col("id"), F.lit(50)).alias("id")
+    listed = hosted.select(number, F.concat_ws("/", "repo", F.col("id").cast("string")).alias("repo"), F.col("id").alias("at"))
+    stats = repos.repo_stats(
+        v.table(spark, sf, "pages").select(
+            F.concat_ws("/", F.regexp_extract("url", r"^[a-z]+://([^?#]+)", 1), F.col("page_id").cast("string")).alias("repo"),
+            F.lit("index").alias("path"),
+            F.col("html").alias("content"),
+        )
+    )
+    return repos.repo_map(listed, stats, "at").select("id", "entry.*")
+
+
 @query
 def repo_order_size(spark, sf):
     return repos.order_repos(repos.repo_stats(v.files(spark, sf)), "revsize")
@@ -503,9 +528,9 @@ def url_hosts(spark, sf):
 # Index --------------------------------------------------------------------------
 
 
-def postings(spark, sf):
+def gram_index(spark, sf):
     """The n-gram index, written once and then read, as a search does."""
-    return materialize(index.ngram_postings(v.spread_files(spark, sf)), "postings")
+    return blocks.build_gram_index(v.spread_files(spark, sf))
 
 
 @query
@@ -514,9 +539,15 @@ def ngram_postings(spark, sf):
     return index.posting_lists(index.ngram_postings(v.spread_files(spark, sf)))
 
 
+@query
+def index_blocks(spark, sf):
+    """All postings, read back from the blocks of the index."""
+    return blocks.decoded(gram_index(spark, sf))
+
+
 @query
 def candidates(spark, sf):
-    return index.candidates(postings(spark, sf), v.batch_queries(spark, sf))
+    return index.candidates(gram_index(spark, sf), v.batch_queries(spark, sf))
 
 
 @query
@@ -528,18 +559,28 @@ def search_batch(spark, sf):
 def search_batch_anchored(spark, sf):
     """A long query list: every conversation turn is looked for in the documents."""
     turns = v.table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
-        F.element_at(F.split("text", r"[.?!]\s*"), 1).alias("text"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"
     )
     return index.search_batch(v.spread_files(spark, sf), turns)
 
 
+@query
+def search_batch_sentences(spark, sf):
+    """Every sentence of every turn is looked for in the documents."""
+    turns = v.table(spark, sf, "conversations")
+    sentences = turns.select("conv_id", "turn", F.posexplode(F.split("text", r"[.?!]\s*")).alias("pos", "text"))
+    number = (F.col("conv_id") * 1000 + F.col("turn")) * 1000 + F.col("pos")
+    asked = sentences.select(number.alias("query_id"), "text")
+    found = index.search_batch(v.spread_files(spark, sf), asked)
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 @query
 def search_narrowed(spark, sf):
     """Search that reads only the candidates of the n-gram index."""
     files = v.files(spark, sf)
     predicate = term("apache") & (term("License") | term("version"))
-    narrowed = index.narrow_files(files, postings(spark, sf), predicate)
+    narrowed = index.narrow_files(files, gram_index(spark, sf), predicate)
     return score_files(matching_files(narrowed, predicate), predicate)
 
 
@@ -548,10 +589,28 @@ def search_regex_narrowed(spark, sf):
     """A regular expression searched through the index by the literals in it."""
     files = v.files(spark, sf)
     predicate = regex(r"Licensed under .*Version \d") | regex(r"Released? under the MIT.+")
-    narrowed = index.narrow_files(files, postings(spark, sf), predicate)
+    narrowed = index.narrow_files(files, gram_index(spark, sf), predicate)
+    return score_files(matching_files(narrowed, predicate), predicate)
+
+
+ALTERNATIVES = r"(apache|mit|bsd)[- ]licen[sc]ed?|(released|licensed) under (the )?(MIT|Apache)"
+
+
+@query
+def search_regex_alternatives(spark, sf):
+    """A regular expression without any literal that all its matches share."""
+    predicate = regex(ALTERNATIVES, case=False)
+    narrowed = index.narrow_files(v.files(spark, sf), gram_index(spark, sf), predicate)
     return score_files(matching_files(narrowed, predicate), predicate)
 
 
+@query
+def search_indexed(spark, sf):
+    """The result lines of a search that goes through the index."""
+    predicate = regex("licen[sc]e") & ~term("apache")
+    return search(v.files(spark, sf), predicate, index=gram_index(spark, sf), limit=20)
+
+
 @query
 def repo_flags_missing(spark, sf):
     """Files of repositories without attributes count as not archived."""
@@ -581,12 +640,56 @@ def stored_rules(spark, sf):
     )
 
 
+@query
+def stored_flat_rules(spark, sf):
+    """Flat rules written as JSON arrays, read back and brought to the common form."""
+    base = shared_dir(spark, "flat-rules")
+    arrays = v.flat_rules(spark, sf).groupBy(F.pmod("rule_pos", F.lit(16)).alias("part")).agg(
+        F.to_json(F.sort_array(F.collect_list(F.struct("rule_pos", "rule")))["rule"]).alias("json")
+    )
+    arrays.write.partitionBy("part").text(f"{base}/rules")
+    flat = read_flat_rules(spark, f"{base}/rules/*")
+    # The number of a rule is in its name.
+    numbered = flat.withColumn("rule_pos", F.regexp_extract("Name", r"(\d+)$", 1).cast("bigint"))
+    return flat_rules(numbered).select(
+        "rule_pos", "kind", "url", "org", "user", "name", "exclude", "no_archived", "keep_deleted"
+    )
+
+
+@query
+def result_document(spark, sf):
+    """The JSON document of a capped search, parsed back into its ranges."""
+    predicate = term("license")
+    matching = matching_files(v.files(spark, sf), predicate)
+    found = search_lines(v.files(spark, sf), predicate, limit=20)
+    total = envelope(matching, 20).first()["total_matches"]
+    schema = "total_matches bigint, returned bigint, truncated boolean, results map<string, map<string, string>>"
+    parsed = result_json(found, total, 20).select(F.from_json("json", schema).alias("d")).select("d.*")
+    files = parsed.select("total_matches", "returned", "truncated", F.explode("results").alias("file", "ranges"))
+    return files.select("total_matches", "returned", "truncated", "file", F.explode("ranges").alias("range", "text"))
+
+
 @query
 def index_diff(spark, sf):
     diff = index.index_diff(v.current_hashes(spark, sf), v.index_entries(spark, sf))
     return diff.select("repo", "path", "status")
 
 
+@query
+def index_diff_rolled(spark, sf):
+    """Changes between two stored listings, with equal repositories left out by their digests."""
+    base = shared_dir(spark, "listings")
+    sides = []
+    for name, listing in (("new", v.all_hashes(spark, sf)), ("old", v.earlier_hashes(spark, sf))):
+        listing.write.partitionBy("repo").parquet(f"{base}/{name}")
+        stored = spark.read.parquet(f"{base}/{name}")
+        rollup.roll_up(stored).write.parquet(f"{base}/{name}-rollup")
+        sides.append((stored, spark.read.parquet(f"{base}/{name}-rollup")))
+    (new, new_rollup), (old, old_rollup) = sides
+    diff = rollup.index_diff_rolled(new, old, new_rollup, old_rollup)
+    return diff.select("repo", "path", "status", "new_sha", "old_sha")
+
+
 @query
 def orphan_entries(spark, sf):
     found = index.orphan_entries(v.index_entries(spark, sf), v.live_sources(spark, sf))
@@ -690,14 +793,36 @@ def stream_search(spark, sf):
     return spark.read.parquet(f"{base}/out").select("repo", "path", "line_no", "col", "line")
 
 
+def _in_batches(spark, sf, name, column, parts=3):
+    """A table as a feed of that many batches, one after the other by a number."""
+    rows, base = v.table(spark, sf, name), shared_dir(spark, f"feed-{name}")
+    bounds = rows.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
+    low, high = bounds["low"] or 0, bounds["high"] or 0
+    for k in range(parts):
+        begin, end = (low + (high + 1 - low) * i // parts for i in (k, k + 1))
+        part = rows.where((F.col(column) >= begin) & (F.col(column) < end))
+        part.coalesce(1).write.mode("append").parquet(base)
+    return jobs.read_feed(spark, base, rows.schema, files_per_batch=1)
+
+
 @query
 def stream_retention(spark, sf):
+    """Three batches while time goes on; rows of earlier ones expire."""
     base = shared_dir(spark, "retention")
     jobs.stream_retention(
-        _feed(spark, sf, "events"), "ts", f"{base}/out", f"{base}/checkpoint",
-        now=NOW,
+        _in_batches(spark, sf, "events", "event_id"), "ts", f"{base}/out", f"{base}/checkpoint",
+        now=lambda batch: NOW - timedelta(hours=20 * (2 - min(batch, 2))),
     ).awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("event_id", "ts", "user_id")
+    return jobs.read_retained(spark, f"{base}/out").select("event_id", "ts", "user_id")
+
+
+@query
+def stream_eviction(spark, sf):
+    """The task table after three batches, each of which overflows it."""
+    base = shared_dir(spark, "eviction")
+    events = v.as_task_events(_in_batches(spark, sf, "events", "event_id"))
+    jobs.stream_eviction(events, f"{base}/out", f"{base}/checkpoint", cap=100).awaitTermination()
+    return jobs.read_latest_status(spark, f"{base}/out")
 
 
 @query

@@ -148,6 +148,29 @@ def current_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def earlier_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus at an earlier time: four sources have changed since, one is new and one was deleted."""
+    d = table(spark, sf_dir, "documents")
+    source, n = F.col("source"), F.col("doc_id")
+    changed = source.isin("src1", "src4") & (n % 3 == 0)
+    missing = (source == "src2") | ((source == "src5") & (n % 4 == 0))
+    rows = d.where(~missing).select(
+        source.alias("repo"),
+        F.concat("lang", F.lit("/"), n.cast("string"), F.lit(".txt")).alias("path"),
+        F.when(changed, "old").otherwise(F.sha2("text", 256)).alias("content_sha"),
+    )
+    gone = d.where(source == "src7").select(F.lit("gone").alias("repo"), n.cast("string").alias("path"), F.lit("x").alias("content_sha"))
+    return rows.unionByName(gone)
+
+
+def all_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("repo"),
+        F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.sha2("text", 256).alias("content_sha"),
+    )
+
+
 def live_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.where(F.col("source") != "src3").select("source").distinct()
@@ -180,6 +203,25 @@ def hosted_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("repo", F.concat_ws("/", "host", "owner", "name"))
 
 
+def flat_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One flat rule per page, with the fields of its kind of host; every fifth names none."""
+    n, url = F.col("id"), F.concat(F.lit("https://"), F.col("host"), F.lit("/api"))
+    on = lambda k, value: F.when(n % 5 == k, value)
+    rule = F.struct(
+        on(0, F.col("owner")).alias("GithubOrg"),
+        F.when(n % 10 == 0, url).alias("GitHubURL"),
+        on(1, url).alias("GitLabURL"),
+        on(2, url).alias("GiteaURL"),
+        on(2, F.col("owner")).alias("GiteaUser"),
+        on(3, url).alias("GerritApiURL"),
+        F.concat(F.lit("rule"), n.cast("string")).alias("Name"),
+        F.when(n % 3 == 0, F.lit("^old")).alias("Exclude"),
+        F.when(n % 2 == 0, n % 4 == 0).alias("NoArchived"),
+        (n % 3 == 1).alias("KeepDeleted"),
+    )
+    return hosted_repos(spark, sf_dir).select(n.alias("rule_pos"), rule.alias("rule"))
+
+
 def nested_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested rule per page: its host, an owner and varied filters."""
     return _rules(hosted_repos(spark, sf_dir).select(F.col("id").alias("rule_pos"), "host", "owner"))
