@@ -31,8 +31,15 @@ BOILERPLATE = (
 )
 MAX_BOILERPLATE_WORDS = 12
 
-# What may end a line of prose, also before closing quotes and brackets.
-TERMINAL = r"[.!?…:;。！？؟।][\"'”’»)\]]*[ \t-\r]*$"
+# What may end a line of prose, also before closing quotes and brackets.  A line
+# without it is a fragment only if it is short and no sentence ends inside it:
+# wrapped prose, and scripts with other marks or none, are longer than that.
+SENTENCE_ENDS = ".!?…।。！？؟۔։።။"
+CLOSING = r"[\"'”’»)\]]*[ \t-\r]"
+TERMINAL = rf"[{SENTENCE_ENDS}:;]{CLOSING}*$"
+INNER_END = rf"[{SENTENCE_ENDS}]{CLOSING}"
+MAX_FRAGMENT_WORDS = 5
+MAX_FRAGMENT_CHARS = 40
 
 # A document that loses more than this share of its word characters is rejected.
 MAX_LOST_PERCENT = 50
@@ -85,7 +92,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def failed_line(line: Column) -> Column:
-    """Whether a line with words is navigation, symbols, boilerplate or no sentence."""
+    """Whether a line with words is navigation, symbols, boilerplate or a bare fragment."""
 
     def judge(n: Column) -> Column:
         separators = F.char_length(line) - F.char_length(_without(line, SEPARATORS))
@@ -93,7 +100,9 @@ def failed_line(line: Column) -> Column:
         boilerplate = (n <= MAX_BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
         symbols = F.char_length(line) - F.char_length(_without(line, SYMBOLS))
         junk = SYMBOL_SHARE * symbols > _word_chars(line)
-        return (n > 0) & (navigation | junk | boilerplate | ~line.rlike(TERMINAL))
+        short = (n <= MAX_FRAGMENT_WORDS) & (F.char_length(line) <= MAX_FRAGMENT_CHARS)
+        fragment = short & ~line.rlike(TERMINAL) & ~line.rlike(INNER_END)
+        return (n > 0) & (navigation | junk | boilerplate | fragment)
 
     return let(F.size(words_of(line)), judge)
 
@@ -153,23 +162,39 @@ MEASURES = (
 def line_quality(docs: DataFrame) -> DataFrame:
     """Add the measures of ``text``, the verdict ``kept`` and the ``cleaned`` text to documents.
 
-    Lines that are navigation, symbols or boilerplate, or end without
-    punctuation, are removed from ``cleaned``.  A document is rejected for fewer than 20 words,
-    for more than 30 % of its words in repeated windows of eight, or if
-    cleaning takes over half of its word characters.
+    Lines that are navigation, symbols or boilerplate, and short ones without
+    the end of a sentence, are removed from ``cleaned``.  A document is rejected
+    for fewer than 20 words, for more than 30 % of its words in repeated windows
+    of eight, or if cleaning takes over half of its word characters.
 
     A null or empty text has no words and is rejected, with ``cleaned`` empty.
     Repeated rows are judged alike and all returned.  Other columns stay, but
     those named like a measure are replaced.
     """
     kept = [c for c in docs.columns if c.lower() not in MEASURES]
-    measured = docs.select(*kept, quality(F.col("text")).alias("_q"))
-    return measured.select(*kept, *[F.col(f"_q.{m}").alias(m) for m in MEASURES])
+    name = _unused(docs)
+    measured = docs.select(*kept, quality(F.col("text")).alias(name))
+    return measured.select(*kept, *[F.col(f"{name}.{m}").alias(m) for m in MEASURES])
+
+
+def _unused(docs: DataFrame) -> str:
+    """A column name that the documents do not have."""
+    taken = {c.lower() for c in docs.columns}
+    name = "quality"
+    while name in taken:
+        name += "_"
+    return name
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """Kept documents with their cleaned text and length, in the columns of ``docs``."""
-    kept = line_quality(docs).where("kept").withColumn("text", F.col("cleaned"))
+    # A generator evaluates the measures once; a filter on one of them would do so
+    # a second time, below the projection that computes them.
+    passed = F.filter(F.array(quality(F.col("text"))), lambda q: q["kept"])
+    name = _unused(docs)
+    kept = docs.select("*", F.explode_outer(passed).alias(name)).where(F.col(name).isNotNull())
+    cleaned = F.col(f"{name}.cleaned")
+    own = {"text": cleaned}
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.char_length("cleaned").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+        own["n_chars"] = F.char_length(cleaned).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[own[c.lower()].alias(c) if c.lower() in own else F.col(c) for c in docs.columns])

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from corpusquery.llm.line_rules import (
     BOILERPLATE,
+    INNER_END,
     MAX_BOILERPLATE_WORDS,
+    MAX_FRAGMENT_CHARS,
+    MAX_FRAGMENT_WORDS,
     MAX_LOST_PERCENT,
     MAX_REPEAT_PERCENT,
     MAX_WORDS_PER_SEPARATOR,
@@ -128,7 +131,8 @@ judged AS (
          n > 0 AND ((seps >= {MIN_SEPARATORS} AND n <= {MAX_WORDS_PER_SEPARATOR} * seps)
            OR {SYMBOL_SHARE} * symbols > chars
            OR (n <= {MAX_BOILERPLATE_WORDS} AND regexp_matches(x, {_quoted(BOILERPLATE)}))
-           OR NOT regexp_matches(x, {_quoted(TERMINAL)})) AS failed
+           OR (n <= {MAX_FRAGMENT_WORDS} AND length(x) <= {MAX_FRAGMENT_CHARS}
+               AND NOT regexp_matches(x, {_quoted(TERMINAL)}) AND NOT regexp_matches(x, {_quoted(INNER_END)}))) AS failed
   FROM lines
 ),
 by_doc AS (
@@ -252,3 +256,40 @@ SELECT p.doc_id, p.leaf, s.digest AS subroot, r.digest AS root, sha256(c.proof)
 FROM placed p JOIN subroots s USING (grp) JOIN last_climb c ON c.id = p.id AND c.n = 1
 CROSS JOIN (SELECT digest FROM top WHERE n = 1) r
 """
+
+LLM_ORACLES["op11_lexical_search"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+),
+totals AS (SELECT count(*) AS n_docs, sum(len(words))::BIGINT AS n_terms FROM d WHERE len(words) > 0),
+tf AS (
+  SELECT doc_id, row, n, term, count(*) AS tf
+  FROM (SELECT doc_id, row, len(words) AS n, unnest(words) AS term FROM d) GROUP BY ALL
+),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals
+),
+asked AS (
+  SELECT item_id, item, term, count(*) AS q FROM (
+    SELECT item_id, row_number() OVER () AS item, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY ALL
+),
+scored AS (
+  SELECT item_id, item, doc_id, row,
+         sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) CROSS JOIN totals
+  GROUP BY item_id, item, doc_id, row
+),
+ranked AS (
+  SELECT item_id, doc_id, score,
+         (row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST))::INTEGER AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

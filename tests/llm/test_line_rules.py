@@ -47,7 +47,7 @@ def test_lines_go_first_and_heavy_losers_are_rejected(spark):
     nav = "Home | News | Sport | Contact"
     clean = prose(60)
     mixed = f"{nav}\n{clean}\n\nAccept all cookies.\nno end\n### *** $$$ %%% &&& x.\nSaid \"so.\""
-    lost = "\n".join(prose(30, k)[:-1] for k in range(3)) + "\n" + prose(20, 9)
+    lost = "\n".join(prose(4, k)[:-1] for k in range(30)) + "\n" + prose(20, 9)
     got = measures(spark, clean, mixed, lost, prose(19), "a b c d e f g h. " * 30)
     assert [got[i].kept for i in range(5)] == [True, True, False, False, False]
     assert [got[i].base_failed for i in range(5)] == [False, False, False, True, True]
@@ -55,6 +55,30 @@ def test_lines_go_first_and_heavy_losers_are_rejected(spark):
     assert got[1].cleaned == f"{clean}\n\nSaid \"so.\""
 
 
+def test_clean_texts_of_any_layout_are_kept(spark):
+    one_line = " ".join(prose(8, k) for k in range(27))[:-1]  # the last sentence lacks its mark
+    wrapped = "\n".join(" ".join(prose(40, k).split()[i : i + 10]) for k in range(5) for i in range(0, 40, 10))
+    thai = "\n".join("ภาษาไทยไม่มีเครื่องหมายจบประโยค " * 8 for _ in range(4))
+    armenian = "\n".join(f"{prose(3, k)[:-1]}։" for k in range(10))
+    got = measures(spark, one_line, wrapped, thai, armenian)
+    assert [got[i].cleaned for i in range(4)] == [one_line, wrapped, thai, armenian]
+    assert [got[i].kept for i in (0, 1, 3)] == [True, True, True]
+
+
+def test_the_rules_are_evaluated_once(documents):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    docs = documents(prose(40))
+    assert plan(clean_documents(docs)).count("(cookies") == plan(line_quality(docs)).count("(cookies") > 0
+
+
+def test_clashing_columns(spark):
+    ddl = "doc_id long, Text string, quality int, quality_ string, _q string"
+    docs = spark.createDataFrame([(1, prose(40), 7, "a", "b")], ddl)
+    out = clean_documents(docs)
+    assert out.columns == docs.columns and tuple(out.first()) == tuple(docs.first())
+    assert line_quality(docs).first().quality == 7
+
+
 def test_cleaned_documents_keep_their_columns(spark, documents):
     docs = documents(prose(40) + "\na | b | c | d", None, "short")
     out = clean_documents(docs.unionAll(docs))
