@@ -12,6 +12,7 @@ from corpusquery.llm.byte_bpe import decode, encode
 from corpusquery.llm.decontaminate import contamination
 from corpusquery.llm.jaccard_join import similarity_classes
 from corpusquery.llm.language_id import identify_languages
+from corpusquery.llm.lexical_search import rank_documents
 from corpusquery.llm.license_scan import scan_licenses
 from corpusquery.llm.line_dedup import drop_recurring_lines
 from corpusquery.llm.line_rules import line_quality
@@ -41,6 +42,7 @@ END_ID = 2
 WORD_BPE = "word_bpe_49k.json"
 WORD_END_ID = 0
 SEQUENCE_TOKENS = 2048
+RANKED = 10
 
 
 def query(fn: Query) -> Query:
@@ -87,7 +89,6 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_recurring_lines(docs).select(
         "doc_id",
-        "n_units",
         "n_dropped",
         "words_before",
         "words_after",
@@ -170,6 +171,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that rank highest for every item of the benchmark."""
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), RANKED)
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of the documents, and every leaf folded to the root after tampering with some."""
