@@ -161,10 +161,12 @@ PLACE = ["_data_file", "_row"]
 
 def with_places(files: DataFrame) -> DataFrame | None:
     """Files with the place that their rows were read from, or ``None`` where a source does not tell."""
-    place = {"_data_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
+    known = files._jdf.queryExecution().analyzed().metadataOutput().toString()
+    if "_metadata" not in known:
+        return None
     try:
-        return files.withColumns(place)
-    except AnalysisException:
+        return files.withColumns({"_data_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    except AnalysisException:  # formats without numbers of rows
         return None
 
 
@@ -181,6 +183,7 @@ def search_lines(
     *,
     repos: DataFrame | None = None,
     symbols: DataFrame | None = None,
+    index: GramIndex | None = None,
     limit: int | None = 0,
     context: int = 0,
 ) -> DataFrame:
@@ -190,15 +193,17 @@ def search_lines(
     context are computed for the kept files only.  Where the source tells the
     place of a row, ranking carries it and only the data files of kept rows are
     opened again.  Without a cap, everything is done in a single pass over the
-    files.
+    files.  With an ``index`` of the files only those are read that it cannot
+    rule out.
     """
     hits = hits_of(predicate, symbols)
     cap = effective_limit(limit)
+    near = lambda df: df if index is None else narrow_files(df, index, predicate)
     if cap is None:
-        found = find_files(files, predicate, repos, hits=hits)
+        found = find_files(near(files), predicate, repos, hits=hits)
         return with_matches(found.withColumn("score", score_column(predicate, found.columns)), predicate, context)
     placed = with_places(files) if cap <= MAX_BROADCAST_CAP else None
-    found = find_files(files if placed is None else placed, predicate, repos, hits=hits)
+    found = find_files(near(files if placed is None else placed), predicate, repos, hits=hits)
     kept = top_files(score_files(found, predicate, *([] if placed is None else PLACE)), cap)
     if placed is None:
         # The cap itself bounds this side.
@@ -264,14 +269,14 @@ def search(
         if index is not None and not (repos is not None and is_repo_only(predicate)):
             files = narrow_files(files, index, predicate)
         return list_repos(files, predicate, repos, symbols)
-    if index is not None:
-        files = narrow_files(files, index, predicate)
     if mode == "files":
+        if index is not None:
+            files = narrow_files(files, index, predicate)
         found = find_files(files, predicate, repos, symbols)
         return list_files(top_files(score_files(found, predicate), limit))
     return range_rows(
         search_lines(
-            files, predicate, repos=repos, symbols=symbols, limit=limit, context=context
+            files, predicate, repos=repos, symbols=symbols, index=index, limit=limit, context=context
         )
     )
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from corpusquery import envelope, get_file, get_files, regex, search, search_lines, term
 from corpusquery.operators import repos, results
+from corpusquery.operators import search as searching
+from corpusquery.operators.blocks import build_gram_index
 from corpusquery.operators.search import (
     attach_repos, envelope_of, list_files, matching_files, result_json, score_files, top_files,
 )
@@ -240,3 +242,39 @@ def test_size_check_looks_at_bytes(spark):
 def test_attach_repos_keeps_every_file(mini, mini_repos):
     joined = attach_repos(mini.select("repo", "path"), mini_repos.where("repo <> 'lib/go'"), ["public"])
     assert joined.count() == mini.count()
+
+
+def test_capped_search_opens_the_files_of_its_results_only(spark, tmp_path, monkeypatch):
+    rows = [("r", f"f{i:03d}", "needle\n" * (i % 40) + "hay") for i in range(120)]
+    files = spark.createDataFrame(rows, "repo string, path string, content string")
+    files.repartitionByRange(12, "path").write.parquet(f"{tmp_path}/files")
+    stored = spark.read.parquet(f"{tmp_path}/files")
+    again = []
+    original = searching.fetch
+    monkeypatch.setattr(searching, "fetch", lambda f, k: again.append(original(f, k)) or again[-1])
+    shown = lambda df: sorted(map(str, df.select("repo", "path", "score", "matches").collect()))
+    found = search_lines(stored, term("needle"), limit=2)
+    expected = search_lines(files, term("needle"), limit=2)
+    assert shown(found) == shown(expected)
+    # Both best files lie in one data file each; the others are not opened.
+    with_conf = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = again[0].select("path")._jdf.queryExecution()
+        plan.toRdd().count()
+        scans = plan.executedPlan().collectLeaves()
+        read = [scans.apply(i).metrics().apply("numFiles").value() for i in range(scans.size()) if "files" in scans.apply(i).toString()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", with_conf)
+    assert max(read) <= 2
+    assert len(again) == 1  # a table that is no file has no places
+    built = build_gram_index(stored)
+    assert shown(search_lines(stored, term("needle"), index=built, limit=2)) == shown(expected)
+
+
+def test_latest_entry_of_an_id(spark):
+    listed = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (2, "c", 1)], "id int, repo string, at int")
+    stats = spark.createDataFrame([("a", 5, 6)], "repo string, documents long, content_bytes long")
+    of = lambda df: {r.id: tuple(r.entry) for r in df.collect()}
+    assert of(repos.repo_map(listed, stats, "at")) == {1: ("a", 5, 6), 2: ("c", 0, 0)}
+    assert of(repos.repo_map(listed, stats)) == {1: ("b", 0, 0), 2: ("c", 0, 0)}

@@ -1,6 +1,7 @@
 """Rule reading, expansion and selection of repositories."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,66 +17,81 @@ def nested(spark, *entries):
     return df.select(F.from_json("j", nested_schema()).alias("r")).select("r.*")
 
 
-def test_single_org(spark):
-    (row,) = rules.expand_rules(nested(spark, {"github": {"org": "myorg", "archived": False}})).collect()
-    assert (row.kind, row.org, row.user, row.no_archived) == ("github", "myorg", "", True)
-
-
-def test_gitlab(spark):
-    entry = {"gitlab": {"url": "https://gitlab.example.com/api/v4/", "exclude_user_repos": True}}
-    (row,) = rules.expand_rules(nested(spark, entry)).collect()
-    assert (row.kind, row.url, row.exclude_user_repos) == ("gitlab", entry["gitlab"]["url"], True)
-    assert row.no_archived
-
-
-def test_mixed_hosts_and_empty_rule(spark):
-    entries = [{"github": {"org": "org1"}}, {"gitiles": {"url": "https://a.example.com"}}, {},
-               {"cgit": {"url": "https://b.example.com/cgit"}}]
-    kinds = [r.kind for r in rules.expand_rules(nested(spark, *entries)).orderBy("rule_pos").collect()]
-    assert kinds == ["github", "gitiles", "cgit"]
-
-
-OWNERS = [
-    ({"discovered": ["org-a", "org-b", "org-c"], "exclude": ["org-b"]}, ["org-a", "org-c"]),
-    ({"discovered": ["team-alpha", "team-beta", "other-org"], "include": ["team-alpha", "team-beta"]},
-     ["team-alpha", "team-beta"]),
-    ({"orgs": ["org1", "org2"], "users": ["user1"]}, ["org1", "org2", "user1"]),
-    ({"org": "org1", "orgs": ["org2"], "user": "user1"}, ["org2", "org1", "user1"]),
-    ({"orgs": ["a", "a"], "discovered": ["a"]}, ["a", "a", "a"]),
-    ({"org": "", "orgs": []}, []),
-    ({"orgs": ["x", "y"], "include": ["x", "y"], "exclude": ["x"]}, ["y"]),
-]
-
-
-def test_owner_expansion(spark):
-    expanded = rules.expand_rules(nested(spark, *[{"github": entry} for entry, _ in OWNERS]))
-    got = {i: [] for i in range(len(OWNERS))}
-    for r in expanded.orderBy("rule_pos", "owner_pos").collect():
-        got[r.rule_pos].append(r.org or r.user)
-    assert got == {i: expected for i, (_, expected) in enumerate(OWNERS)}
+# For each kind of host, fields as they may be written and what they become.
+KINDS = {
+    "github": ({"user": "ada", "url": "https://hub.test/api", "archived": True}, {"user": "ada", "org": "", "no_archived": False}),
+    "gitlab": ({"url": "https://lab.test", "only_public": True}, {"only_public": True, "exclude_user_repos": False}),
+    "gitea": ({"org": "crew", "forks": True, "keep_deleted": True}, {"org": "crew", "forks": True, "keep_deleted": True}),
+    "gerrit": ({"url": "https://review.test", "fetch_meta_config": True}, {"fetch_meta_config": True, "active": False}),
+    "bitbucket_server": ({"project": "PRJ", "disable_tls": True}, {"project": "PRJ", "disable_tls": True}),
+    "gitiles": ({"name": "^kernel/", "exclude": "sample$"}, {"name": "^kernel/", "exclude": "sample$"}),
+    "cgit": ({"url": "https://c.test/cgit"}, {"url": "https://c.test/cgit", "name": ""}),
+}
+
+
+def test_every_kind_of_host(spark):
+    entries = [{kind: fields} for kind, (fields, _) in KINDS.items()]
+    # An entry without a host is skipped and does not move the numbers of the others.
+    rows = rules.expand_rules(nested(spark, {}, *entries, {})).orderBy("rule_pos").collect()
+    assert [(r.rule_pos, r.kind) for r in rows] == list(enumerate(KINDS, 1))
+    for row, (_, expected) in zip(rows, KINDS.values()):
+        assert {k: row[k] for k in expected} == expected
+
+
+def random_owners(chance):
+    pool = ["ants", "bees", "cats", "dogs", "elks"]
+    some = lambda: [chance.choice(pool) for _ in range(chance.randint(0, 3))]
+    entry = {"orgs": some(), "users": some(), "discovered": some(), "include": chance.choice([[], some()]), "exclude": some()[:1]}
+    for field in ("org", "user"):
+        if chance.random() < 0.5:
+            entry[field] = chance.choice([*pool, ""])
+    return {k: v for k, v in entry.items() if v or chance.random() < 0.5}
+
+
+def test_owner_expansion_against_plain_lists(spark):
+    """Organisations: plural, singular, discovered; then users; inclusion before exclusion."""
+    chance = random.Random(12)
+    entries = [random_owners(chance) for _ in range(60)]
+    expected = []
+    for i, e in enumerate(entries):
+        owners = [("org", o) for o in [*e.get("orgs", []), e.get("org"), *e.get("discovered", [])] if o]
+        owners += [("user", u) for u in [*e.get("users", []), e.get("user")] if u]
+        admitted = [(k, o) for k, o in owners if not e.get("include") or o in e["include"]]
+        expected += [(i, k, o) for k, o in admitted if o not in e.get("exclude", [])]
+    expanded = rules.expand_rules(nested(spark, *[{"github": e} for e in entries]))
+    got = [
+        (r.rule_pos, "org" if r.org else "user", r.org or r.user)
+        for r in expanded.orderBy("rule_pos", "owner_pos").collect()
+    ]
+    assert got == expected and len(got) > 60
 
 
 def test_read_flat_rules(spark, tmp_path):
-    good = tmp_path / "rules.json"
-    good.write_text(json.dumps([{"GithubOrg": "testorg", "GitHubURL": "https://github.com", "NoArchived": True},
-                                {"Name": "no host"}, {"GerritApiURL": "https://g.example.com", "Active": True}]))
-    raw = read_flat_rules(spark, str(good))
-    assert raw.count() == 3 and len(raw.columns) == 28
-    got = flat_rules(raw.withColumn("rule_pos", F.monotonically_increasing_id())).orderBy("rule_pos").collect()
-    assert [(r.kind, r.org, r.no_archived, r.active) for r in got] == [
-        ("github", "testorg", True, False), ("gerrit", "", False, True),
+    """The first host field that is set decides; several files are several parts of the table."""
+    parts = [
+        [{"GiteaUser": "bo", "GiteaURL": "https://tea.test", "Topics": ["x"], "Name": "n2"}, {"Exclude": "^", "Name": "n9"}],
+        [{"CGitURL": "https://c.test", "KeepDeleted": True, "Name": "n1"}],
+        [],
+    ]
+    for k, part in enumerate(parts):
+        (tmp_path / f"part{k}.json").write_text(json.dumps(part, indent=1))
+    raw = read_flat_rules(spark, str(tmp_path))
+    assert raw.count() == 3
+    numbered = raw.withColumn("rule_pos", F.substring("Name", 2, 9).cast("bigint"))
+    got = flat_rules(numbered).orderBy("rule_pos").collect()
+    assert [(r.rule_pos, r.kind, r.url, r.user, r.topics, r.keep_deleted) for r in got] == [
+        (1, "cgit", "https://c.test", "", [], True), (2, "gitea", "https://tea.test", "bo", ["x"], False),
     ]
-    bad = tmp_path / "bad.json"
-    bad.write_text("not json")
+    (tmp_path / "part3.json").write_text(json.dumps(parts[0])[:-4])
     with pytest.raises(Exception):
-        read_flat_rules(spark, str(bad)).collect()
+        read_flat_rules(spark, str(tmp_path)).collect()
 
 
 def test_read_nested_rules(spark, tmp_path):
     path = tmp_path / "nested.json"
-    path.write_text(json.dumps([{"rule_pos": 0, "github": {"org": "o", "topics": ["t"]}}]))
+    path.write_text(json.dumps([{"rule_pos": 4, "gitea": {"org": "crew", "exclude_topics": ["toy"]}}]))
     row = rules.expand_rules(read_nested_rules(spark, str(path))).first()
-    assert row.org == "o" and row.topics == ["t"] and row.visibility == []
+    assert (row.rule_pos, row.org, row.exclude_topics, row.topics) == (4, "crew", ["toy"], [])
 
 
 REPO_DDL = (
