@@ -15,17 +15,20 @@ from __future__ import annotations
 
 import math
 import random
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusquery.llm.arrow import append_columns, arrow_schema, strings
-from corpusquery.llm.byte_bpe import load_tokenizer
+from corpusquery.llm.arrow import append_columns, arrow_schema
+from corpusquery.llm.byte_bpe import byte_characters, load_tokenizer
 from corpusquery.plans.joins import materialize
 
 # Pieces of a deck, islands per deck, solutions of an island.
@@ -37,52 +40,69 @@ POPULATION = 4
 EPOCHS = 3
 CHILDREN = 6
 
+# Islands that a task works on.
+ROWS_PER_TASK = 64
+
 # Share of the bins of a solution that are opened for the next round, and their least number.
 OPENED = 1 / 16
 LEAST_OPENED = 8
 
 # Chunks whose ids a worker remembers.
-REMEMBERED_CHUNKS = 500_000
+REMEMBERED_CHUNKS = 1_000_000
 MAX_REMEMBERED_LENGTH = 48
 
 
-class WordEncoder:
-    """Ids of texts for a vocabulary that splits at white space and ignores it.
+# A word of letters that are one character in every normal form, as they are in
+# lower case, between marks that never join letters.
+WORD = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
 
-    No token reaches over a space or line end, so texts are looked up chunk by
-    chunk.  For vocabularies that fold case, ASCII chunks are looked up in lower
-    case, and a mark at the end of a word is looked up apart from it.
+class WordEncoder(dict):
+    """Ids of texts for a vocabulary that folds case, splits at white space and ignores it.
+
+    No token reaches over a space or line end, so the distinct chunks between
+    them are looked up, and the marks around a word apart from it.  A plain word
+    is one piece for the merges of the library and skips the rest of it.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         self.tokenizer = load_tokenizer(path)
-        self.known: dict[str, bytes] = {}
-
-    def chunk(self, chunk: str) -> bytes:
-        ids = self.known.get(chunk)
-        if ids is not None:
-            return ids
-        plain = chunk.lower() if chunk.isascii() else chunk
-        if len(chunk) > 1 and chunk[-1] in ".,;:!?" and chunk[-2].isalpha():
-            ids = self.chunk(plain[:-1]) + self.chunk(plain[-1])
-        elif plain != chunk:
-            ids = self.chunk(plain)
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = byte_characters()
+
+    def __missing__(self, chunk: str) -> bytes:
+        parts = WORD.fullmatch(chunk)
+        if parts is None:
+            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        elif len(parts[2]) < len(chunk):
+            ids = b"".join([self[p] for p in parts.groups() if p])
         else:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            word = chunk.lower()
+            if not word.isascii():
+                word = "".join([self.letters[b] for b in word.encode()])
+            ids = array("I", [t.id for t in self.merge(word)]).tobytes()
         if len(chunk) <= MAX_REMEMBERED_LENGTH:
-            if len(self.known) >= REMEMBERED_CHUNKS:
-                self.known.clear()
-            self.known[chunk] = ids
+            self[chunk] = ids
         return ids
 
-    def __call__(self, text: str) -> bytes:
-        """Ids of a text, 32 bits each."""
-        known = self.known
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            return b"".join([ids if (ids := known.get(c)) is not None else self.chunk(c) for c in chunks])
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, 32 bits each, and where each text ends."""
+        if len(self) > REMEMBERED_CHUNKS:
+            self.clear()
+        even = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        chunks = pc.split_pattern(even, " ")
+        coded = chunks.flatten().dictionary_encode()
+        known = list(map(self.__getitem__, coded.dictionary.to_pylist()))
+        own = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat, place = np.frombuffer(b"".join(known), "<u4"), coded.indices.to_numpy()
+        sizes = own[place]
+        ends = np.cumsum(sizes)
+        # The ids of a chunk stand one after the other, wherever it occurs.
+        source = np.repeat((np.cumsum(own) - own)[place] - (ends - sizes), sizes)
+        ids = flat[source + np.arange(len(source))]
+        stops = np.cumsum(chunks.value_lengths().to_numpy())
+        return ids, np.concatenate([[0], ends])[stops]
 
 
 @lru_cache(maxsize=1)
@@ -103,9 +123,10 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> Data
         step = 4 * capacity
 
         def columns(batch):
+            ids, ends = encode(batch.column("text"))
             cut = []
-            for text in strings(batch.column("text")):
-                raw = encode(text) + end if text else end
+            for a, b in zip([0, *ends.tolist()], ends.tolist()):
+                raw = ids[a:b].tobytes() + end
                 cut.append([raw[at : at + step] for at in range(0, len(raw), step)])
             return [pa.array(cut, pa.list_(pa.binary()))]
 
@@ -359,7 +380,10 @@ def _round(left: DataFrame, decks: int, round_: int, capacity: int) -> DataFrame
         F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"),
         "lengths",
         F.lit(None).cast("array<binary>").alias("genomes"),
-    ).repartition("deck", "island")
+    )
+    # A row is work for a fraction of a second, far more than its bytes tell.
+    rows = decks * ISLANDS
+    tasks = max(math.ceil(rows / ROWS_PER_TASK), min(rows, left.sparkSession.sparkContext.defaultParallelism))
     for epoch in range(EPOCHS):
         if epoch:
             elite = state.select(
@@ -369,6 +393,7 @@ def _round(left: DataFrame, decks: int, round_: int, capacity: int) -> DataFrame
             )
             met = state.select("deck", "island", "lengths", "genomes").join(elite, ["deck", "island"])
             state = met.withColumn("genomes", F.concat("genomes", F.array("immigrant"))).drop("immigrant")
+        state = state.repartition(tasks, "deck", "island")
         state = materialize(state.mapInArrow(_epoch(epoch, round_, capacity), STATE), f"islands-{round_}-{epoch}")
     rank = F.struct(-F.col("n_bins"), F.col("fullness"), -F.col("island"))
     best = state.groupBy("deck").agg(
