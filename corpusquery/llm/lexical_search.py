@@ -55,8 +55,8 @@ def terms(text: str) -> list[bytes]:
 class Shard:
     """Postings of some documents while they are gathered."""
 
-    def __init__(self, known: frozenset[bytes] | None):
-        self.known = known
+    def __init__(self, known: frozenset[bytes] | None, most_docs: int, most_words: int):
+        self.known, self.most_docs, self.most_words = known, most_docs, most_words
         self.ids: list[int | None] = []
         self.sizes: list[int] = []
         self.kept: list[int] = []
@@ -73,7 +73,7 @@ class Shard:
 
     @property
     def full(self) -> bool:
-        return len(self.ids) >= SHARD_DOCS or len(self.words) >= SHARD_WORDS
+        return len(self.ids) >= self.most_docs or len(self.words) >= self.most_words
 
     def postings(self) -> Iterator[tuple[bytes, bytes, bytes]]:
         """Term, documents (places in the shard, ascending) and how often it occurs in each."""
@@ -104,10 +104,11 @@ def index_documents(docs: DataFrame, known: Broadcast | None = None) -> DataFram
     the splits of the input, so no text is shuffled.
     """
     schema = arrow_schema(POSTINGS)
+    limits = SHARD_DOCS, SHARD_WORDS
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        shard = Shard(known and known.value)
+        shard = Shard(known and known.value, *limits)
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not shard.ids:
@@ -128,7 +129,7 @@ def index_documents(docs: DataFrame, known: Broadcast | None = None) -> DataFram
                     shard.add(doc_id, text)
                     if shard.full:
                         yield from flush()
-                        shard, number = Shard(known and known.value), number + 1
+                        shard, number = Shard(known and known.value, *limits), number + 1
         yield from flush()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(work, POSTINGS)
