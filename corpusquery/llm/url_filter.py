@@ -20,10 +20,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_RULES = 10_000
 
 LINK_TAG = r"(?is)<(?:link|meta)\b[^>]*>"
-CANONICAL = r"(?i)\brel\s*=\s*[\"']?canonical\b"
-REFRESH = r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b"
-HREF = r"(?is)\bhref\s*=\s*[\"']([^\"']*)[\"']"
-REFRESH_URL = r"(?is)\bcontent\s*=\s*[\"'][^\"']*?url\s*=\s*([^\"']*)[\"']"
+# The value of an attribute, in quotes of either kind or in none.
+VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+CANONICAL = r"(?i)(?:^|\s)canonical(?:\s|$)"
+REFRESH = r"(?i)^\s*refresh\s*$"
+REFRESH_URL = r"(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*(.*)$"
+# A scheme that is not followed by a host.
+OTHER_SCHEME = r"(?i)^[a-z][a-z0-9+.-]*:(?!//)"
 
 
 def _rest(url: Column) -> Column:
@@ -98,30 +101,75 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
     return let(F.split(host, r"\.", -1), longest)
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of a tag, with ``&amp;`` decoded; empty without it."""
+    pattern = rf"(?is)\s{name}{VALUE}"
+    value = F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+    return F.regexp_replace(value, r"(?i)&(?:amp|#0*38|#x0*26);", "&")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose ``.`` and ``..`` segments are followed."""
+
+    def step(done: Column, segment: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(segment == "..", up).when(segment == ".", done).otherwise(F.concat(done, F.array(segment)))
+
+    def followed(segments: Column) -> Column:
+        ends_open = F.element_at(segments, -1).isin(".", "..")
+        # The first segment is the empty one before the leading slash and stays.
+        start = F.slice(segments, 1, 1)
+        done = F.aggregate(F.slice(segments, 2, F.size(segments)), start, step)
+        return F.concat(F.array_join(done, "/"), F.when(ends_open, F.lit("/")).otherwise(F.lit("")))
+
+    plain = ~path.contains("/.")
+    return F.when(plain, path).otherwise(let(F.split(path, "/", -1), followed))
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The url that a link on the page ``url`` leads to; null for schemes without a host.
+
+    ``//host/x`` takes the scheme of the page, ``/x`` its host as well, ``?x`` its
+    path too, and other relative targets its folder.
+    """
+    scheme = F.substring_index(url, "://", 1)
+    origin = F.concat(scheme, F.lit("://"), url_host(url))
+
+    def complete(t: Column) -> Column:
+        path, rest = (F.regexp_extract(t, p, 1) for p in (r"(?s)^([^?#]*)", r"(?s)^[^?#]*(.*)$"))
+        folder = F.regexp_extract(url_path(url), r"(?s)^(.*/)", 1)
+        folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+        return (
+            F.when(t.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), t)
+            .when(F.startswith(t, F.lit("//")), F.concat(scheme, F.lit(":"), t))
+            .when(t.rlike(OTHER_SCHEME) | (t == ""), None)
+            .when(path == "", F.concat(origin, url_path(url), rest))
+            .when(F.startswith(t, F.lit("/")), F.concat(origin, _without_dots(path), rest))
+            .otherwise(F.concat(origin, _without_dots(F.concat(folder, path)), rest))
+        )
+
+    return let(F.trim(target), complete)
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """``(url, target)`` of canonical links and immediate redirects declared in ``html``.
 
-    Targets without a host are completed from the url of the page: ``//host/x``
-    with its scheme, ``/x`` with its scheme and host.  Other forms are skipped.
+    Attributes may stand in quotes or not, and targets may be relative to the
+    page; those of schemes without a host are null.
     """
     tags = F.regexp_extract_all("html", F.lit(LINK_TAG), F.lit(0))
     named = pages.where(
         F.col("url").contains("://")
         & (F.col("html").rlike(r"(?i)\bcanonical\b") | F.col("html").rlike(r"(?i)\brefresh\b"))
     ).select("url", F.explode(tags).alias("tag"))
-    target = F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1)).when(
-        F.col("tag").rlike(REFRESH), F.regexp_extract("tag", REFRESH_URL, 1)
+    tag = F.col("tag")
+    refresh = F.regexp_extract(_attribute(tag, "content"), REFRESH_URL, 1)
+    # The url of a refresh may have quotes of its own.
+    refresh = F.regexp_replace(refresh, r"(?s)^([\"'])(.*?)(?:\1.*)?$", "$2")
+    target = F.when(_attribute(tag, "rel").rlike(CANONICAL), _attribute(tag, "href")).when(
+        _attribute(tag, "http-equiv").rlike(REFRESH), refresh
     )
-    scheme = F.substring_index("url", "://", 1)
-
-    def completed(t: Column) -> Column:
-        return (
-            F.when(t.contains("://"), t)
-            .when(F.startswith(t, F.lit("//")), F.concat(scheme, F.lit(":"), t))
-            .when(F.startswith(t, F.lit("/")), F.concat(scheme, F.lit("://"), url_host(F.col("url")), t))
-        )
-
-    return named.select("url", let(F.trim(target), completed).alias("target"))
+    return named.select("url", resolved(target, F.col("url")).alias("target"))
 
 
 def blocked_aliases(links: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
@@ -155,23 +203,25 @@ def judge_urls(
     columns stay, but those named like a result are replaced.
     """
     links = page_links(pages) if links is None else links
-    aliases = blocked_aliases(links, rules).withColumn("_blocked", F.lit(True))
+    aliases = blocked_aliases(links, rules).withColumn("blocked", F.lit(True))
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    # The caller's columns travel as one, so their names meet no others here.  A
+    # url that very many pages share is spread by the short ones of them.
+    short = [c for c in kept if dict(pages.dtypes)[c] in ("bigint", "int", "string") and c.lower() != "html"]
     named = pages.select(
-        *kept,
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("own"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in short]).alias("mix"),
         url_host(F.col("url")).alias("host"),
         url_path(F.col("url")).alias("path"),
         alias_key(F.col("url")).alias("alias"),
     )
-    ruled = named.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
-    # A url that very many pages share is spread by its other columns.
-    spread = [c for c in kept if dict(pages.dtypes)[c] in ("bigint", "int", "string") and c != "html"]
-    joined = join_by_size(ruled, aliases, ["alias"], "left", spread_by=spread or None)
-    method = F.when(F.col("_blocked"), "block").otherwise("allow")
+    ruled = named.withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules))
+    joined = join_by_size(ruled, aliases, ["alias"], "left", spread_by=["mix"])
+    method = F.when(F.col("blocked"), "block").otherwise("allow")
     return joined.select(
-        *kept,
+        *[F.col("own").getField(c).alias(c) for c in kept],
         "host",
         "path",
-        F.col("_rule.rule").alias("rule"),
-        F.coalesce(F.col("_rule.action"), method).alias("verdict"),
+        F.col("fit.rule").alias("rule"),
+        F.coalesce(F.col("fit.action"), method).alias("verdict"),
     )

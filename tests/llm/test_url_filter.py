@@ -1,3 +1,5 @@
+from urllib.parse import urljoin
+
 from corpusquery.llm.components import connected_components
 from corpusquery.llm.queries import URL_RULES
 from corpusquery.llm.url_filter import judge_urls, page_links
@@ -62,6 +64,45 @@ def test_blocks_reach_aliases_and_spare_explicit_allows(spark):
     }
 
 
+def test_targets_of_every_form(spark):
+    """Against the standard library's resolution of relative references."""
+    base = "https://h.net/a/b/page.html?x=1"
+    targets = ["../de/2", "c.html", "./c", "?y=2", "/r/../s", "//o.net/p", "http://q.net/z", "../../../up", "..", "d/", "/", "g;x=1/./y", "../g?q=../z#../f"]
+    forms = ['<link rel=canonical href={}>', "<link href='{}' rel='nofollow canonical'>", '<LINK REL="canonical" data-href="no" HREF="{}" />']
+    rows = [(f"{base}&n={i}", f.format(t)) for i, (t, f) in enumerate((t, f) for t in targets for f in forms)]
+    found = {r.url: r.target for r in page_links(spark.createDataFrame(rows, "url string, html string")).collect()}
+    cases = [(t, f) for t in targets for f in forms]
+    for i, (t, _) in enumerate(cases):
+        url = f"{base}&n={i}"
+        assert found[url] == urljoin(url, t), t
+
+
+def test_refreshes_entities_and_other_schemes(spark):
+    rows = [
+        ("http://a.net/1", "<meta http-equiv=refresh content=\"0; URL='https://b.net/x?p=1&amp;q=2'\">"),
+        ("http://a.net/2", "<meta content='5;url=next' http-equiv=\"Refresh\">"),
+        ("http://a.net/3", '<meta http-equiv="refresh" content="30">'),
+        ("http://a.net/4", '<link rel="canonical" href="mailto:x@y">'),
+        ("http://a.net/5", "<link rel=canonical href=&#38;z>"),
+        ("http://a.net", '<link rel="canonical" href="deep/x">'),
+    ]
+    found = {r.url: r.target for r in page_links(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert {u: t for u, t in found.items() if t} == {
+        "http://a.net/1": "https://b.net/x?p=1&q=2",
+        "http://a.net/2": "http://a.net/next",
+        "http://a.net/5": "http://a.net/&z",
+        "http://a.net": "http://a.net/deep/x",
+    }
+
+
+def test_clashing_columns(spark):
+    ddl = "url string, html string, alias string, _blocked int, mix int, own int, fit int, blocked string, `a.b` int"
+    pages = spark.createDataFrame([("http://x.com/de/1", None, "a", 1, 2, 3, 4, "b", 5)], ddl)
+    out = judge_urls(pages, URL_RULES)
+    assert out.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+    assert tuple(out.first()) == (*pages.first(), "x.com", "/de/1", "com/de/", "block")
+
+
 def test_links_given_as_a_table_and_empty_tables(spark):
     rows = [(1, "http://a.net/", None, ""), (2, "http://b.net/", None, "")]
     got, _ = judged(spark, rows, [("http://a.net/", "http://k.com/de/"), (None, "http://b.net/"), ("x", None)])
