@@ -48,6 +48,9 @@ TEMPLATES = {
 # Share of the words of a template that a match has.
 MIN_COVERAGE = 0.8
 
+# Words that templates which differ in no more of them are told apart by.
+NEIGHBOUR_WORDS = 2
+
 
 def longest_increasing(values: list[int]) -> list[int]:
     """Places of a longest strictly increasing subsequence, by patience sorting."""
@@ -109,6 +112,18 @@ class Scanner:
         self.counts = {n: Counter(t) for n, t in self.templates.items()}
         self.vocabulary = set().union(*self.templates.values())
         self.min_coverage = min_coverage
+        self.required = {n: self._telling(n, lambda own, other: own - other) for n in self.templates}
+        self.foreign = {n: self._telling(n, lambda own, other: other - own) for n in self.templates}
+
+    def _telling(self, name: str, differ) -> set[bytes]:
+        """Words that tell a template from those that would pass as it."""
+        own, out = self.counts[name], set()
+        for other, counts in self.counts.items():
+            shared = (own & counts).total()
+            near = counts.total() - shared <= NEIGHBOUR_WORDS
+            if other != name and near and shared >= self.min_coverage * own.total():
+                out |= set(differ(own, counts))
+        return out
 
     def scan(self, words: list[bytes]) -> list[dict]:
         if not self.vocabulary.intersection(words):
@@ -121,7 +136,7 @@ class Scanner:
         for name, template in self.templates.items():
             shared = sum(min(n, len(places.get(w, ()))) for w, n in self.counts[name].items())
             if template and shared >= self.min_coverage * len(template):
-                best = self._best(words, template, places)
+                best = self._best(name, words, places)
                 if best[0] >= self.min_coverage * len(template):
                     matched, start, end = best
                     found.append(
@@ -137,13 +152,16 @@ class Scanner:
         found.sort(key=lambda f: (-f["coverage"], -f["template_words"], f["license"]))
         return found
 
-    def _best(self, words: list[bytes], template: list[bytes], places) -> tuple[int, int, int]:
+    def _best(self, name: str, words: list[bytes], places) -> tuple[int, int, int]:
         """Most matched words and their span, the first of equal ones.
 
         A match misses at most a fifth of the template, so it holds one of the
-        words at that many places plus one.  With the words that are rarest in
-        the text, each occurrence gives a window to align.
+        words at that many places plus one.  Each occurrence of the words that
+        are rarest in the text gives a tight window, in which a neighbouring copy
+        cannot disturb, and some of them a wide one, for insertions.  A match has
+        the words that tell the template from its neighbours and none of theirs.
         """
+        template = self.templates[name]
         size = len(template)
         slack = size // 2 + 8
         spare = size - int(-(-self.min_coverage * size // 1)) + 1
@@ -151,15 +169,23 @@ class Scanner:
         starts = sorted({p - k for k in rarest for p in places.get(template[k], ())})
         best, done = (0, 0, 0), None
         for at in starts:
-            if done is not None and at - done <= slack // 4:
-                continue  # an earlier window holds what this one would
-            done = at
-            lo, hi = max(0, at - slack), min(len(words), at + size + slack)
-            pairs = patience_align(words[lo:hi], template)
-            if len(pairs) > best[0]:
-                best = len(pairs), lo + pairs[0][0], lo + pairs[-1][0] + 1
-                if len(pairs) == size:
-                    break
+            windows = [(max(0, at), min(len(words), at + size))]
+            if done is None or at - done > slack // 4:
+                done = at  # later windows hold what those up to there would
+                windows.append((max(0, at - slack), min(len(words), at + size + slack)))
+            for lo, hi in windows:
+                if lo >= hi or words[lo:hi] == template:
+                    pairs = [(k, k) for k in range(hi - lo)]
+                else:
+                    pairs = patience_align(words[lo:hi], template)
+                if len(pairs) <= best[0]:
+                    continue
+                first, end = lo + pairs[0][0], lo + pairs[-1][0] + 1
+                matched = {template[k] for _, k in pairs}
+                if self.required[name] <= matched and not self.foreign[name].intersection(words[first:end]):
+                    best = len(pairs), first, end
+            if best[0] == size:
+                break
         return best
 
 

@@ -1,7 +1,7 @@
 import random
 from itertools import combinations
 
-from corpusquery.llm.license_scan import TEMPLATES, longest_increasing, patience_align, scan_licenses
+from corpusquery.llm.license_scan import TEMPLATES, Scanner, longest_increasing, patience_align, scan_licenses
 
 
 def test_longest_increasing_against_brute_force():
@@ -58,6 +58,30 @@ def test_whole_changed_and_repeated_notices(spark):
     assert (got[6][0].license, got[6][0].coverage, got[6][0].first_word) == ("GPL-3.0 notice", 1.0, 100_000)
 
 
+def test_neighbouring_notices(spark):
+    mit, by, nc = (TEMPLATES[n] for n in ("MIT notice", "CC-BY-4.0 notice", "CC-BY-NC-4.0 notice"))
+    got = names(spark, f"{mit} {mit}", f"{mit} {mit} {mit} and more words here", f"{by} {nc}", f"{nc} {by}", by, nc)
+    found = {i: {x.license: x.coverage for x in v} for i, v in got.items()}
+    assert found[0] == found[1] == {"MIT notice": 1.0}
+    assert found[2] == found[3] == {"CC-BY-4.0 notice": 1.0, "CC-BY-NC-4.0 notice": 1.0}
+    assert found[4] == {"CC-BY-4.0 notice": 1.0} and found[5] == {"CC-BY-NC-4.0 notice": 1.0}
+
+
+def test_copies_are_found_wherever_they_stand():
+    """Whole copies, next to each other, cut apart or among words of their own."""
+    rng = random.Random(8)
+    for _ in range(200):
+        template = [b"t%d" % rng.randrange(9) for _ in range(rng.randrange(5, 12))]
+        words = [b"x%d" % rng.randrange(99) for _ in range(rng.randrange(20))]
+        copies = rng.randrange(4)
+        for _ in range(copies):
+            words += [*template, *(rng.choice([b"x1", *template]) for _ in range(rng.choice([0, 0, 1, 9])))]
+        found = Scanner({"t": b" ".join(template).decode()}, 0.8).scan(words)
+        assert [f["matched"] for f in found] == [len(template)] * bool(copies) or not copies
+        for f in found:
+            assert f["matched"] >= 0.8 * len(template) and f["end_word"] <= len(words)
+
+
 def test_ties_own_templates_and_empty_tables(spark):
     got = names(spark, "one two three four", templates={"b": "one two", "a": "three four", "long": "two three four", "none": ""})
     assert [x.license for x in got[0]] == ["long", "a", "b"]
