@@ -66,12 +66,16 @@ class GramIndex:
 
 
 def pack_numbers(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of numbers, seven bits each with a mark on all but the last, and the size of each."""
+    """Bytes of numbers below 2**35, seven bits each with a mark on all but the last, and the size of each."""
     sizes = 1 + (steps >= 1 << 7) + (steps >= 1 << 14)
+    if steps.size and steps.max() >= 1 << 21:
+        sizes = sizes + (steps >= 1 << 21) + (steps >= 1 << 28)
     ends = np.cumsum(sizes)
     out = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
-    for k in range(3):
+    for k in range(5):
         has = sizes > k
+        if not has.any():
+            break
         more = (sizes[has] > k + 1).astype(np.uint8) << 7
         out[(ends - sizes)[has] + k] = ((steps[has] >> (7 * k)) & 0x7F).astype(np.uint8) | more
     return out, sizes
@@ -125,8 +129,9 @@ def _gram_texts(numbers: np.ndarray, n: int) -> list[str]:
 class _Run:
     """Grams of the files of a run while they are gathered."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, most_files: int, most_postings: int):
         self.n, self.short, self.grams, self.postings = n, [], [], 0
+        self.most_files, self.most_postings = most_files, most_postings
 
     def add(self, text: str) -> None:
         grams = _gram_numbers(text, self.n)
@@ -136,7 +141,7 @@ class _Run:
 
     @property
     def full(self) -> bool:
-        return len(self.grams) >= RUN_FILES or self.postings >= RUN_POSTINGS
+        return len(self.grams) >= self.most_files or self.postings >= self.most_postings
 
     def blocks(self) -> tuple:
         """Texts of the grams, count and bounds of each block, and its bytes."""
@@ -178,7 +183,7 @@ def build_gram_index(files: DataFrame, n: int = GRAM, batch: int = 0, keep: tupl
     # A row is a file or a block, so the columns of the other are null.
     written = StructType([StructField(f.name, f.dataType) for f in parts])
     schema = to_arrow_schema(written)
-    base = batch * RUNS_PER_BATCH
+    base, limits = batch * RUNS_PER_BATCH, (RUN_FILES, RUN_POSTINGS)
 
     def batch_of(n_rows: int, columns: dict) -> pa.RecordBatch:
         arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n_rows, f.type) for f in schema]
@@ -200,14 +205,14 @@ def build_gram_index(files: DataFrame, n: int = GRAM, batch: int = 0, keep: tupl
             yield batch_of(n_rows, columns | bounds)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, run, parts = base + (TaskContext.get().partitionId() << 16), _Run(n), []
+        number, run, parts = base + (TaskContext.get().partitionId() << 16), _Run(n, *limits), []
         for rows in batches:
             begin = 0
             for i, text in enumerate(rows.column("_text").to_pylist()):
                 run.add(text or "")
                 if run.full:
                     yield from flush(number, run, [*parts, rows.slice(begin, i + 1 - begin)])
-                    number, run, parts, begin = number + 1, _Run(n), [], i + 1
+                    number, run, parts, begin = number + 1, _Run(n, *limits), [], i + 1
             parts.append(rows.slice(begin).select(names))
         yield from flush(number, run, parts)
 

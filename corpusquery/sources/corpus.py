@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusquery.functions.text import slice_lines
-from corpusquery.plans.joins import join_by_size
+from corpusquery.plans.joins import join_by_size, materialize
 
 FILE_COLUMNS = "repo string, path string, branches array<string>, language string, content string"
 
@@ -40,6 +40,7 @@ def read_corpus(
     ``repo_depth`` directories name the repository (host, owner, name) and the
     rest is the path.  Bytes that are not UTF-8 are replaced.  Every regular
     file is read, also empty and hidden ones; ``glob`` restricts file names.
+    Files above the depth of repositories belong to none and are left out.
     """
     if fmt != "tree":
         return with_file_columns(spark.read.format(fmt).load(path))
@@ -57,47 +58,80 @@ def _read_tree(spark: SparkSession, root: str, repo_depth: int, glob: str | None
     """``(repo, path, content)`` of all files below a folder that every executor can open.
 
     Spark's own listing leaves out names that begin with ``_`` or ``.``, so
-    tasks list the folders: level by level down to the repositories, then the
-    files of each, and read them in parts of their own.
+    tasks list the folders, level by level and one folder at a time: a
+    repository of many folders is listed by many tasks, and no list is longer
+    than one folder.  The files are read in parts of their own.
     """
     spread = spark.sparkContext.defaultParallelism
+    ddl = "depth int, folder string, name string"
 
     def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Folders (without a name) and files of each folder."""
         fs, top = _open(root)
         for batch in batches:
-            for name in batch.column("repo").to_pylist():
-                found = fs.get_file_info(pafs.FileSelector(f"{top.rstrip('/')}/{name}".rstrip("/")))
-                names = [f"{name}/{x.base_name}".lstrip("/") for x in found if x.type == pafs.FileType.Directory]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["repo"])
-
-    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, top = _open(root)
-        for batch in batches:
-            for name in batch.column("repo").to_pylist():
-                base = f"{top.rstrip('/')}/{name}/"
-                found = fs.get_file_info(pafs.FileSelector(base, recursive=True))
-                paths = [
-                    x.path[len(base) :]
+            for depth, folder in zip(batch.column("depth").to_pylist(), batch.column("folder").to_pylist()):
+                found = fs.get_file_info(pafs.FileSelector(f"{top.rstrip('/')}/{folder}".rstrip("/")))
+                rows = [
+                    (depth + 1, f"{folder}/{x.base_name}".lstrip("/"), None)
+                    if x.type == pafs.FileType.Directory
+                    else (depth, folder, x.base_name)
                     for x in found
-                    if x.type == pafs.FileType.File and (glob is None or fnmatch.fnmatchcase(x.base_name, glob))
+                    if x.type in (pafs.FileType.Directory, pafs.FileType.File)
                 ]
+                columns = list(zip(*rows)) or [[], [], []]
+                types = (pa.int32(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(paths), pa.string()), pa.array(paths, pa.string())], ["repo", "path"]
+                    [pa.array(c, t) for c, t in zip(columns, types)], ["depth", "folder", "name"]
                 )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _open(root)
         for batch in batches:
-            for repo, path in zip(batch.column("repo").to_pylist(), batch.column("path").to_pylist()):
-                with fs.open_input_stream(f"{top.rstrip('/')}/{repo}/{path}") as source:
+            for folder, name in zip(batch.column("folder").to_pylist(), batch.column("name").to_pylist()):
+                *parts, last = f"{folder}/{name}".split("/", repo_depth)
+                with fs.open_input_stream(f"{top.rstrip('/')}/{folder}/{name}") as source:
                     text = source.read().decode("utf-8", "replace")
-                yield pa.RecordBatch.from_arrays([pa.array([repo]), pa.array([path]), pa.array([text])], ["repo", "path", "content"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(["/".join(parts)]), pa.array([last]), pa.array([text])], ["repo", "path", "content"]
+                )
 
-    repos = spark.createDataFrame([("",)], "repo string")
-    for _ in range(repo_depth):
-        repos = repos.mapInArrow(children, "repo string").repartition(spread)
-    listed = repos.mapInArrow(files, "repo string, path string")
-    return listed.repartition("repo", "path").mapInArrow(read, "repo string, path string, content string")
+    level = spark.createDataFrame([(0, "", None)], ddl)
+    listed = None
+    while True:
+        # As many tasks as there are cores share the folders of a level.
+        found = materialize(level.repartition(spread, "folder").mapInArrow(children, ddl), "listing")
+        files = found.where(F.col("name").isNotNull() & (F.col("depth") >= repo_depth))
+        listed = files if listed is None else listed.unionByName(files)
+        level = found.where(F.col("name").isNull())
+        if level.isEmpty():
+            break
+    if glob is not None:
+        pattern = fnmatch.translate(glob)
+        listed = listed.where(F.rlike(F.col("name"), F.lit(pattern)))
+    return listed.repartition("folder", "name").mapInArrow(read, "repo string, path string, content string")
+
+
+def write_tree(files: DataFrame, root: str) -> DataFrame:
+    """Write the contents of files ``(repo, path, content)`` below a folder that every executor can open.
+
+    Returns the number of files, and writes them when it is evaluated.  A
+    repeated task replaces its files by equal ones; a missing content is empty.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = _open(root)
+        made: set[str] = set()
+        for batch in batches:
+            for repo, path, content in zip(*(batch.column(c).to_pylist() for c in ("repo", "path", "content"))):
+                folder, _, name = f"{top.rstrip('/')}/{repo}/{path}".rpartition("/")
+                if folder not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with fs.open_output_stream(f"{folder}/{name}") as out:
+                    out.write((content or "").encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    written = files.select("repo", "path", "content").mapInArrow(write, "n bigint")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_files"))
 
 
 def get_file(files: DataFrame, repo: str, path: str, offset: int = 0, limit: int = 0) -> DataFrame:

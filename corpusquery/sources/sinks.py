@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from corpusquery.operators.blocks import GRAM, GramIndex, build_gram_index, decoded, live_blocks
 from corpusquery.operators.lines import FILE, ranges_map
-from corpusquery.plans.joins import materialize
+from corpusquery.plans.joins import join_by_size, materialize
+from corpusquery.plans.predicates import Symbol
 from corpusquery.sources.snapshots import Snapshots
 
 # Folders of the posting table.  A search reads only those of its grams.
@@ -200,6 +201,37 @@ def read_entries(
     return _latest(entries).where("NOT deleted").drop("deleted", "batch_id")
 
 
+SYMBOL_BUCKETS = 64
+
+
+def write_symbols(symbols: DataFrame, path: str) -> None:
+    """Store symbol definitions by folders of names, with a table of the distinct names.
+
+    Ranges of names and files are dealt out, so a name that very many files
+    define is cut into as many parts as it needs.
+    """
+    placed = symbols.withColumn("sym_bucket", F.pmod(F.xxhash64("sym"), F.lit(SYMBOL_BUCKETS)).cast("int"))
+    order = ["sym_bucket", "sym", *FILE, "line_no", "pos"]
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(
+        "sym_bucket"
+    ).parquet(f"{path}/definitions")
+    stored = symbols.sparkSession.read.parquet(f"{path}/definitions")
+    stored.groupBy("sym_bucket", "sym").count().write.mode("overwrite").parquet(f"{path}/names")
+
+
+def read_symbols(spark: SparkSession, path: str, text: str | None = None) -> DataFrame:
+    """Stored definitions; with ``text`` only those whose name contains it, in smart case.
+
+    The text is looked for in the distinct names, and their definitions are
+    joined, so the definitions of other names are not compared.
+    """
+    stored = spark.read.parquet(f"{path}/definitions")
+    if text is None:
+        return stored.drop("sym_bucket")
+    names = spark.read.parquet(f"{path}/names").where(Symbol(text).name_column()).select("sym_bucket", "sym")
+    return join_by_size(stored, names, ["sym_bucket", "sym"], "left_semi", spread_by=FILE).drop("sym_bucket")
+
+
 def compact_index(
     spark: SparkSession, path: str, into: str, batch_id: int = 0, version: int | None = None
 ) -> None:

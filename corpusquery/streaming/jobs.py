@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from corpusquery.operators.index import orphan_shards
 from corpusquery.operators.lifecycle import DEFAULT_MAX_AGE, MAX_TASKS, evict_finished
 from corpusquery.operators.lines import FILE, match_rows, with_matches
 from corpusquery.operators.results import content_hash
@@ -248,6 +247,33 @@ def stream_eviction(
     return _start(tasks.writeStream.foreachBatch(save), checkpoint, once)
 
 
+def _sweep(batch: DataFrame, batch_id: int, index_path: str, out: str) -> None:
+    """Shards to remove by the listings that a batch completes."""
+    spark = batch.sparkSession
+    listings = Snapshots(spark, f"{out}-listings")
+    before = listings.latest(batch_id) or {"folders": []}
+    change = f"batch-{batch_id}"
+    batch.write.mode("overwrite").parquet(f"{out}-listings/{change}")
+    folders = [*before["folders"], change]
+    arrived = listings.table(folders, batch.schema)
+    ended = materialize(batch.where("last").select("listing").distinct(), "ended")
+    complete = arrived.join(F.broadcast(ended), "listing", "left_semi")
+    live = complete.where(F.col("source").isNotNull()).select("listing", "source").distinct()
+    entries = read_entries(spark, index_path)
+    known = entries.where(F.col("source") != "").select("source").distinct()
+    # A batch ends few listings, and each judges every source of the index.
+    orphans = known.crossJoin(F.broadcast(ended)).join(live, ["listing", "source"], "left_anti")
+    gone = entries.select("shard", "source").distinct().join(orphans, "source")
+    gone.select("shard", "listing").distinct().write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    if ended.isEmpty():
+        listings.publish(batch_id, {"folders": folders})
+        return
+    # Only what belongs to listings still on their way is read again.
+    pending = arrived.join(F.broadcast(ended), "listing", "left_anti")
+    pending.write.mode("overwrite").parquet(f"{out}-listings/pending-{batch_id}")
+    listings.publish(batch_id, {"folders": [f"pending-{batch_id}"]}, folders)
+
+
 def stream_orphan_sweep(
     listings: DataFrame, index_path: str, out: str, checkpoint: str, once: bool = True
 ) -> StreamingQuery:
@@ -255,19 +281,7 @@ def stream_orphan_sweep(
 
     Rows are ``(listing, source, last)``.  A listing may come in any number of
     batches; it counts in the batch that brings its row with ``last`` set, whose
-    source may be null.
+    source may be null, and its rows are kept no longer than that.
     """
-    def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{out}-listings/batch_id={batch_id}")
-        arrived = spark.read.schema(batch.schema.add("batch_id", "long")).parquet(f"{out}-listings")
-        arrived = arrived.where(F.col("batch_id") <= batch_id)
-        ended = [r["listing"] for r in batch.where("last").select("listing").distinct().collect()]
-        entries = read_entries(spark, index_path)
-        gone = orphan_shards(entries, entries.select("source")).withColumn("listing", F.lit(None).cast("string"))
-        for name in ended:
-            live = arrived.where((F.col("listing") == name) & F.col("source").isNotNull())
-            gone = gone.unionByName(orphan_shards(entries, live).withColumn("listing", F.lit(name)))
-        gone.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
+    save = lambda df, i: _sweep(df, i, index_path, out)
     return _start(listings.writeStream.foreachBatch(save), checkpoint, once)

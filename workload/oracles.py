@@ -376,6 +376,13 @@ ORACLES: dict[str, str] = {
         AND s.path = files.path AND {has('the', 's.sym')})""",
         [PAGE_FILES, LINES, SYMBOLS],
     ),
+    "filter_symbol_stored": found(
+        f"""{has('article')} AND EXISTS (SELECT 1 FROM symbols s WHERE s.repo = files.repo
+        AND s.path = files.path AND {has('the', 's.sym')})""",
+        hits("article") + f""" + (SELECT count(*) FROM symbols s WHERE s.repo = files.repo
+        AND s.path = files.path AND {has('the', 's.sym')})""",
+        [PAGE_FILES, LINES, SYMBOLS],
+    ),
     "filter_symbol_or": found(
         f"""(EXISTS (SELECT 1 FROM symbols s WHERE s.repo = files.repo AND s.path = files.path
              AND {has('The', 's.sym')}) OR {has('étion')})
@@ -525,6 +532,19 @@ FROM (SELECT repo, path, string_split(content, chr(10)) AS l FROM files) s""",
         [FILES],
         f"""SELECT repo, path, CAST({hits('tion')} AS BIGINT) AS score FROM files WHERE {has('tion')}
 ORDER BY score DESC, repo, path LIMIT 25""",
+    ),
+    "top_files_bm25": with_(
+        [
+            FILES,
+            "w AS (SELECT repo, path, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS ws FROM files)",
+            "totals AS (SELECT count(*) AS n, sum(len(ws)) / count(*) AS average FROM w)",
+            """tf AS (SELECT repo, path, len(ws) AS size, term, len(list_filter(ws, lambda x: x = term)) AS tf
+  FROM w, (VALUES ('license'), ('apache'), ('the'), ('des')) t(term))""",
+            "df AS (SELECT term, count(*) AS df FROM tf WHERE tf > 0 GROUP BY term)",
+        ],
+        """SELECT repo, path, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
+              / (tf + 1.2 * (1 - 0.75 + 0.75 * size / average))), 6) AS score
+FROM tf JOIN df USING (term), totals WHERE tf > 0 GROUP BY repo, path ORDER BY score DESC, repo, path LIMIT 30""",
     ),
     "total_cap": with_(
         [FILES],
@@ -763,6 +783,7 @@ WHERE NOT coalesce(r.archived, FALSE) AND NOT coalesce(r.fork, FALSE) GROUP BY f
     "stored_corpus": with_(
         [FILES], "SELECT repo, path, 'HEAD' AS branches, '' AS language, sha256(content) AS sha FROM files"
     ),
+    "tree_corpus": with_([FILES], "SELECT repo, path, sha256(coalesce(content, '')) AS sha FROM files"),
     "stored_rules": with_(
         [HOSTED, EXPANDED], """SELECT rule_pos, owner_pos, kind, url, org, "user" FROM expanded"""
     ),

@@ -29,7 +29,7 @@ from corpusquery import (
     term,
 )
 from corpusquery.functions.text import repo_parts, slice_lines, url_host
-from corpusquery.operators import blocks, index, lifecycle, lines, repos, results, rollup, rules, symbols
+from corpusquery.operators import blocks, bm25, index, lifecycle, lines, repos, results, rollup, rules, symbols
 from corpusquery.operators.search import (
     attach_repos,
     envelope,
@@ -42,8 +42,9 @@ from corpusquery.operators.search import (
 )
 from corpusquery.plans.joins import materialize
 from corpusquery.plans.predicates import Predicate
+from corpusquery.sources.corpus import write_tree
 from corpusquery.sources.rules import flat_rules, read_flat_rules, read_nested_rules
-from corpusquery.sources.sinks import read_entries, read_postings, write_entries
+from corpusquery.sources.sinks import read_entries, read_postings, read_symbols, write_entries, write_symbols
 from corpusquery.streaming import jobs
 from workload import views as v
 
@@ -154,6 +155,16 @@ def filter_symbol(spark, sf):
     return score_files(find_files(pages, predicate, symbols=defs), predicate)
 
 
+@query
+def filter_symbol_stored(spark, sf):
+    """The same from a stored table of symbols, through its distinct names."""
+    base = shared_dir(spark, "symbols")
+    write_symbols(symbols.extract_symbols(v.page_files(spark, sf), v.HTML_RULES), base)
+    predicate = sym("the") & term("article")
+    defs = read_symbols(spark, base, "the")
+    return score_files(find_files(v.page_files(spark, sf), predicate, symbols=defs), predicate)
+
+
 @query
 def filter_symbol_or(spark, sf):
     """A symbol atom under ``or`` and ``not``, which a semi-join cannot express."""
@@ -347,6 +358,13 @@ def top_files_by_score(spark, sf):
     return top_files(scored(spark, sf, term("tion")), 25)
 
 
+@query
+def top_files_bm25(spark, sf):
+    """The best files for some words by BM25, from a word index."""
+    built = bm25.build_word_index(v.spread_files(spark, sf))
+    return bm25.top_files_bm25(built, ["license", "Apache", "the", "des"], limit=30)
+
+
 @query
 def total_cap(spark, sf):
     return results.total_cap(scored(spark, sf, term("the")), 20000)
@@ -630,6 +648,15 @@ def stored_corpus(spark, sf):
     )
 
 
+@query
+def tree_corpus(spark, sf):
+    """The documents written as single files and read back as a tree."""
+    base = shared_dir(spark, "tree")
+    write_tree(v.spread_files(spark, sf), base).collect()
+    files = read_corpus(spark, base, fmt="tree", repo_depth=1)
+    return files.select("repo", "path", F.sha2("content", 256).alias("sha"))
+
+
 @query
 def stored_rules(spark, sf):
     """Nested rules written as JSON lines, read back and expanded."""
