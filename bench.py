@@ -21,6 +21,8 @@ HEADLINE = [
     "ngram_postings", "candidates", "search_batch", "search_batch_anchored", "search_narrowed",
     "index_diff", "orphan_shards", "symbol_definitions", "latest_status", "evict_finished",
     "stream_latest_status", "stream_search",
+    "search_batch_sentences", "search_regex_alternatives", "search_indexed", "top_files_bm25",
+    "index_diff_rolled", "filter_symbol_stored", "stream_eviction",
 ]
 
 

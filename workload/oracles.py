@@ -733,6 +733,20 @@ FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN regexp_extract(url, '^[a-z]
         """SELECT query_id, repo, path FROM gram_files, asked
 WHERE len(wanted) > 0 AND list_has_all(grams, wanted)""",
     ),
+    "candidates_positional": with_(
+        [
+            FILES,
+            GRAM_FILES,
+            f"""asked AS (SELECT item_id AS query_id, q, {GRAMS_OF.format(chars='chars')} AS wanted
+  FROM (SELECT item_id, lower(text) AS q, string_split(lower(text), '') AS chars FROM benchmark) b)""",
+            """met AS (SELECT query_id, q, repo, path FROM gram_files, asked
+  WHERE len(wanted) > 0 AND list_has_all(grams, wanted))""",
+        ],
+        """SELECT query_id, repo, path FROM met JOIN files USING (repo, path)
+WHERE len(list_filter(range(1, length(content) - length(q) + 2),
+  lambda i: substr(lower(content), i, 3) = left(q, 3)
+            AND substr(lower(content), i + length(q) - 3, 3) = right(q, 3))) > 0""",
+    ),
     "search_batch": with_(
         [FILES],
         """SELECT item_id AS query_id, repo, path FROM files, benchmark

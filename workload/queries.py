@@ -29,7 +29,7 @@ from corpusquery import (
     term,
 )
 from corpusquery.functions.text import repo_parts, slice_lines, url_host
-from corpusquery.operators import blocks, bm25, index, lifecycle, lines, repos, results, rollup, rules, symbols
+from corpusquery.operators import blocks, bm25, index, lifecycle, lines, positions, repos, results, rollup, rules, symbols
 from corpusquery.operators.search import (
     attach_repos,
     envelope,
@@ -568,6 +568,14 @@ def candidates(spark, sf):
     return index.candidates(gram_index(spark, sf), v.batch_queries(spark, sf))
 
 
+@query
+def candidates_positional(spark, sf):
+    """Candidates of whole texts whose first and last grams stand at the right distance."""
+    files, asked = v.spread_files(spark, sf), v.batch_queries(spark, sf)
+    found = materialize(index.candidates(gram_index(spark, sf), asked), "candidates")
+    return positions.candidates_positional(found, positions.build_position_index(files), asked)
+
+
 @query
 def search_batch(spark, sf):
     return index.search_batch(v.spread_files(spark, sf), v.batch_queries(spark, sf))
