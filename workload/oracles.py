@@ -742,10 +742,13 @@ WHERE len(wanted) > 0 AND list_has_all(grams, wanted)""",
             """met AS (SELECT query_id, q, repo, path FROM gram_files, asked
   WHERE len(wanted) > 0 AND list_has_all(grams, wanted))""",
         ],
-        """SELECT query_id, repo, path FROM met JOIN files USING (repo, path)
-WHERE len(list_filter(range(1, length(content) - length(q) + 2),
-  lambda i: substr(lower(content), i, 3) = left(q, 3)
-            AND substr(lower(content), i + length(q) - 3, 3) = right(q, 3))) > 0""",
+        # A text between its first and last gram, cut out of the file, is as long as it should be.
+        """SELECT DISTINCT query_id, repo, path FROM (
+  SELECT query_id, repo, path, q, c, unnest(range(1, len(c) - length(q) + 2)) AS i
+  FROM (SELECT query_id, repo, path, q, string_split(lower(content), '') AS c
+        FROM met JOIN files USING (repo, path)) f) p
+WHERE c[i] || c[i + 1] || c[i + 2] = left(q, 3)
+  AND c[i + length(q) - 3] || c[i + length(q) - 2] || c[i + length(q) - 1] = right(q, 3)""",
     ),
     "search_batch": with_(
         [FILES],
