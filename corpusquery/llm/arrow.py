@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Bytes of text that are worked on at a time; a longer single text is one slice.
@@ -51,6 +52,15 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
+def own_columns(df: DataFrame, replaced: set[str]) -> tuple[list[str], Column]:
+    """The caller's columns but those with names in ``replaced``, and all of them as one column.
+
+    Packed into one, they meet no other name on their way.
+    """
+    kept = [c for c in df.columns if c.lower() not in replaced]
+    return kept, F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
+
+
 def append_columns(
     df: DataFrame, source: str, ddl: str, make: Callable[[], Columns], drop: tuple[str, ...] = ()
 ) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusquery.llm.arrow import append_columns, strings
+from corpusquery.llm.arrow import append_columns, own_columns, strings
 from corpusquery.plans.joins import materialize
 
 WINDOW = 13
@@ -227,10 +227,10 @@ def contamination(docs: DataFrame, items: DataFrame, keep_text: bool = False) ->
     replaced, and ``text`` only stays with ``keep_text``.
     """
     context = docs.sparkSession.sparkContext
-    results = {*RESULT, "hit_spans", "hit_items"}
-    kept = [c for c in docs.columns if c.lower() not in results and (keep_text or c != "text")]
+    kept, own = own_columns(docs, {*RESULT, "hit_spans", "hit_items", "text"})
     state = docs.select(
-        *{*kept, "text"},
+        own.alias("own"),
+        F.col("text").alias("text"),
         F.expr("CAST(array() AS array<struct<a:bigint,b:bigint>>)").alias("_spans"),
         F.expr("CAST(array() AS array<string>)").alias("_items"),
     )
@@ -245,7 +245,8 @@ def contamination(docs: DataFrame, items: DataFrame, keep_text: bool = False) ->
     return (
         state.withColumn("n_hit", hit)
         .select(
-            *kept,
+            *[F.col("own").getField(c).alias(c) for c in kept],
+            *(["text"] if keep_text else []),
             F.col("_n_words").alias("n_words"),
             "n_hit",
             F.size("_items").cast("bigint").alias("n_items"),
@@ -259,5 +260,8 @@ def contamination(docs: DataFrame, items: DataFrame, keep_text: bool = False) ->
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents that are not contaminated, in their own columns."""
-    judged = contamination(docs, items, keep_text=True)
-    return judged.where("NOT contaminated").select(*docs.columns)
+    _, own = own_columns(docs, {"text"})
+    packed = docs.select(own.alias("document"), F.col("text").alias("text"))
+    judged = contamination(packed, items, keep_text=True).where("NOT contaminated")
+    column = lambda c: F.col("text") if c.lower() == "text" else F.col("document").getField(c)
+    return judged.select(*[column(c).alias(c) for c in docs.columns])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusquery.llm.arrow import append_columns, arrow_schema, slices, strings
+from corpusquery.llm.arrow import append_columns, arrow_schema, own_columns, slices, strings
 from corpusquery.llm.url_filter import url_host
 from corpusquery.plans.joins import join_by_size, materialize
 
@@ -168,7 +168,16 @@ def identify_languages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     judged alike.  Other columns stay, but those named like a result are
     replaced; ``html`` is dropped.
     """
-    kept = [c for c in pages.columns if c.lower() not in (*RESULTS, "html")]
+    names, own = own_columns(pages, {*RESULTS, "html"})
+    # Hot hosts are spread by a hash of the page.
+    mix = F.xxhash64(*[F.col(c) for c in ("page_id", "url") if c in pages.columns])
+    found = _identified(pages.select(own.alias("own"), mix.alias("mix"), F.col("url"), F.col("html")), labelled)
+    return found.select(*[F.col("own").getField(c).alias(c) for c in names], *RESULTS)
+
+
+def _identified(pages: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``identify_languages`` of pages ``(own, mix, url, html)``."""
+    kept = ["own", "mix"]
     languages, model = fit_text_model(labelled)
     named = pages.select(
         *kept,
@@ -196,9 +205,8 @@ def identify_languages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     suffixes = _sums(judged, "suffix", "_by_suffix", languages)
     hosts = _sums(judged, "host", "_by_host", languages)
 
-    spread = [c for c in ("page_id", "url") if c in kept]
-    joined = join_by_size(judged, hosts, ["host"], "left", spread_by=spread or None)
-    joined = join_by_size(joined, suffixes, ["suffix"], "left", spread_by=spread or None)
+    joined = join_by_size(judged, hosts, ["host"], "left", spread_by=["mix"])
+    joined = join_by_size(joined, suffixes, ["suffix"], "left", spread_by=["mix"])
     # Languages and two more rows; one row.
     joined = joined.join(F.broadcast(said), "_said", "left").crossJoin(F.broadcast(whole))
 

@@ -6,8 +6,9 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from corpusquery.llm.arrow import append_columns, strings
+from corpusquery.llm.arrow import append_columns, own_columns, strings
 from corpusquery.llm.decontaminate import words_of
 
 # Notices and texts of public licenses, as they are commonly printed.
@@ -221,4 +222,7 @@ def scan_licenses(
 
         return columns
 
-    return append_columns(docs, "text", _DDL, make, drop=("text",))
+    kept, own = own_columns(docs, {"n_words", "licenses", "text"})
+    packed = docs.select(own.alias("own"), F.col("text").alias("text"))
+    found = append_columns(packed, "text", _DDL, make, drop=("text",))
+    return found.select(*[F.col("own").getField(c).alias(c) for c in kept], "n_words", "licenses")
