@@ -94,20 +94,38 @@ def token_bytes(path: str, pattern: str | None = None) -> list[bytes]:
     return table
 
 
+# Marks that often close a word, and letters and digits of long standing.
+CLOSING = ".,;:!?)"
+LAST_SETTLED = "\u1fff"
+
+
 class _Chunks(dict):
     """Ids of chunks as bytes, found by the library once and then remembered.
 
-    None marks a chunk that cannot be cut off at its spaces.
+    None marks a chunk that cannot be cut off at its spaces.  The split patterns
+    of these vocabularies always have a border at a single line end between two
+    other characters, and between a letter or digit and the mark that ends a
+    chunk, so chunks are put together from their parts there.
     """
 
-    def __init__(self, prefix: str, encode: Callable[[str], bytes]):
+    def __init__(self, prefix: str, encode: Callable[[str], bytes], first: _Chunks | None = None):
         super().__init__()
         self.prefix, self.encode = prefix, encode
+        self.first = self if first is None else first
+        self.line_end = encode("\n")
 
     def __missing__(self, chunk: str) -> bytes | None:
         if not chunk or chunk[-1].isspace() or (self.prefix and chunk[0].isspace()):
             return None
-        ids = self.encode(self.prefix + chunk)
+        if "\n" in chunk:
+            head, *rest = chunk.split("\n")
+            if all(p and not p[0].isspace() and not p[-1].isspace() for p in (head, *rest)):
+                # Such a chunk hardly occurs again as a whole.
+                return self.line_end.join((self[head], *map(self.first.__getitem__, rest)))
+        if len(chunk) > 1 and chunk[-1] in CLOSING and chunk[-2].isalnum() and chunk[-2] <= LAST_SETTLED:
+            ids = self[chunk[:-1]] + self.first[chunk[-1]]
+        else:
+            ids = self.encode(self.prefix + chunk)
         if len(chunk) <= MAX_REMEMBERED_LENGTH:
             self[chunk] = ids
         return ids
@@ -124,8 +142,8 @@ class Encoder:
             tokenizer.encode(x, add_special_tokens=False).ids, self.dtype
         ).tobytes()
         self.encode = encode
-        self.first, self.spaced = _Chunks("", encode), _Chunks(" ", encode)
-        self.whole = _Chunks("", encode)
+        self.first = _Chunks("", encode)
+        self.spaced, self.whole = _Chunks(" ", encode, self.first), _Chunks("", encode)
 
     def raw(self, text: str) -> bytes:
         """Ids of a text, ``dtype`` each, as bytes."""
