@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusquery.llm.arrow import append_columns, arrow_schema, strings
-from corpusquery.llm.components import connected_components
+from corpusquery.llm.components import connected_components, join_counted
 from corpusquery.plans.joins import join_by_size, materialize
 
 SHINGLE = 5
@@ -117,8 +117,10 @@ def linked(overlap: int, a: int, b: int) -> bool:
     return 100 * overlap >= PERCENT * (a + b - overlap)
 
 
-def _set_key(keys: np.ndarray) -> int:
-    return np.uint64(xxhash.xxh3_64_intdigest(keys.tobytes())).astype(np.int64).item()
+def _set_name(keys: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a set apart, as two signed numbers."""
+    digest = xxhash.xxh3_128_digest(keys.tobytes())
+    return tuple(np.frombuffer(digest, "<i8").tolist())
 
 
 def _keys_of(batch: pa.RecordBatch, shingler: Shingler) -> list[np.ndarray]:
@@ -127,7 +129,7 @@ def _keys_of(batch: pa.RecordBatch, shingler: Shingler) -> list[np.ndarray]:
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Sorted keys of the shingles that most rows of a sample hold, at most ``MAX_FREQUENT``."""
-    chosen = docs.where(F.pmod("_row", F.lit(SAMPLE)) == 0).select("text")
+    chosen = docs.where(F.pmod("row", F.lit(SAMPLE)) == 0).select("text")
 
     def make():
         shingler = Shingler()
@@ -149,36 +151,29 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["key"] for r in found], np.int64).view(np.uint64))
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """Replace ``text`` by ``n_shingles`` and ``set_key`` (null when empty)."""
+def shingle_sets(docs: DataFrame, frequent) -> DataFrame:
+    """Replace ``text`` by ``n_shingles``, the name ``key, key2`` of its set (null when empty) and its steps.
 
-    def make():
-        shingler = Shingler()
-
-        def columns(batch):
-            sets = [shingler.keys(t) for t in strings(batch.column("text"))]
-            return [[s.size for s in sets], [_set_key(s) if s.size else None for s in sets]]
-
-        return columns
-
-    return append_columns(docs, "text", "n_shingles bigint, set_key bigint", make, drop=("text",))
-
-
-def set_steps(docs: DataFrame, frequent) -> DataFrame:
-    """``set_key`` and its first steps: ``rare`` and ``often``, arrays of hashes."""
+    The first steps of a set are ``rare`` and ``often``, arrays of hashes.
+    """
 
     def make():
         shingler, known = Shingler(), frequent.value
 
         def columns(batch):
             sets = [shingler.keys(t) for t in strings(batch.column("text"))]
+            names = [_set_name(s) if s.size else (None, None) for s in sets]
             found = [steps(s, known) for s in sets]
-            return [[_set_key(s) if s.size else None for s in sets], [f[0] for f in found], [f[1] for f in found]]
+            return [
+                [s.size for s in sets],
+                *([n[k] for n in names] for k in (0, 1)),
+                *([f[k] for f in found] for k in (0, 1)),
+            ]
 
         return columns
 
-    ddl = "set_key bigint, rare array<bigint>, often array<bigint>"
-    return append_columns(docs.select("text"), "text", ddl, make, drop=("text",))
+    ddl = "n_shingles bigint, key bigint, key2 bigint, rare array<bigint>, often array<bigint>"
+    return append_columns(docs, "text", ddl, make, drop=("text",))
 
 
 def _candidates(sets: DataFrame) -> DataFrame:
@@ -264,24 +259,18 @@ def _band(size: Column) -> Column:
 def _links(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Links ``(a, b)`` within tiles.
 
-    ``members`` has a row per set and tile: ``_row, set_key, cluster, band,
+    ``members`` has a row per set and tile: ``row, row2, set_key, cluster, band,
     block, label, probe``.  The shingles of a set are made once more from the text
-    of the document ``_row``, and only here they leave its row.
+    of the document ``row, row2``, and only here they leave its row.
     """
 
     def make():
         shingler = Shingler()
-
-        def columns(batch):
-            keys = _keys_of(batch, shingler)
-            wanted = batch.column("set_key").to_pylist()
-            return [[k if _set_key(k) == w else k[:0] for k, w in zip(keys, wanted)]]
-
-        return columns
+        return lambda batch: [_keys_of(batch, shingler)]
 
     tile = F.struct("cluster", "band", "block", "label", "probe")
-    by_row = members.groupBy("_row", "set_key").agg(F.collect_list(tile).alias("tiles"))
-    texts = join_by_size(docs.select("_row", "text"), materialize(by_row, "tile-members"), ["_row"], "inner")
+    by_row = members.groupBy("row", "row2", "set_key").agg(F.collect_list(tile).alias("tiles"))
+    texts = join_by_size(docs.select(*ROW, "text"), materialize(by_row, "tile-members"), ROW, "inner")
     keyed = append_columns(texts, "text", "keys array<bigint>", make, drop=("text",))
     tiles = keyed.select("set_key", "keys", F.explode("tiles").alias("t")).select("t.*", "set_key", "keys")
 
@@ -317,7 +306,7 @@ def _tiles(clusters: DataFrame, classes: DataFrame) -> DataFrame:
     return placed.join(sizes.where("n > 1 AND probed").select("cluster", "band", "blocks"), ["cluster", "band"])
 
 
-_MEMBER = ["_row", "set_key", "cluster", "band", "block", "label", "probe"]
+_MEMBER = ["row", "row2", "set_key", "cluster", "band", "block", "label", "probe"]
 
 
 def _all_links(tiles: DataFrame, docs: DataFrame) -> DataFrame:
@@ -325,8 +314,8 @@ def _all_links(tiles: DataFrame, docs: DataFrame) -> DataFrame:
 
     A tile of one block is compared as a whole.  In a larger one, the sets of a
     block meet each other and a few leaders of the tile.  That joins most sets of
-    a group of near copies; the sets outside the largest component of
-    the tile then meet every block.
+    a group of near copies; the sets outside the largest component of the tile,
+    dealt into parts of bounded size, then meet the blocks, a part and a block at a time.
     """
     home = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -349,40 +338,61 @@ def _all_links(tiles: DataFrame, docs: DataFrame) -> DataFrame:
     shares = labelled.groupBy("cluster", "band", "label").count()
     main = shares.groupBy("cluster", "band").agg(F.max(F.struct("count", "label"))["label"].alias("_main"))
     rest = labelled.join(main, ["cluster", "band"]).where("label <> _main").drop("_main")
-    rest = rest.withColumn("block", every).withColumn("probe", F.lit(True))
-    met = labelled.withColumn("block", home).withColumn("probe", F.lit(False))
+    sizes = rest.groupBy("cluster", "band").agg(
+        F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("parts")
+    )
+    sizes = materialize(sizes, "tile-parts")
+    # A pair of a block and a part of the rest is one number.
+    part = F.pmod(F.xxhash64(F.lit("part"), "set_key"), F.col("parts")).cast("int")
+    rest = rest.join(sizes, ["cluster", "band"]).withColumn("block", every)
+    rest = rest.withColumn("block", F.col("block") * F.col("parts") + part).withColumn("probe", F.lit(True))
+    met = labelled.join(sizes, ["cluster", "band"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.withColumn("block", home * F.col("parts") + F.col("_part")).withColumn("probe", F.lit(False))
     second = materialize(_links(met.select(_MEMBER).unionByName(rest.select(_MEMBER)), docs), "links")
     return first.unionByName(second)
 
 
 RESULTS = ("n_shingles", "component_id")
 
+# What tells rows apart: 128 bits of id and text; equal rows are one.
+ROW = ["row", "row2"]
+
 
-def _classified(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``similarity_classes`` with the helping columns ``_row`` and ``_label``.
+def _with_rows(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"row": F.xxhash64("doc_id", "text"), "row2": F.xxhash64("text", "doc_id")})
+
+
+def _classified(docs: DataFrame) -> DataFrame:
+    """``(kept, doc_id, row, row2, label, n_shingles, component_id)`` of documents ``(kept, doc_id, text)``.
 
     The label tells components apart, also those of documents that share an id.
     """
-    kept = [c for c in docs.columns if c.lower() not in (*RESULTS, "text")]
-    # Rows are told apart by id and text; equal rows are one.
-    source = docs.select(*kept, "text", F.xxhash64("doc_id", "text").alias("_row"))
+    source = _with_rows(docs)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(source))
-    found = materialize(shingle_sets(source), "shingle-sets")
-
-    worded = found.where("set_key IS NOT NULL")
-    classes = materialize(
-        worded.groupBy("set_key").agg(
+    found = materialize(shingle_sets(source, frequent), "shingle-sets")
+
+    # A set is known by its name here and by a number from here on.
+    name = ["key", "key2"]
+    classes = (
+        found.where("key IS NOT NULL")
+        .groupBy(*name)
+        .agg(
             F.min("doc_id").alias("doc_id"),
-            F.min("_row").alias("_row"),
+            F.min(F.struct(*ROW)).alias("r"),
             F.first("n_shingles").alias("n_shingles"),
-        ),
-        "shingle-classes",
+            F.count(F.lit(1)).alias("copies"),
+        )
+        .select(*name, "doc_id", "r.*", "n_shingles", "copies")
+        .withColumn("set_key", F.monotonically_increasing_id())
     )
-    clusters = connected_components(_candidates(set_steps(source, frequent))).select(
+    classes = materialize(classes, "shingle-classes")
+    sets = join_by_size(found.select(*ROW, "rare", "often"), classes.select(*ROW, "set_key"), ROW, "inner")
+    sets = materialize(sets.select("set_key", "rare", "often"), "set-steps")
+    clusters = connected_components(_candidates(sets)).select(
         F.col("node").alias("set_key"), F.col("component").alias("cluster")
     )
-    tiles = materialize(_tiles(clusters, classes.select("set_key", "_row", "n_shingles")), "tiles")
-    joined = connected_components(_all_links(tiles, source.select("_row", "text")))
+    tiles = materialize(_tiles(clusters, classes.select("set_key", *ROW, "n_shingles")), "tiles")
+    joined = connected_components(_all_links(tiles, source.select(*ROW, "text")))
 
     # Linked sets take the smallest id of their component, the others their own.
     linked_ = joined.join(classes.select(F.col("set_key").alias("node"), "doc_id"), "node")
@@ -391,20 +401,19 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, list[str]]:
         F.col("node").alias("set_key"), F.col("component").alias("_label"), "_linked"
     )
     ids = classes.join(of_set, "set_key", "left").select(
-        "set_key",
-        F.coalesce("_label", "set_key").alias("_label"),
-        F.when(F.col("_label").isNull(), F.col("doc_id")).otherwise(F.col("_linked")).alias("_component"),
+        *name,
+        "copies",
+        F.coalesce("_label", "set_key").alias("label"),
+        F.when(F.col("_label").isNull(), F.col("doc_id")).otherwise(F.col("_linked")).alias("component_id"),
     )
-    # A set that very many copies share makes one key of this join; adaptive
-    # execution splits its rows.
-    out = found.join(ids, "set_key", "left").select(
-        *kept,
-        "_row",
-        "_label",
-        "n_shingles",
-        F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("_component")).alias("component_id"),
+    ids = materialize(ids, "set-components")
+    rows = found.drop("rare", "often")
+    total = found.agg(F.count(F.lit(1))).first()[0]
+    known = join_counted(rows.where("key IS NOT NULL"), ids, name, "copies", total).drop(*name)
+    empty = rows.where("key IS NULL").drop(*name).withColumns(
+        {"label": F.lit(None).cast("bigint"), "component_id": F.col("doc_id")}
     )
-    return out, kept
+    return known.unionByName(empty)
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
@@ -419,8 +428,10 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     part but is nobody's smallest id, unless there is no other.  Other columns
     stay, but those named like a result are replaced.
     """
-    out, kept = _classified(docs)
-    return out.select(*kept, *RESULTS)
+    kept = [c for c in docs.columns if c.lower() not in (*RESULTS, "text")]
+    # The caller's columns travel as one, so their names meet no others here.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), "doc_id", "text")
+    return _classified(packed).select(*[F.col("kept").getField(c).alias(c) for c in kept], *RESULTS)
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
@@ -429,18 +440,20 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     Of several texts with that id one stays, and of equal rows one.  Documents
     without words all stay.
     """
-    found, _ = _classified(docs)
-    found = materialize(found.select("doc_id", "_row", "_label"), "components")
-    grouped = found.where("_label IS NOT NULL")
-    first = grouped.groupBy("_label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
-    losers = grouped.select("_row").distinct().join(first.select("_row"), "_row", "left_anti")
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    kept = join_by_size(rows, materialize(losers, "near-copies"), ["_row"], "left_anti")
-    equal = materialize(
-        grouped.groupBy("_row").count().where("count > 1").join(first, "_row", "left_semi").select("_row"), "equal-rows"
-    )
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "doc_id", "text")
+    found = _classified(packed.select(F.lit(0).alias("kept"), "doc_id", "text"))
+    found = materialize(found.select("doc_id", *ROW, "label"), "components")
+    grouped = found.where("label IS NOT NULL")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW))
+    first = grouped.groupBy("label").agg(best.alias("first")).select("first.row", "first.row2")
+    losers = grouped.select(*ROW).distinct().join(first, ROW, "left_anti")
+    rows = _with_rows(packed)
+    kept = join_by_size(rows, materialize(losers, "near-copies"), ROW, "left_anti")
+    equal = grouped.groupBy(*ROW).count().where("count > 1").join(first, ROW, "left_semi").select(*ROW)
+    equal = materialize(equal, "equal-rows")
+    unpacked = [F.col("own").getField(c).alias(c) for c in docs.columns]
     if equal.isEmpty():
-        return kept.select(*docs.columns)
-    single = join_by_size(kept, equal, ["_row"], "left_anti")
-    once = join_by_size(kept, equal, ["_row"], "left_semi").dropDuplicates(["_row"])
-    return single.unionByName(once).select(*docs.columns)
+        return kept.select(*unpacked)
+    single = join_by_size(kept, equal, ROW, "left_anti")
+    once = join_by_size(kept, equal, ROW, "left_semi").dropDuplicates(ROW)
+    return single.unionByName(once).select(*unpacked)
