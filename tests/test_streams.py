@@ -15,6 +15,7 @@ from corpusquery.operators.symbols import detect_language
 from corpusquery.sources import sinks
 from corpusquery.sources.snapshots import Snapshots
 from corpusquery.streaming import jobs
+from workload.queries import REGISTRY
 
 
 def test_retention_is_strict(spark):
@@ -356,3 +357,22 @@ def test_write_results(spark, tmp_path, text_file):
 
 def test_shared_dir_is_fresh(spark):
     assert shared_dir(spark, "a") != shared_dir(spark, "a")
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_registered_streams_read_a_table_of_one_file_or_of_a_folder(spark, tmp_path, parts):
+    rows = [(i, "MIT license\n" if i % 4 == 0 else "text", "en", f"src{i % 5}", 9) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    table = tmp_path / "sf" / "documents.parquet"
+    if parts:
+        docs.repartition(parts).write.parquet(str(table))
+    else:
+        docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+        table.parent.mkdir()
+        next((tmp_path / "one").glob("part-*")).rename(table)
+    of = lambda name: REGISTRY[name](spark, str(table.parent))
+    found = {(r.repo, r.path) for r in of("stream_search").collect()}
+    assert found == {(f"src{i % 5}", f"en/{i}.txt") for i in range(0, 40, 4)}
+    assert of("stream_index").count() == 40
+    # Only src3 is not listed, and its documents lie in two shards.
+    assert {r.shard for r in of("stream_orphan_sweep").collect()} == {len("text"), len("MIT license\n")}

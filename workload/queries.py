@@ -807,9 +807,11 @@ def keep_finished(spark, sf):
     return lifecycle.evict_finished(lifecycle.latest_status(v.task_events(spark, sf)), cap=10**9)
 
 
-def _feed(spark, sf, name):
+def _feed(spark, sf, name, files_per_batch=1000):
+    """A table as a feed of its files, whether it is one file or a folder of them."""
     schema = v.table(spark, sf, name).schema
-    return jobs.read_feed(spark, sf, schema, glob=f"{name}.parquet")
+    # Spark takes the path of a stream for a folder unless it is a pattern.
+    return jobs.read_feed(spark, f"{sf}/{name}[.]parquet", schema, files_per_batch=files_per_batch)
 
 
 @query
@@ -884,8 +886,8 @@ def stream_orphan_sweep(spark, sf):
         "*", F.col("repo").alias("source"), F.pmod(F.octet_length("content"), F.lit(64)).cast("bigint").alias("shard")
     )
     write_entries(files, f"{base}/index")
-    # All documents are one listing, and its last row is that of one document.
-    live = _feed(spark, sf, "documents").where((F.col("source") != "src3") | (F.col("doc_id") == 0)).select(
+    # All documents are one listing, and its last row is that of one document, so they come in one batch.
+    live = _feed(spark, sf, "documents", files_per_batch=2**31 - 1).where((F.col("source") != "src3") | (F.col("doc_id") == 0)).select(
         F.lit("all").alias("listing"),
         F.when(F.col("source") != "src3", F.col("source")).alias("source"),
         (F.col("doc_id") == 0).alias("last"),
