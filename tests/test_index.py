@@ -1,15 +1,17 @@
 """N-gram candidates, batch search, index maintenance and the stored index."""
 
+import pickle
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusquery import regex, term
-from corpusquery.operators import blocks, index, narrowing, rollup
+from corpusquery.operators import blocks, index, many_texts, narrowing, rollup
 from corpusquery.operators.search import matching_files
 from corpusquery.plans import joins
 from corpusquery.sources import sinks
@@ -79,6 +81,38 @@ def test_batch_search_reads_the_contents_once(spark, tmp_path, asked):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
+def test_counted_batch_search_joins_counts_instead_of_pairs(spark, corpus, texts, asked):
+    """A text that very many queries ask is counted once, before the queries join."""
+    many = [*asked, *["a"] * 500]
+    found = index.search_batch(corpus, as_queries(spark, many), counted=True)
+    expected = [(q, n) for q, t in enumerate(many) if t and (n := sum(t in content for content in texts))]
+    assert sorted((r.query_id, r.n_files) for r in found.collect()) == expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # The tree is printed from the top, so the join stands before the aggregate that feeds it.
+    assert plan.index("Join") < plan.index("Aggregate") < plan.index("MapInArrow")
+
+
+def test_text_table_against_brute_force():
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abé😀") for _ in range(n))
+    contents = [word(rng.randint(0, 200)) for _ in range(60)] + [""]
+    cuts = [c[a : a + n] for c in contents for a, n in [(rng.randint(0, 150), rng.randint(1, 60))]]
+    texts = sorted({t for t in [*cuts, *(t[:-1] + "x" for t in cuts), *(word(n) for n in range(1, 30))] if t})
+    rows = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+
+    class Table:
+        select = lambda self, *names: self
+        mapInArrow = lambda self, work, ddl: setattr(self, "work", work) or self
+        toArrow = lambda self: pa.Table.from_batches(self.work(iter([rows])))
+
+    table = pickle.loads(pickle.dumps(many_texts.TextTable(Table())))
+    found = []
+    for first, piece in many_texts.pieces(contents):
+        for of, begin, size in table.places(piece):
+            found += [(first + i, piece[i][a : a + n]) for i, a, n in zip(of, begin, size)]
+    assert sorted(found) == sorted((i, t) for i, c in enumerate(contents) for t in texts if t in c)
+
+
 def test_candidates_hold_every_match(spark, corpus, texts, asked, gram_index):
     found = set(pairs(index.candidates(gram_index, as_queries(spark, asked))))
     assert set(brute(texts, asked)) <= found

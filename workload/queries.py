@@ -597,8 +597,8 @@ def search_batch_sentences(spark, sf):
     sentences = turns.select("conv_id", "turn", F.posexplode(F.split("text", r"[.?!]\s*")).alias("pos", "text"))
     number = (F.col("conv_id") * 1000 + F.col("turn")) * 1000 + F.col("pos")
     asked = sentences.select(number.alias("query_id"), "text")
-    found = index.search_batch(v.spread_files(spark, sf), asked)
-    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_files"))
+    found = index.search_batch(v.spread_files(spark, sf), asked, counted=True)
+    return found.groupBy("query_id").agg(F.sum("n_files").alias("n_files"))
 
 
 @query
