@@ -15,6 +15,7 @@ from corpusquery.operators import blocks, index, many_texts, narrowing, rollup
 from corpusquery.operators.search import matching_files
 from corpusquery.plans import joins
 from corpusquery.sources import sinks
+from workload.queries import REGISTRY
 
 ALPHABET = "abé \nX😀"
 
@@ -92,6 +93,19 @@ def test_counted_batch_search_joins_counts_instead_of_pairs(spark, corpus, texts
     assert plan.index("Join") < plan.index("Aggregate") < plan.index("MapInArrow")
 
 
+def test_anchored_query_finds_first_sentences_and_whole_turns(spark, tmp_path):
+    docs = ["One two. Three", "so One two again", "... dots", "nothing"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(docs)]
+    ddl = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(1, 0, "user", "One two. Else"), (1, 1, "user", "... dots"), (2, 0, "user", ""), (2, 1, "user", None)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(
+        f"{tmp_path}/conversations.parquet"
+    )
+    found = REGISTRY["search_batch_anchored"](spark, str(tmp_path))
+    assert pairs(found) == [(1000, "en/0.txt"), (1000, "en/1.txt"), (1001, "en/2.txt")]
+
+
 def test_text_table_against_brute_force():
     rng = random.Random(7)
     word = lambda n: "".join(rng.choice("abé😀") for _ in range(n))

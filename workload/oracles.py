@@ -757,8 +757,10 @@ WHERE text <> '' AND contains(content, text)""",
     ),
     "search_batch_anchored": with_(
         [FILES],
-        r"""SELECT conv_id * 1000 + turn AS query_id, repo, path FROM files, conversations
-WHERE text <> '' AND contains(content, text)""",
+        r"""SELECT query_id, repo, path FROM files, (
+  SELECT conv_id * 1000 + turn AS query_id, string_split_regex(text, '[.?!]\s*')[1] AS q, text AS whole
+  FROM conversations) t
+WHERE (q <> '' AND contains(content, q)) OR (whole <> '' AND contains(content, whole))""",
     ),
     "search_batch_sentences": with_(
         [FILES],
