@@ -105,6 +105,15 @@ def decode(blocks: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray
     return total - np.repeat(total[begins] - first, counts), ends
 
 
+def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Packed numbers cut into one binary per group of values."""
+    data, sizes = pack_numbers(values)
+    stops = np.concatenate([[0], np.cumsum(sizes)])[ends]
+    offsets = np.concatenate([[0], stops]).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]
+    return pa.Array.from_buffers(pa.binary(), len(ends), buffers)
+
+
 # Building ---------------------------------------------------------------------------
 
 
@@ -228,27 +237,67 @@ def build_gram_index(files: DataFrame, n: int = GRAM, batch: int = 0, keep: tupl
 
 
 def decoded(index: GramIndex) -> DataFrame:
-    """All postings ``(gram, repo, path)`` that the blocks stand for."""
-    ddl = "gram string, run bigint, at int"
+    """All postings ``(gram, repo, path)`` that the blocks stand for.
+
+    Blocks are shuffled, and never postings: a task meets the files of a run
+    ahead of its blocks and names their numbers as it decodes them.
+    """
+    ddl = "gram string, repo string, path string"
     schema = arrow_schema(ddl)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, files, names = None, [], None
         for rows in batches:
-            grams, runs, *block = (rows.column(c).to_pylist() for c in ("gram", "run", "n", "first", "numbers"))
-            # Blocks of a bounded number of postings at a time.
-            cuts = np.cumsum(block[0]) // RUN_POSTINGS
-            for part in np.split(np.arange(len(grams)), np.flatnonzero(np.diff(cuts)) + 1):
-                if not len(part):
+            runs = rows.column("run").to_numpy()
+            for run in np.split(np.arange(len(runs)), np.flatnonzero(np.diff(runs)) + 1):
+                if not len(run):
                     continue
-                a, b = int(part[0]), int(part[-1]) + 1
-                at, _ = decode(list(zip(*(c[a:b] for c in block))))
-                counts = np.array(block[0][a:b])
-                texts = pa.array(grams[a:b]).take(pa.array(np.repeat(np.arange(b - a), counts)))
-                numbers = np.repeat(np.array(runs[a:b], np.int64), counts)
-                yield pa.RecordBatch.from_arrays([texts, pa.array(numbers), pa.array(at, pa.int32())], schema=schema)
+                own = rows.slice(int(run[0]), len(run))
+                if runs[run[0]] != current:
+                    current, files, names = runs[run[0]], [], None
+                n_files = own.column("gram").null_count
+                if n_files:
+                    files.append(own.slice(0, n_files).select(["n", *FILE]))
+                own = own.slice(n_files)
+                if not own.num_rows or not files:
+                    continue
+                names = names or _by_number(files)
+                grams, *block = (own.column(c).to_pylist() for c in ("gram", "n", "first", "numbers"))
+                # Blocks of a bounded number of postings at a time.
+                cuts = np.cumsum(block[0]) // RUN_POSTINGS_AT_ONCE
+                for part in np.split(np.arange(len(grams)), np.flatnonzero(np.diff(cuts)) + 1):
+                    a, b = int(part[0]), int(part[-1]) + 1
+                    at, _ = decode(list(zip(*(c[a:b] for c in block))))
+                    gram = np.repeat(np.arange(b - a), block[0][a:b])
+                    place = names[0][at]
+                    # Numbers of files that are gone are dropped.
+                    gram, place = gram[place >= 0], pa.array(place[place >= 0])
+                    found = [pa.array(grams[a:b]).take(pa.array(gram)), *(c.take(place) for c in names[1])]
+                    yield pa.RecordBatch.from_arrays(found, schema=schema)
+
+    return _by_run(index, FILE).mapInArrow(work, ddl)
+
+
+# Postings that are named together.
+RUN_POSTINGS_AT_ONCE = 1 << 18
 
-    found = index.blocks.mapInArrow(work, ddl)
-    return _named(found, index).select("gram", *FILE)
+
+def _by_number(files: list[pa.RecordBatch]) -> tuple[np.ndarray, list[pa.Array]]:
+    """The row of each number of a run, -1 without a file, and the names by row."""
+    place = np.full(RUN_FILES, -1, np.int64)
+    at = np.concatenate([f.column("n").to_numpy() for f in files])
+    place[at] = np.arange(len(at))
+    return place, [pa.concat_arrays([f.column(c) for f in files]) for c in FILE]
+
+
+def _by_run(index: GramIndex, names: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Files and blocks of a run one after the other in one task; rows of files have no gram, and their number in ``n``."""
+    schema = arrow_schema(BLOCKS_DDL)
+    files = index.files.selectExpr(
+        "CAST(NULL AS STRING) AS gram", "run", "at AS n", "0 AS first", "0 AS last", "CAST(NULL AS BINARY) AS numbers", *names
+    )
+    blocks = index.blocks.select(*[f.name for f in schema], *[F.lit(None).cast("string").alias(c) for c in names])
+    return files.unionByName(blocks).repartition("run").sortWithinPartitions("run", F.asc_nulls_first("gram"))
 
 
 def _named(numbers: DataFrame, index: GramIndex) -> DataFrame:
@@ -394,11 +443,7 @@ def live_blocks(index: GramIndex) -> DataFrame:
     holds the files of one run at a time.
     """
     schema = arrow_schema(BLOCKS_DDL)
-    files = index.files.selectExpr(
-        "CAST(NULL AS STRING) AS gram", "run", "at AS n", "0 AS first", "0 AS last", "CAST(NULL AS BINARY) AS numbers"
-    )
-    rows = files.unionByName(index.blocks.select(*[f.name for f in schema]))
-    met = rows.repartition("run").sortWithinPartitions("run", F.asc_nulls_first("gram"))
+    met = _by_run(index)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, live = None, np.zeros(RUN_FILES, bool)

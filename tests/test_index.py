@@ -82,6 +82,18 @@ def test_batch_search_reads_the_contents_once(spark, tmp_path, asked):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
+def test_decoding_shuffles_blocks_and_no_postings(spark, corpus, monkeypatch):
+    monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 0)
+    built = blocks.build_gram_index(corpus)
+    gone = blocks.GramIndex(built.files.where("path != 'f5'"), built.blocks)
+    found = blocks.decoded(gone)
+    shown = lambda df: sorted(tuple(r) for r in df.select("gram", "path").collect())
+    assert shown(found) == shown(index.ngram_postings(corpus.where("path != 'f5'")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # What is shuffled lies below the decoding.
+    assert "Join" not in plan and plan.index("MapInArrow") < plan.index("Repartition")
+
+
 def test_counted_batch_search_joins_counts_instead_of_pairs(spark, corpus, texts, asked):
     """A text that very many queries ask is counted once, before the queries join."""
     many = [*asked, *["a"] * 500]
