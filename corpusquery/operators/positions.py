@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusquery.functions.folding import fold
@@ -53,15 +53,6 @@ def _gram_places(text: str, n: int) -> np.ndarray:
     return key
 
 
-def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Packed numbers cut into one binary per group of values."""
-    data, sizes = packed.pack_numbers(values)
-    stops = np.concatenate([[0], np.cumsum(sizes)])[ends]
-    offsets = np.concatenate([[0], stops]).astype(np.int32)
-    buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]
-    return pa.Array.from_buffers(pa.binary(), len(ends), buffers)
-
-
 def _run_blocks(grams: list[np.ndarray], n: int) -> dict:
     """Columns of the blocks of a run, from the grams of its files by position."""
     sizes = [len(g) for g in grams]
@@ -86,9 +77,9 @@ def _run_blocks(grams: list[np.ndarray], n: int) -> dict:
         "gram": packed._gram_texts(key[gram_begins], n),
         "n": n_files,
         "first": file_at[first_file],
-        "numbers": _binaries(jumps, file_ends - np.arange(1, len(n_files) + 1)),
-        "counts": _binaries(counts, file_ends),
-        "positions": _binaries(steps, np.append(gram_begins[1:], len(key))),
+        "numbers": packed.binaries(jumps, file_ends - np.arange(1, len(n_files) + 1)),
+        "counts": packed.binaries(counts, file_ends),
+        "positions": packed.binaries(steps, np.append(gram_begins[1:], len(key))),
     }
 
 
@@ -125,7 +116,8 @@ def build_position_index(files: DataFrame, n: int = packed.GRAM) -> PositionInde
         yield from flush(run, names, grams)
 
     folded = files.select(*FILE, fold(F.col("content")).alias("text"))
-    built = materialize(folded.mapInArrow(work, _ROW), "position-index")
+    # Small differences are worth an entropy coder.
+    built = materialize(folded.mapInArrow(work, _ROW), "position-index", "zstd")
     return PositionIndex(
         built.where("gram IS NULL").select("run", "at", *FILE),
         built.where("gram IS NOT NULL").select("gram", "run", "n", "first", "numbers", "counts", "positions"),
@@ -144,11 +136,19 @@ def _places(block: dict) -> np.ndarray:
     return (np.repeat(at, counts) << 32) + total - before
 
 
-def files_at_distance(index: PositionIndex, queries: DataFrame) -> DataFrame:
+# Queries that are looked for in a run together.
+QUERIES_AT_ONCE = 1000
+
+
+def files_at_distance(index: PositionIndex, queries: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """Files where the first and the last gram of a text stand at its distance: ``(query_id, repo, path)``.
 
     A superset of the files with the text itself.  Texts shorter than a gram have
-    no rows.
+    no rows.  With ``among``, rows ``(query_id, repo, path)``, a text is looked for
+    only in the runs of its files there.
+
+    Of the index only the blocks of these grams are shuffled, each of them once:
+    all that are wanted of a run meet its queries in one row.
     """
     n = index.n
     text = fold(F.col("text"))
@@ -159,25 +159,45 @@ def files_at_distance(index: PositionIndex, queries: DataFrame) -> DataFrame:
         (F.char_length(text) - n).alias("distance"),
     ).where("distance >= 0")
     asked = materialize(asked, "distances")
+    if among is None:
+        pairs = asked.crossJoin(index.files.select("run").distinct())
+    else:
+        keys = among.join(asked.select("query_id").distinct(), "query_id", "left_semi")
+        runs = join_by_size(index.files.select("run", *FILE), keys, list(FILE), "inner")
+        pairs = asked.join(runs.select("query_id", "run").distinct(), "query_id")
+    chunk = F.floor(F.row_number().over(Window.partitionBy("run").orderBy("query_id")) / QUERIES_AT_ONCE)
+    query = F.struct("query_id", "head", "tail", "distance")
+    together = pairs.withColumn("chunk", chunk).groupBy("run", "chunk").agg(F.collect_list(query).alias("queries"))
+    grams = asked.select(F.explode(F.array("head", "tail")).alias("gram")).distinct()
+    own = join_by_size(index.blocks, grams, ["gram"], "left_semi", spread_by=["run"])
+    block = F.struct("gram", "n", "first", "numbers", "counts", "positions")
+    # A run has a bounded number of positions.
+    wanted = own.groupBy("run").agg(F.collect_list(block).alias("blocks"))
+    met = wanted.join(together, "run")
     kind = queries.schema["query_id"].dataType.simpleString()
     ddl = f"query_id {kind}, run bigint, at int"
     schema = packed.arrow_schema(ddl)
-    block = lambda name: index.blocks.select(
-        F.col("gram").alias(name), "run", F.struct("n", "first", "numbers", "counts", "positions").alias(f"{name}_block")
-    )
-    met = asked.join(block("head"), "head").join(block("tail"), ["tail", "run"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                head, tail = (_places(batch.column(c)[i].as_py()) for c in ("head_block", "tail_block"))
-                both = np.intersect1d(head + batch.column("distance")[i].as_py(), tail, assume_unique=True)
-                at = np.unique(both >> 32)
-                same = pa.array(np.full(len(at), i))
-                columns = [batch.column(c).take(same) for c in ("query_id", "run")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(at, pa.int32())], schema=schema)
-
-    found = met.select("query_id", "run", "distance", "head_block", "tail_block").mapInArrow(work, ddl)
+                run = batch.column("run")[i]
+                blocks = {b["gram"]: b for b in batch.column("blocks")[i].as_py()}
+                ids = batch.column("queries")[i].values.field("query_id")
+                found, rows, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {}
+                for q, query in enumerate(batch.column("queries")[i].as_py()):
+                    ends = (query["head"], query["tail"])
+                    if not all(g in blocks for g in ends):
+                        continue
+                    head, tail = (places[g] if g in places else places.setdefault(g, _places(blocks[g])) for g in ends)
+                    at = np.unique(np.intersect1d(head + query["distance"], tail, assume_unique=True) >> 32)
+                    found.append(at)
+                    rows.append(np.full(len(at), q))
+                at = pa.array(np.concatenate(found), pa.int32())
+                own = ids.take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([own, pa.array([run.as_py()] * len(at), pa.int64()), at], schema=schema)
+
+    found = met.select("run", "blocks", "queries").mapInArrow(work, ddl)
     named = join_by_size(found, index.files, ["run", "at"], "inner")
     return named.select("query_id", *FILE)
 
@@ -188,7 +208,7 @@ def candidates_positional(candidates: DataFrame, index: PositionIndex, queries:
     Candidates of texts shorter than a gram are exact already and stay.
     """
     long = queries.where(F.char_length(fold(F.col("text"))) >= index.n).select("query_id", "text")
-    placed = files_at_distance(index, long)
+    placed = files_at_distance(index, long, candidates)
     kept = candidates.join(placed, ["query_id", *FILE], "left_semi")
     short = candidates.join(long.select("query_id"), "query_id", "left_anti")
     return kept.unionByName(short)

@@ -45,3 +45,19 @@ def test_places_are_those_of_the_text(spark, texts):
             got.add((r.gram, names[r.run, place >> 32], place & 0xFFFFFFFF))
     folded = [(t or "").lower() for t in texts]
     assert got == {(t[i : i + 3], f"f{k}", i) for k, t in enumerate(folded) for i in range(len(t) - 2)}
+
+
+def test_a_text_is_looked_for_only_in_the_runs_of_its_candidates(spark, texts, monkeypatch):
+    """Blocks are shuffled once, whatever the number of queries that share their grams."""
+    monkeypatch.setattr(positions, "RUN_FILES", 7)
+    monkeypatch.setattr(positions, "RUN_POSITIONS", 700)
+    monkeypatch.setattr(positions, "QUERIES_AT_ONCE", 3)
+    files = spark.createDataFrame([("r", f"f{i}", t) for i, t in enumerate(texts)], "repo string, path string, content string")
+    asked = [t[3:9] for t in texts if t and len(t) > 9][:20]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id bigint, text string")
+    built = positions.build_position_index(files.coalesce(1))
+    every = {(r.query_id, r.path) for r in positions.files_at_distance(built, queries).collect()}
+    one = spark.createDataFrame([(0, "r", "f0"), (1, "r", "f50")], "query_id bigint, repo string, path string")
+    found = {(r.query_id, r.path) for r in positions.files_at_distance(built, queries, one).collect()}
+    run = {r.path: r.run for r in built.files.collect()}
+    assert found == {(q, p) for q, p in every if (q, run[p]) in {(0, run["f0"]), (1, run["f50"])}}
