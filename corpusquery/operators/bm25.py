@@ -10,12 +10,12 @@ every run that cannot reach it, and the blocks of those are never read.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +58,76 @@ _ROW = (
 )
 
 
+# Words of neighbouring files that are counted together.
+SLICE_WORDS = 1 << 18
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of a bounded number of words, or of one file."""
+    words = pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.cumsum(words) // SLICE_WORDS
+    for part in np.split(np.arange(len(words)), np.flatnonzero(np.diff(cuts)) + 1):
+        if len(part):
+            yield batch.slice(int(part[0]), len(part))
+
+
+class _Found:
+    """The distinct words of each of some files, and how often they occur."""
+
+    def __init__(self, words: pa.ListArray):
+        self.lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        self.dictionary = coded.dictionary
+        n = max(1, len(self.dictionary))
+        key = np.repeat(np.arange(len(words)), self.lengths) * n + coded.indices.to_numpy(zero_copy_only=False)
+        key, self.counts = np.unique(key, return_counts=True)
+        self.row, self.word = key // n, key % n
+        # Postings up to and with each file.
+        self.postings = np.cumsum(np.bincount(self.row, minlength=len(words)))
+
+
+class _Run:
+    """Postings of the files of a run while they are gathered, as numbers."""
+
+    def __init__(self):
+        self.names, self.lengths, self.known, self.parts = [], [], {}, []
+        self.n_files = self.postings = 0
+
+    def add(self, names: pa.RecordBatch, found: _Found, begin: int, end: int) -> None:
+        own = slice(*np.searchsorted(found.row, [begin, end]))
+        codes, place = np.unique(found.word[own], return_inverse=True)
+        texts = found.dictionary.take(pa.array(codes)).to_pylist()
+        ids = np.array([self.known.setdefault(w, len(self.known)) for w in texts], np.int32)
+        at = (found.row[own] - begin + self.n_files).astype(np.int32)
+        self.parts.append((ids[place], at, found.counts[own].astype(np.int32)))
+        self.names.append(names)
+        self.lengths.append(found.lengths[begin:end])
+        self.n_files += end - begin
+        self.postings += len(at)
+
+    def blocks(self, number: int, sizes: np.ndarray) -> Iterator[dict]:
+        """Columns of the blocks of words, some words at a time."""
+        ids, at, counts = (np.concatenate(c) for c in zip(*self.parts))
+        # Files come in order, so a stable sort leaves each block ascending.
+        order = np.argsort(ids, kind="stable")
+        ids, at, counts = ids[order], at[order], counts[order]
+        begins = np.append(np.flatnonzero(np.diff(ids, prepend=-1)), len(ids))
+        words = list(self.known)
+        for i in range(0, len(words), 50_000):
+            own = begins[i : i + 50_001]
+            a, b, first = own[0], own[-1], own[:-1] - own[0]
+            n, numbers, times = np.diff(own), at[a:b], counts[a:b]
+            inner = np.ones(b - a, bool)
+            inner[first] = False
+            ends = np.cumsum(n)
+            yield {
+                "word": words[i : i + 50_000], "run": np.full(len(n), number), "n": n, "first": numbers[first],
+                "numbers": packed.binaries(np.diff(numbers, prepend=0)[inner], ends - np.arange(1, len(n) + 1)),
+                "counts": packed.binaries(times, ends),
+                "most": np.maximum.reduceat(times, first), "least": np.minimum.reduceat(sizes[numbers], first),
+            }
+
+
 def build_word_index(files: DataFrame) -> WordIndex:
     """Index the folded words of files ``(repo, path, content)`` in one pass over the contents."""
     schema = packed.arrow_schema(_ROW)
@@ -68,48 +138,32 @@ def build_word_index(files: DataFrame) -> WordIndex:
         arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema]
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    def flush(run: int, names: list, lengths: list[int], words: dict) -> Iterator[pa.RecordBatch]:
-        if not names:
+    def flush(number: int, run: _Run) -> Iterator[pa.RecordBatch]:
+        if not run.n_files:
             return
-        repos, paths = zip(*names)
-        yield rows_of(run=[run] * len(names), at=range(len(names)), repo=repos, path=paths)
-        sizes = np.array(lengths, "<u4")
-        yield rows_of(run=[run], n_files=[len(names)], n_words=[int(sizes.sum(dtype=np.int64))], lengths=[sizes.tobytes()])
-        out = defaultdict(list)
-        for word, (at, counts) in words.items():
-            own = np.array(at)
-            values = (
-                word, run, len(at), at[0], packed.pack_numbers(np.diff(own))[0].tobytes(),
-                packed.pack_numbers(np.array(counts))[0].tobytes(), max(counts), int(sizes[own].min()),
-            )
-            for name, value in zip(("word", "run", "n", "first", "numbers", "counts", "most", "least"), values):
-                out[name].append(value)
-            if len(out["word"]) >= 50_000:
-                yield rows_of(**out)
-                out = defaultdict(list)
-        if out:
-            yield rows_of(**out)
+        repos, paths = (pa.concat_arrays([p.column(c) for p in run.names]) for c in FILE)
+        yield rows_of(run=np.full(run.n_files, number), at=np.arange(run.n_files), repo=repos, path=paths)
+        sizes = np.concatenate(run.lengths).astype("<u4")
+        total = int(sizes.sum(dtype=np.int64))
+        yield rows_of(run=[number], n_files=[run.n_files], n_words=[total], lengths=[sizes.tobytes()])
+        if run.postings:
+            yield from (rows_of(**part) for part in run.blocks(number, sizes))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = TaskContext.get().partitionId() << 16
-        names, lengths, words, postings = [], [], {}, 0
+        number, run = TaskContext.get().partitionId() << 16, _Run()
         for batch in batches:
-            for repo, path, text in zip(*(batch.column(c).to_pylist() for c in ("repo", "path", "words"))):
-                counts: dict[str, int] = {}
-                for word in text or ():
-                    counts[word] = counts.get(word, 0) + 1
-                at = len(names)
-                names.append((repo, path))
-                lengths.append(len(text or ()))
-                for word, count in counts.items():
-                    own = words.setdefault(word, ([], []))
-                    own[0].append(at)
-                    own[1].append(count)
-                postings += len(counts)
-                if len(names) >= most_files or postings >= most_postings:
-                    yield from flush(run, names, lengths, words)
-                    run, names, lengths, words, postings = run + 1, [], [], {}, 0
-        yield from flush(run, names, lengths, words)
+            for rows in _slices(batch):
+                found = _Found(rows.column("words"))
+                begin = 0
+                while begin < rows.num_rows:
+                    room = np.searchsorted(found.postings - (found.postings[begin - 1] if begin else 0), most_postings - run.postings)
+                    end = min(rows.num_rows, max(begin, int(room)) + 1, begin + most_files - run.n_files)
+                    run.add(rows.slice(begin, end - begin).select(FILE), found, begin, end)
+                    if run.n_files >= most_files or run.postings >= most_postings:
+                        yield from flush(number, run)
+                        number, run = number + 1, _Run()
+                    begin = end
+        yield from flush(number, run)
 
     text = F.regexp_extract_all(fold(F.col("content")), F.lit(WORD), F.lit(0))
     built = materialize(files.select(*FILE, text.alias("words")).mapInArrow(work, _ROW), "word-index")

@@ -4,6 +4,9 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from corpusquery.operators import blocks, bm25
 
 
@@ -64,3 +67,24 @@ def test_runs_out_of_reach_are_not_read(spark, monkeypatch):
 def test_no_files(spark):
     empty = bm25.build_word_index(spark.createDataFrame([], "repo string, path string, content string"))
     assert bm25.top_files_bm25(empty, ["a"]).collect() == []
+
+
+def test_postings_of_a_run_are_gathered_as_numbers():
+    rng = random.Random(4)
+    texts = [[f"w{int(rng.paretovariate(0.5)) % 500}" for _ in range(rng.randint(0, 80))] for _ in range(60)] + [None, []]
+    names = pa.RecordBatch.from_arrays([pa.array(["r"] * len(texts)), pa.array([str(i) for i in range(len(texts))])], names=["repo", "path"])
+    run, found = bm25._Run(), bm25._Found(pa.array(texts, pa.list_(pa.string())))
+    for begin, end in ((0, 25), (25, len(texts))):
+        run.add(names.slice(begin, end - begin), found, begin, end)
+    assert run.postings == sum(len(set(t or ())) for t in texts)
+    assert sum(c.nbytes for part in run.parts for c in part) == 12 * run.postings
+    sizes = np.concatenate(run.lengths)
+    assert sizes.tolist() == [len(t or ()) for t in texts]
+    got = {}
+    for part in run.blocks(3, sizes):
+        for i, word in enumerate(part["word"]):
+            at, _ = blocks.decode([(part["n"][i], part["first"][i], part["numbers"][i].as_py())])
+            counts = blocks.unpack_numbers(part["counts"][i].as_py())
+            got |= {(word, a): c for a, c in zip(at.tolist(), counts.tolist())}
+            assert part["most"][i] == counts.max() and part["least"][i] == sizes[at].min()
+    assert got == {(w, i): t.count(w) for i, t in enumerate(texts) if t for w in set(t)}
