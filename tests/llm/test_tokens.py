@@ -118,3 +118,46 @@ def test_store_of_an_empty_table(spark, documents):
     docs = documents("x").limit(0)
     store = write_token_store(docs, public.path(BYTE_BPE), END_ID)
     assert store.read(store.lookup(docs)).collect() == []
+
+
+@pytest.mark.parametrize("name, pattern", [(BYTE_BPE, None), (MULTI_RANKS, public.PATTERN)])
+def test_new_words_go_to_the_merges(name, pattern):
+    """Every new word took a call of the whole library, most of the time of op10 and op2."""
+    path = public.path(name)
+    words = [f"w{chr(97 + k % 26)}x{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}q" for k in range(3000)]
+    odd = ["naïve", "Größe", "日本語", "it's", "'s", "12345", "--", "a\u00a0b", "\x1c", "e\u0301", "😀", "<|endoftext|>", "x\ty", "ﬁ", "z" * 60, "\u200d", "ªº", "ʰa", "Ωmega"]
+    texts = [" ".join(words[k : k + 40]) + ("." if k % 3 else ",\nnext line") for k in range(0, 3000, 30)]
+    texts += [f"a {x} b {x}, {x}\n{x} {x}.\n {x}" for x in odd] + ["  ".join(odd), " ".join(odd), "", " "]
+    encoder = byte_bpe.Encoder(path, pattern)
+    calls, plain = [], encoder.encode
+    for chunks in (encoder.first, encoder.spaced, encoder.whole):
+        chunks.encode = lambda x: (calls.append(x), plain(x))[1]
+    got = [encoder.raw(t) for t in texts]
+    assert len(calls) < 300
+    tokenizer = byte_bpe.load_tokenizer(path, pattern)
+    for text, raw in zip(texts, got):
+        assert np.frombuffer(raw, encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_words_go_to_the_merges_only_where_they_are_one_piece():
+    from tokenizers import AddedToken, Tokenizer, models, normalizers, pre_tokenizers
+
+    def fresh(split, normalizer=None):
+        tokenizer = Tokenizer(models.BPE(vocab={"a": 0}, merges=[]))
+        tokenizer.pre_tokenizer = split
+        if normalizer is not None:
+            tokenizer.normalizer = normalizer
+        return tokenizer
+
+    level = pre_tokenizers.ByteLevel
+    assert byte_bpe.keeps_words(fresh(level(add_prefix_space=False)), None)
+    assert not byte_bpe.keeps_words(fresh(level(add_prefix_space=True)), None)
+    assert not byte_bpe.keeps_words(fresh(level(add_prefix_space=False, use_regex=False)), None)
+    assert not byte_bpe.keeps_words(fresh(level(add_prefix_space=False), normalizers.Lowercase()), None)
+    added = fresh(level(add_prefix_space=False))
+    added.add_tokens([AddedToken("word")])
+    assert not byte_bpe.keeps_words(added, None)
+    ranks = fresh(level(add_prefix_space=False, use_regex=False))
+    assert byte_bpe.keeps_words(ranks, public.PATTERN)
+    assert not byte_bpe.keeps_words(ranks, r" ?[A-Z]+| ?\p{L}+|\s+")
+    assert not byte_bpe.keeps_words(ranks, r" ?\p{Ll}+|\s+")
