@@ -54,6 +54,8 @@ BLOCK_SHINGLES = 2_000_000
 LEADERS = 8
 
 REMEMBERED_WORDS = 100_000
+# Names of sets that a task remembers, so that copies leave out their steps.
+REMEMBERED_SETS = 100_000
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 # Odd constants that keep the places of the words of a shingle apart.
@@ -154,16 +156,26 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 def shingle_sets(docs: DataFrame, frequent) -> DataFrame:
     """Replace ``text`` by ``n_shingles``, the name ``key, key2`` of its set (null when empty) and its steps.
 
-    The first steps of a set are ``rare`` and ``often``, arrays of hashes.
+    The first steps of a set are ``rare`` and ``often``, arrays of hashes.  Of
+    equal sets that a task meets, the first one has them and the others have none.
     """
 
     def make():
-        shingler, known = Shingler(), frequent.value
+        shingler, known, seen = Shingler(), frequent.value, set()
+        none = (np.zeros(0, np.int64),) * 2
+
+        def first(name):
+            if name in seen:
+                return False
+            if len(seen) >= REMEMBERED_SETS:
+                seen.clear()
+            seen.add(name)
+            return True
 
         def columns(batch):
             sets = [shingler.keys(t) for t in strings(batch.column("text"))]
             names = [_set_name(s) if s.size else (None, None) for s in sets]
-            found = [steps(s, known) for s in sets]
+            found = [steps(s, known) if s.size and first(n) else none for s, n in zip(sets, names)]
             return [
                 [s.size for s in sets],
                 *([n[k] for n in names] for k in (0, 1)),
@@ -369,9 +381,13 @@ def _classified(docs: DataFrame) -> DataFrame:
     """
     source = _with_rows(docs)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(source))
-    found = materialize(shingle_sets(source, frequent), "shingle-sets")
+    numbered = shingle_sets(source, frequent).withColumn("set_key", F.monotonically_increasing_id())
+    found = materialize(numbered, "shingle-sets")
 
-    # A set is known by its name here and by a number from here on.
+    # A set is known by its name here and by a number from here on: that of its
+    # first row, which has steps.  Copies in other tasks look for candidates by
+    # their own numbers, find the same ones, and are left out when the classes are
+    # joined; so the steps never leave their rows but to meet each other.
     name = ["key", "key2"]
     classes = (
         found.where("key IS NOT NULL")
@@ -381,14 +397,12 @@ def _classified(docs: DataFrame) -> DataFrame:
             F.min(F.struct(*ROW)).alias("r"),
             F.first("n_shingles").alias("n_shingles"),
             F.count(F.lit(1)).alias("copies"),
+            F.min("set_key").alias("set_key"),
         )
-        .select(*name, "doc_id", "r.*", "n_shingles", "copies")
-        .withColumn("set_key", F.monotonically_increasing_id())
+        .select(*name, "doc_id", "r.*", "n_shingles", "copies", "set_key")
     )
     classes = materialize(classes, "shingle-classes")
-    sets = join_by_size(found.select(*ROW, "rare", "often"), classes.select(*ROW, "set_key"), ROW, "inner")
-    sets = materialize(sets.select("set_key", "rare", "often"), "set-steps")
-    clusters = connected_components(_candidates(sets)).select(
+    clusters = connected_components(_candidates(found.select("set_key", "rare", "often"))).select(
         F.col("node").alias("set_key"), F.col("component").alias("cluster")
     )
     tiles = materialize(_tiles(clusters, classes.select("set_key", *ROW, "n_shingles")), "tiles")
@@ -407,7 +421,7 @@ def _classified(docs: DataFrame) -> DataFrame:
         F.when(F.col("_label").isNull(), F.col("doc_id")).otherwise(F.col("_linked")).alias("component_id"),
     )
     ids = materialize(ids, "set-components")
-    rows = found.drop("rare", "often")
+    rows = found.drop("rare", "often", "set_key")
     total = found.agg(F.count(F.lit(1))).first()[0]
     known = join_counted(rows.where("key IS NOT NULL"), ids, name, "copies", total).drop(*name)
     empty = rows.where("key IS NULL").drop(*name).withColumns(

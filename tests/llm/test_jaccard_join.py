@@ -6,6 +6,7 @@ import pytest
 
 from corpusquery.llm import jaccard_join
 from corpusquery.llm.jaccard_join import one_per_group, similarity_classes, tile_links
+from corpusquery.plans import joins
 
 
 def shingles(text):
@@ -70,6 +71,28 @@ def test_components_agree_with_all_pairs(spark):
     assert result(spark, rows) == expected(rows)
 
 
+def test_steps_stay_in_their_rows_whatever_the_size(spark, monkeypatch):
+    """Beyond 200,000 sets a join moved the steps of all of them, and they were written twice."""
+    moved, plain = [], jaccard_join.join_by_size
+    monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(
+        jaccard_join, "join_by_size", lambda a, b, *more, **named: (moved.append({*a.columns, *b.columns}), plain(a, b, *more, **named))[1]
+    )
+    rows = corpus(seed=4, copies=4)
+    rows += [(1000 + i, t) for i, t in rows]
+    assert result(spark, rows) == expected(rows)
+    assert moved and not any(m & {"rare", "often"} for m in moved)
+
+
+def test_copies_in_a_task_have_no_steps(spark):
+    rows = [(k, 7 * k, 9 * k, t) for k, t in enumerate(["a b c d e f g"] * 3 + ["b c d e f g h", None, "", "a b"] * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, row long, row2 long, text string").coalesce(1)
+    frequent = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
+    got = {r.doc_id: r for r in jaccard_join.shingle_sets(docs, frequent).collect()}
+    assert [len(got[k].rare) > 0 for k in range(11)] == [True, False, False, True] + [False] * 7
+    assert got[0].key == got[1].key == got[2].key != got[3].key == got[7].key and got[4].key is None
+
+
 @pytest.mark.parametrize("block, frequent", [(400, 10**6), (3000, 40)])
 def test_many_blocks_and_frequent_tokens_change_nothing(spark, monkeypatch, block, frequent):
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
